@@ -196,7 +196,7 @@ def normal_plot(df: DataFrame, column: str = "units_sold") -> DataFrame:
     spread = df.sparkSession.sparkContext.defaultParallelism
     until = F.least(F.col("chunk") + (RANKS_PER_CHUNK - 1), F.col("last"))
     ranks = chunks.repartition(spread, "chunk").select(
-        "value", "total", (F.explode(F.sequence(F.col("chunk"), until)) + 1).alias("position")
+        "value", "total", F.explode(F.sequence(F.col("chunk") + 1, until + 1)).alias("position")
     )
     n, i = F.col("total").cast("double"), F.col("position").cast("double")
     ends = F.pow(F.lit(0.5), 1.0 / n)

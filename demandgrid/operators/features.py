@@ -123,7 +123,8 @@ def seasonal_prediction(grid: DataFrame, horizons: Sequence[int] = HORIZONS, sea
         F.struct(F.lit(h).alias("horizon"), F.lag("units_sold", step).over(_series_by_day()).alias("predicted"))
         for h, step in steps.items()
     ])
-    return grid.select(*CELL, "units_sold", F.explode(known).alias("p")).select(*CELL, "units_sold", "p.*")
+    rows = grid.select(*CELL, "units_sold", known.alias("known")).withColumn("p", F.explode("known"))
+    return rows.select(*CELL, "units_sold", "p.*")
 
 
 def mae_eval(predictions: DataFrame) -> DataFrame:

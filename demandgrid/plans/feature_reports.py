@@ -59,9 +59,9 @@ def _(s):
 
 
 @report("r6_target_encode", f"""SELECT store_id, category, date, units_sold,
-    round(avg(units_sold) OVER ({_SERIES} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 4) AS past_mean FROM grid""")
+    round(avg(units_sold) OVER ({_SERIES} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 8) AS past_mean FROM grid""")
 def _(s):
-    return shown(features.target_encode(s.grid))
+    return shown(features.target_encode(s.grid), 8)
 
 
 @report("r7_mae_eval", "SELECT horizon, round(avg(abs(units_sold - predicted)), 4) AS mae, count(predicted) AS \"rows\" FROM ("

@@ -156,8 +156,8 @@ def box_sql(source: str, by: str = "", value: str = "units_sold") -> str:
 
 def describe_sql(source: str, value: str) -> str:
     return f"""SELECT count({value}) AS "count", round(avg({value}), 4) AS mean, round(stddev_samp({value}), 4) AS std,
-        round(min({value}), 4) AS "min", round(quantile_cont({value}, 0.25), 4) AS q25, round(median({value}), 4) AS median,
-        round(quantile_cont({value}, 0.75), 4) AS q75, round(max({value}), 4) AS "max" FROM {source}"""
+        round(CAST(min({value}) AS DOUBLE), 4) AS "min", round(quantile_cont({value}, 0.25), 4) AS q25, round(median({value}), 4) AS median,
+        round(quantile_cont({value}, 0.75), 4) AS q75, round(CAST(max({value}) AS DOUBLE), 4) AS "max" FROM {source}"""
 
 
 def flags_sql(source: str, select: str, flags: Sequence[str] = FLAGS) -> str:

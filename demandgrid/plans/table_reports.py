@@ -171,10 +171,10 @@ def _(s):
     return shown(per_value.withColumn("log_units", F.log1p("units_sold")))
 
 
-@report("p12_ratio_per_row", "SELECT order_id, product_id, round(revenue / units_sold, 4) AS revenue_per_unit FROM c_txn WHERE discount_applied > 0")
+@report("p12_ratio_per_row", "SELECT order_id, product_id, revenue / units_sold AS revenue_per_unit FROM c_txn WHERE discount_applied > 0")
 def _(s):
     discounted = s.transaction.where("discount_applied > 0")
-    return shown(discounted.select("order_id", "product_id", columns.ratio(F.col("revenue"), F.col("units_sold")).alias("revenue_per_unit")))
+    return discounted.select("order_id", "product_id", columns.ratio(F.col("revenue"), F.col("units_sold")).alias("revenue_per_unit"))
 
 
 @report("p13_gross_profit", """SELECT order_id, product_id, round(units_sold * (base_price * 0.4), 4) AS estimated_cost,
@@ -317,11 +317,11 @@ def _(s):
 
 
 @report("a9_date_set_join", """SELECT o.date, o.date IN (SELECT date FROM promo_dates) AS has_promo, o.date IN (SELECT date FROM evt_dates) AS has_event,
-    round(sum(revenue), 2) AS revenue FROM fact o GROUP BY ALL""")
+    round(sum(revenue), 4) AS revenue FROM fact o GROUP BY ALL""")
 def _(s):
     days = groups.daily_revenue(s.fact)
     days = effects.flag_rows(days, effects.promo_dates(s.promotion), ["date"], "has_promo")
-    return shown(effects.flag_rows(days, effects.event_dates(s.local_event), ["date"], "has_event"), revenue=2)
+    return shown(effects.flag_rows(days, effects.event_dates(s.local_event), ["date"], "has_event"))
 
 
 @report("a10_event_key_join", "SELECT store_id, category, date, units_sold, has_event FROM evt_tgt")

@@ -130,7 +130,8 @@ def _submission(store: DataFrame, product: DataFrame, order: DataFrame) -> DataF
         .select("store_id", "category", F.expr("date_sub(last_day, back)").alias("date"))
         .select("*", F.explode(F.array(*[F.lit(h) for h in HORIZONS])).alias("h"))
     )
-    return cells.select(F.format_string("%s_%s_%s_%sd", "store_id", "category", "date", "h").alias("id"))
+    named = F.concat_ws("_", F.col("store_id").cast("string"), "category", F.col("date").cast("string"), F.concat("h", F.lit("d")))
+    return cells.select(named.alias("id"))
 
 
 class _DriverTables:

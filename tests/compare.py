@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import sys
 import time
 
@@ -18,24 +17,6 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def _plain(value):
-    if hasattr(value, "item"):
-        value = value.item()
-    if isinstance(value, float):
-        if math.isnan(value):
-            return None
-        return value + 0.0
-    if hasattr(value, "isoformat"):
-        return value.isoformat()[:10]
-    return value
-
-
-def _rows(frame):
-    frame = frame[sorted(frame.columns)]
-    rows = [tuple(None if v is None or v != v else _plain(v) for v in row) for row in frame.itertuples(index=False, name=None)]
-    return sorted(rows, key=lambda row: tuple((v is not None, str(type(v)), v if v is not None else 0) for v in row))
-
-
 _KINDS = {"bigint": "int64", "int": "int32", "double": "double", "string": "varchar", "boolean": "boolean", "date": "date"}
 
 
@@ -49,12 +30,23 @@ def differences(spark_df, con, sql: str) -> list[str]:
     for name, kind in spark_df.dtypes:
         if _KINDS.get(kind, kind) != kinds[name]:
             found.append(f"type of {name}: {kind} != {kinds[name]}")
-    ours, theirs = _rows(spark_df.toPandas()), _rows(relation.df())
-    if len(ours) != len(theirs):
-        found.append(f"rows {len(ours)} != {len(theirs)}")
-    wrong = [(a, b) for a, b in zip(ours, theirs) if a != b]
-    if wrong:
-        found.append(f"{len(wrong)} of {len(ours)} rows differ, first {wrong[0][0]} != {wrong[0][1]}")
+    con.register("ours", spark_df.toArrow())
+    con.execute(f"CREATE OR REPLACE TEMP TABLE theirs AS {sql}")
+    names = ", ".join(f'"{c}"' for c in sorted(spark_df.columns))
+    sizes = [con.sql(f"SELECT count(*) FROM {t}").fetchall()[0][0] for t in ("ours", "theirs")]
+    if sizes[0] != sizes[1]:
+        found.append(f"rows {sizes[0]} != {sizes[1]}")
+    for here, there in (("ours", "theirs"), ("theirs", "ours")):
+        extra = con.sql(f"SELECT {names} FROM {here} EXCEPT ALL SELECT {names} FROM {there}")
+        rows = extra.limit(3).fetchall()
+        if rows:
+            found.append(f"only in {here} ({len(extra.fetchall())} of {sizes[0]}): {rows[0]}")
+    for name, kind in spark_df.dtypes:
+        if kind == "double":
+            signs = [con.sql(f"""SELECT count(*) FROM {t} WHERE CAST("{name}" AS VARCHAR) = '-0.0' OR isnan("{name}")""").fetchall()[0][0] for t in ("ours", "theirs")]
+            if any(signs):
+                found.append(f"negative zero or NaN in {name}: {signs}")
+    con.unregister("ours")
     return found
 
 
