@@ -12,6 +12,11 @@ HOLIDAY_MONTHS = [1, 4, 5, 10, 12]
 COST_SHARE = 0.4
 
 
+def all_known(*names: str) -> Column:
+    """True where every named column is present."""
+    return reduce(Column.__and__, [F.col(name).isNotNull() for name in names])
+
+
 def ratio(above: Column, below: Column) -> Column:
     """Division that yields NULL instead of failing on a zero denominator."""
     return F.try_divide(above, below)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandgrid.functions.columns import equal_width_bin, normal_quantile, percent, right_closed_bin
+from demandgrid.functions.columns import all_known, equal_width_bin, normal_quantile, percent, right_closed_bin
 from demandgrid.operators.quantiles import attach, quantiles, rank_spans, value_counts
 
 DISCOUNT_EDGES = [0, 10, 20, 30, 40, 100]
@@ -34,7 +34,7 @@ def histogram(df: DataFrame, column: str | Column, bins: int, by: Sequence[str]
     """
     value = F.col(column) if isinstance(column, str) else column
     data = df.select(*by, value.cast("double").alias("value"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("n"))
-    data = data.dropna(subset=[*by, "value"])
+    data = data.where(all_known(*by, "value"))
     bounds = _bounds(data, by, {"": "value"})
     lo, hi = F.col("lo"), F.col("hi")
     filled = attach(data, bounds, by).select(*by, "lo", "hi", equal_width_bin(F.col("value"), lo, hi, bins).alias("bin"), "n")
@@ -57,7 +57,7 @@ def cumulative_histogram(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def binned_scatter(df: DataFrame, x: str, y: str, x_bins: int, y_bins: int) -> DataFrame:
     """Row-level scatter as counts on a grid of equal-width cells (occupied cells only)."""
-    data = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    data = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where(all_known("x", "y"))
     bounds = _bounds(data, (), {"x_": "x", "y_": "y"})
     placed = attach(data, bounds)
     return (
@@ -114,7 +114,7 @@ def flag_value_counts(df: DataFrame, column: str, flags: Sequence[str]) -> DataF
     combined = df.groupBy(*flags, F.col(column).cast("double").alias("value")).agg(F.count("*").alias("n"))
     pairs = ", ".join(f"'{flag}', {flag}" for flag in flags)
     long = combined.selectExpr("value", "n", f"stack({len(flags)}, {pairs}) AS (flag, flag_value)")
-    return long.dropna().groupBy("flag", "flag_value", "value").agg(F.sum("n").alias("n"))
+    return long.where(all_known("flag_value", "value")).groupBy("flag", "flag_value", "value").agg(F.sum("n").alias("n"))
 
 
 def quantile_bins(counts: DataFrame, bins: int) -> DataFrame:
@@ -167,7 +167,7 @@ def discount_bands(fact: DataFrame, edges: Sequence[float] = DISCOUNT_EDGES, wit
     profit = F.col("revenue") - F.col("units_sold") * (F.col("base_price") * 0.4)
     return (
         fact.withColumn("bin", band)
-        .dropna(subset=["bin"])
+        .where(all_known("bin"))
         .groupBy("bin")
         .agg(
             F.avg("units_sold").alias("mean_units"),

@@ -164,11 +164,12 @@ def stock_lines(fact: DataFrame, inventory: DataFrame, with_store: bool = False)
 
     Without the store in the key, a line meets the inventory rows of every store holding the
     product that day and counts once for each. Both sides are combined per product and day
-    first, so the repeats become weights instead of rows. Lines without inventory are in stock.
+    first, so the repeats become weights ``n`` instead of rows. Lines without inventory are in
+    stock. ``sold`` counts each line once, whatever it met.
     """
     keys = ["store_id", "product_id", "date"] if with_store else ["product_id", "date"]
-    lines = fact.dropna(subset=keys).groupBy(*keys, "category", "week", "units_sold").agg(F.count("*").alias("lines"))
-    stock = inventory.groupBy(*keys).agg(
+    lines = known(fact, *keys).groupBy(*keys, "category", "week", "units_sold").agg(F.count("*").alias("lines"))
+    stock = known(inventory, *keys).groupBy(*keys).agg(
         F.count_if(F.coalesce("is_stockout", F.lit(False))).alias("out"), F.count("*").alias("held")
     )
     met = lines.join(stock, keys, "left").withColumns(
@@ -176,9 +177,14 @@ def stock_lines(fact: DataFrame, inventory: DataFrame, with_store: bool = False)
     )
     states = met.selectExpr(
         "category", "week", "units_sold AS value",
-        "stack(2, true, lines * out, false, lines * (held - out)) AS (is_stockout, n)",
+        "stack(2, true, lines * out, 0L, false, lines * (held - out), lines) AS (is_stockout, n, sold)",
     )
-    return states.where("n > 0").groupBy("category", "week", "is_stockout", "value").agg(F.sum("n").alias("n"))
+    return states.groupBy("category", "week", "is_stockout", "value").agg(F.sum("n").alias("n"), F.sum("sold").alias("sold"))
+
+
+def stock_value_counts(lines: DataFrame, *by: str) -> DataFrame:
+    """The weighted line units as value counts per stock state and further keys."""
+    return lines.where("n > 0").groupBy(*by, "is_stockout", "value").agg(F.sum("n").alias("n"))
 
 
 def _rate(n_all, n_out):
@@ -193,17 +199,16 @@ def stock_line_rate(lines: DataFrame, *by: str) -> DataFrame:
 
 def stock_line_impact(lines: DataFrame) -> DataFrame:
     """Mean and median line units and rows, in and out of stock."""
-    counts = lines.groupBy("is_stockout", "value").agg(F.sum("n").alias("n"))
+    counts = stock_value_counts(lines)
     means = counts.groupBy("is_stockout").agg(
         (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"), F.sum("n").alias("rows")
     )
     return means.join(quantiles(counts, {"median": 0.5}, ["is_stockout"]), "is_stockout")
 
 
-def top_stock_lines(lines: DataFrame, fact: DataFrame, k: int = 4) -> DataFrame:
+def top_stock_lines(lines: DataFrame, k: int = 4) -> DataFrame:
     """The weighted lines of the k categories that sold the most units."""
-    totals = known(fact, "category").groupBy("category").agg(F.sum("units_sold").alias("units"))
-    return rows_on(lines, top_k(totals, "category", "units", k).select("category"), ["category"])
+    return keep_top_groups(lines, "category", F.col("sold") * F.col("value"), k)
 
 
 def stockout_daily_rate(inventory: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandgrid.functions.calendar import day_name, weekday
+from demandgrid.functions.columns import all_known
 
 CELL = ["store_id", "category", "date"]
 ORDER_COLUMNS = ["order_id", "store_id", "date", "hour", "customer_id", "payment_method"]
@@ -19,8 +20,12 @@ CALENDAR_COLUMNS = ["date", "is_weekend", "is_holiday", "is_payday", "is_school_
 
 
 def known(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows whose keys are all present: a grouping drops unknown keys."""
-    return df.dropna(subset=list(keys))
+    """Rows whose keys are all present: a grouping drops unknown keys.
+
+    Plain IS NOT NULL conditions, which Spark pushes into the scan and also infers from joins,
+    so that the same relation used twice in a query keeps one shape and its shuffle is reused.
+    """
+    return df.where(all_known(*keys))
 
 
 def master_fact(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from demandgrid.functions.calendar import weekday
 from demandgrid.operators.effects import event_store_days, flag_rows
-from demandgrid.operators.facts import CELL, left_join_flag
+from demandgrid.operators.facts import CELL, known, left_join_flag
 
 SERIES = ["store_id", "category"]
 LAGS = [1, 7, 14, 28]
@@ -71,7 +71,7 @@ def promo_type_days(promo_days: DataFrame, promo_types: Sequence[str]) -> DataFr
     dummies = [
         F.max(F.when(F.col("promo_type") == kind, 1).otherwise(0)).alias(f"promo_{kind}") for kind in promo_types
     ]
-    return promo_days.dropna(subset=CELL).groupBy(CELL).agg(F.avg("discount_pct").alias("avg_discount"), *dummies)
+    return known(promo_days, *CELL).groupBy(CELL).agg(F.avg("discount_pct").alias("avg_discount"), *dummies)
 
 
 def calendar_store_features(

@@ -53,7 +53,7 @@ def flag_means(df: DataFrame, flags: Sequence[str]) -> DataFrame:
     pairs = ", ".join(f"'{flag}', {flag}" for flag in flags)
     long = combined.selectExpr("units", "rows", f"stack({len(flags)}, {pairs}) AS (flag, flag_value)")
     return (
-        long.dropna(subset=["flag_value"])
+        known(long, "flag_value")
         .groupBy("flag", "flag_value")
         .agg((F.sum("units") / F.sum("rows")).alias("mean_units"), F.sum("rows").alias("rows"))
     )
@@ -283,7 +283,7 @@ def distinct_values(df: DataFrame, *columns: str) -> DataFrame:
     """(column, value) for every known value of the given columns."""
     names = ", ".join(f"'{c}', CAST({c} AS STRING)" for c in columns)
     combined = df.groupBy(*columns).agg(F.count("*").alias("_n"))
-    return combined.selectExpr(f"stack({len(columns)}, {names}) AS (column, value)").dropna().distinct()
+    return combined.selectExpr(f"stack({len(columns)}, {names}) AS (column, value)").where("value IS NOT NULL").distinct()
 
 
 def store_means(df: DataFrame) -> DataFrame:

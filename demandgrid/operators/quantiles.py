@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from demandgrid.functions.columns import all_known
+
 # Slots per unit of log(1 + |value|): about 0.4 % of the value wide, at most 363,000 over all doubles.
 SLOTS_PER_LOG = 256
 
@@ -23,7 +25,7 @@ def value_counts(df: DataFrame, column: str | Column, by: Sequence[str] = (), we
     count = F.sum(weight) if weight else F.count("*")
     return (
         df.withColumn("value", value.cast("double"))
-        .dropna(subset=[*by, "value"])
+        .where(all_known(*by, "value"))
         .groupBy(*by, "value")
         .agg(count.alias("n"))
     )

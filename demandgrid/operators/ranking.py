@@ -51,7 +51,8 @@ def ranked(grouped: DataFrame, key: str, value: str) -> DataFrame:
 def keep_top_groups(grouped: DataFrame, key: str, weight: Column, k: int) -> DataFrame:
     """Rows of the k groups with the greatest total weight, of a frame already grouped by ``key`` and more.
 
-    Ranking the grouped rows spares a second pass over the facts to find the top groups.
+    Ranking the grouped rows spares a second pass over the facts to find the top groups. The
+    windows see the grouped rows only: categories times weeks, hours, flags or line sizes.
     """
     total = F.sum(weight).over(Window.partitionBy(key))
     place = F.dense_rank().over(Window.orderBy(F.desc("_total"), key))

@@ -102,18 +102,21 @@ def acf_global_mean(daily: DataFrame, max_lag: int = 30) -> DataFrame:
 def acf_pearson(series: DataFrame, by: Sequence[str] = SERIES, max_lag: int = 30) -> DataFrame:
     """Pearson correlation of each series with itself ``lag`` rows earlier, for all series at once.
 
-    All lags are read off one sorted window, so no pair rows are produced.
+    A window hands each row its ``max_lag`` predecessors; the pairs of a lag are combined on
+    the map side as they are unfolded, so only one row per series and lag is shuffled.
     """
     ordered = Window.partitionBy(*by).orderBy("date")
-    lags = range(1, max_lag + 1)
-    with_lags = series.select(*by, "units_sold", *[F.lag("units_sold", h).over(ordered).alias(f"lag{h}") for h in lags])
-    row = with_lags.groupBy(*by).agg(
-        F.count("units_sold").alias("n"),
-        *[F.when(F.count(f"lag{h}") >= 2, F.corr("units_sold", f"lag{h}")).alias(f"r{h}") for h in lags],
+    with_past = series.select(
+        *by,
+        F.col("units_sold").alias("x"),
+        F.count("units_sold").over(Window.partitionBy(*by)).alias("n"),
+        F.collect_list(F.struct(F.col("units_sold").alias("y"))).over(ordered.rowsBetween(-max_lag, -1)).alias("past"),
     )
-    pairs = ", ".join(f"{h}, r{h}" for h in lags)
-    long = row.selectExpr(*by, "n", f"stack({max_lag}, {pairs}) AS (lag, r)")
-    return long.select(*by, "lag", "r", (1.96 / F.sqrt("n")).alias("band"))
+    pairs = with_past.select(*by, "x", "n", F.posexplode(F.reverse("past")).alias("back", "before"))
+    enough = F.count_if(F.col("x").isNotNull() & F.col("before.y").isNotNull()) >= 2
+    return pairs.groupBy(*by, "n", (F.col("back") + 1).alias("lag")).agg(
+        F.when(enough, F.corr("x", "before.y")).alias("r")
+    ).select(*by, "lag", "r", (1.96 / F.sqrt("n")).alias("band"))
 
 
 def dense_series(grid: DataFrame, more_than: int = 300) -> DataFrame:

@@ -72,7 +72,7 @@ def _(s):
     return shown(dist.histogram(s.fact, "revenue", 40))
 
 
-@report("d1_hist_store_revenue", hist_sql("(SELECT store_id, round(sum(revenue), 2) AS x FROM fact GROUP BY ALL)", "x", 10))
+@report("d1_hist_store_revenue", hist_sql("(SELECT store_id, round(sum(revenue), 4) AS x FROM fact GROUP BY ALL)", "x", 10))
 def _(s):
     return shown(dist.histogram(groups.revenue_by(s.fact, "store_id"), F.round("revenue", 2), 10))
 
@@ -193,9 +193,8 @@ _box("stockout_cell", lambda s: value_counts(
 
 @report("d8_box_stockout_category", box_sql("(SELECT x.* FROM so_line x JOIN top4 USING (category))", "category, is_stockout"))
 def _(s):
-    lines = effects.top_stock_lines(effects.stock_lines(s.fact, s.inventory), s.fact)
-    by = ["category", "is_stockout"]
-    return shown(dist.boxplot_stats(lines.groupBy(*by, "value").agg(F.sum("n").alias("n")), by))
+    lines = effects.top_stock_lines(effects.stock_lines(s.fact, s.inventory))
+    return shown(dist.boxplot_stats(effects.stock_value_counts(lines, "category"), ["category", "is_stockout"]))
 
 
 @report("d9_p99_clip_grid", "SELECT round(quantile_cont(units_sold, 0.99), 4) AS p99 FROM cgrid")
@@ -243,19 +242,19 @@ def _(s):
 _BANDS = """WITH x AS (SELECT *, CASE {zero} WHEN discount_applied > 0 AND discount_applied <= 10 THEN 1 WHEN discount_applied > 10 AND discount_applied <= 20 THEN 2
     WHEN discount_applied > 20 AND discount_applied <= 30 THEN 3 WHEN discount_applied > 30 AND discount_applied <= 40 THEN 4
     WHEN discount_applied > 40 AND discount_applied <= 100 THEN 5 END AS bin FROM fact)
-    SELECT bin, round(avg(units_sold), 4) AS mean_units, count(units_sold) AS lines, round(avg(revenue), 2) AS mean_revenue, round(sum(revenue), 2) AS revenue,
+    SELECT bin, round(avg(units_sold), 4) AS mean_units, count(units_sold) AS lines, round(avg(revenue), 2) AS mean_revenue, round(sum(revenue), 4) AS revenue,
     round(avg(revenue - units_sold * (base_price * 0.4)), 2) AS mean_gross_profit,
     CAST([0, 0, 10, 20, 30, 40][bin + 1] AS DOUBLE) AS lo, CAST([0, 10, 20, 30, 40, 100][bin + 1] AS DOUBLE) AS hi FROM x WHERE bin IS NOT NULL GROUP BY bin"""
 
 
 @report("d12_cut_explicit", _BANDS.format(zero=""))
 def _(s):
-    return shown(dist.discount_bands(s.fact), mean_revenue=2, revenue=2, mean_gross_profit=2)
+    return shown(dist.discount_bands(s.fact), mean_revenue=2, mean_gross_profit=2)
 
 
 @report("d12_cut_explicit_with_undiscounted", _BANDS.format(zero="WHEN discount_applied = 0 THEN 0"))
 def _(s):
-    return shown(dist.discount_bands(s.fact, with_undiscounted=True), mean_revenue=2, revenue=2, mean_gross_profit=2)
+    return shown(dist.discount_bands(s.fact, with_undiscounted=True), mean_revenue=2, mean_gross_profit=2)
 
 
 @report("d13_describe_of_describe", """SELECT neighborhood_type, round(min(mean), 2) AS mean_min, round(avg(mean), 2) AS mean_mean, round(max(mean), 2) AS mean_max,

@@ -109,7 +109,7 @@ def _(s):
 
 @report("f10_stockout_line_category_week", _RATE.format(by="category, week, ", source="so_line JOIN top4 USING (category)", group="GROUP BY category, week"))
 def _(s):
-    lines = effects.top_stock_lines(effects.stock_lines(s.fact, s.inventory), s.fact)
+    lines = effects.top_stock_lines(effects.stock_lines(s.fact, s.inventory))
     return shown(effects.stock_line_rate(lines, "category", "week"))
 
 

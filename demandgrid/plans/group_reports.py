@@ -138,9 +138,9 @@ def _(s):
     return shown(groups.top_category_profile(s.fact, "hour"))
 
 
-@report("g15_hourly_revenue_volume", "SELECT hour, round(revenue, 2) AS revenue, units, round(mean_revenue, 2) AS mean_revenue FROM hours_rev")
+@report("g15_hourly_revenue_volume", "SELECT hour, round(revenue, 4) AS revenue, units, round(mean_revenue, 2) AS mean_revenue FROM hours_rev")
 def _(s):
-    return shown(groups.hourly_revenue_volume(s.fact), 2)
+    return shown(groups.hourly_revenue_volume(s.fact), mean_revenue=2)
 
 
 @report("g16_discount_value_effect", """SELECT discount_applied, round(avg(units_sold), 4) AS mean_units, count(*) AS "rows" FROM fact GROUP BY ALL""")
@@ -160,10 +160,10 @@ def _(s):
     return shown(groups.payment_mix(s.order))
 
 
-@report("g17_payment_revenue", """SELECT payment_method, round(sum(revenue), 2) AS revenue, round(avg(revenue), 2) AS mean_revenue
+@report("g17_payment_revenue", """SELECT payment_method, round(sum(revenue), 4) AS revenue, round(avg(revenue), 2) AS mean_revenue
     FROM c_txn JOIN c_ord USING (order_id) GROUP BY ALL""")
 def _(s):
-    return shown(groups.payment_revenue(s.transaction, s.order), 2)
+    return shown(groups.payment_revenue(s.transaction, s.order), mean_revenue=2)
 
 
 @report("g18_orders_by_hour", "SELECT hour, count(*) AS orders FROM c_ord GROUP BY ALL")
@@ -177,10 +177,10 @@ def _(s):
     return shown(groups.member_mix(s.order))
 
 
-@report("g19_member_revenue", """SELECT customer_id IS NOT NULL AS is_member, round(sum(revenue), 2) AS revenue, count(*) AS lines
+@report("g19_member_revenue", """SELECT customer_id IS NOT NULL AS is_member, round(sum(revenue), 4) AS revenue, count(*) AS lines
     FROM c_txn JOIN c_ord USING (order_id) GROUP BY ALL""")
 def _(s):
-    return shown(groups.member_revenue(s.transaction, s.order), 2)
+    return shown(groups.member_revenue(s.transaction, s.order))
 
 
 @report("g20_neighborhood_counts", 'SELECT neighborhood_type, count(*) AS "rows" FROM c_store GROUP BY ALL')
@@ -208,14 +208,14 @@ def _(s):
     return groups.value_counts_of(s.product, "category")
 
 
-@report("g21_store_revenue", "SELECT store_id, round(sum(revenue), 2) AS revenue FROM fact GROUP BY ALL")
+@report("g21_store_revenue", "SELECT store_id, round(sum(revenue), 4) AS revenue FROM fact GROUP BY ALL")
 def _(s):
-    return shown(groups.revenue_by(s.fact, "store_id"), 2)
+    return shown(groups.revenue_by(s.fact, "store_id"))
 
 
-@report("g21_category_revenue", "SELECT category, round(sum(revenue), 2) AS revenue FROM fact GROUP BY ALL")
+@report("g21_category_revenue", "SELECT category, round(sum(revenue), 4) AS revenue FROM fact GROUP BY ALL")
 def _(s):
-    return shown(groups.revenue_by(s.fact, "category"), 2)
+    return shown(groups.revenue_by(s.fact, "category"))
 
 
 @report("g22_store_metrics", """SELECT store_id, round(avg(units_sold), 4) AS mean_units, round(avg(revenue), 2) AS mean_revenue,
@@ -229,16 +229,16 @@ def _(s):
     return groups.store_activity(s.fact)
 
 
-@report("g24_store_efficiency", """SELECT store_id, round(sum(revenue), 2) AS revenue, count(DISTINCT order_id) AS orders,
+@report("g24_store_efficiency", """SELECT store_id, round(sum(revenue), 4) AS revenue, count(DISTINCT order_id) AS orders,
     round(sum(revenue) / count(DISTINCT order_id), 2) AS revenue_per_order FROM fact GROUP BY ALL""")
 def _(s):
-    return shown(groups.store_efficiency(s.fact), 2)
+    return shown(groups.store_efficiency(s.fact), revenue_per_order=2)
 
 
-@report("g25_store_profitability", """SELECT store_id, neighborhood_type, round(sum(revenue), 2) AS revenue, sum(units_sold) AS units,
+@report("g25_store_profitability", """SELECT store_id, neighborhood_type, round(sum(revenue), 4) AS revenue, sum(units_sold) AS units,
     count(DISTINCT customer_id) AS customers, round(sum(revenue) / nullif(count(DISTINCT customer_id), 0), 2) AS revenue_per_customer FROM fact GROUP BY ALL""")
 def _(s):
-    return shown(groups.store_profitability(s.fact, s.store), 2)
+    return shown(groups.store_profitability(s.fact, s.store), revenue_per_customer=2)
 
 
 @report("g26_store_category_variety", "SELECT store_id, count(DISTINCT category) AS categories FROM tgt GROUP BY ALL")
@@ -278,9 +278,9 @@ def _(s):
     return shown(groups.units_by(s.fact, ["is_weekend", "category"], "mean_units"))
 
 
-@report("g30_weekend_totals", "SELECT is_weekend, round(sum(revenue), 2) AS revenue, count(*) AS lines FROM fact GROUP BY ALL")
+@report("g30_weekend_totals", "SELECT is_weekend, round(sum(revenue), 4) AS revenue, count(*) AS lines FROM fact GROUP BY ALL")
 def _(s):
-    return shown(groups.weekday_weekend_totals(s.fact), 2)
+    return shown(groups.weekday_weekend_totals(s.fact))
 
 
 @report("g31_weekend_holiday_interaction", "SELECT is_weekend, is_holiday, round(avg(units_sold), 4) AS mean_units FROM ctgt GROUP BY ALL")
@@ -319,9 +319,9 @@ def _(s):
     return shown(ordered_weekday(groups.weekday_revenue(s.fact)), 2)
 
 
-@report("g36_month_revenue", "SELECT month, round(avg(revenue), 2) AS mean_revenue, round(sum(revenue), 2) AS revenue FROM fact GROUP BY ALL")
+@report("g36_month_revenue", "SELECT month, round(avg(revenue), 2) AS mean_revenue, round(sum(revenue), 4) AS revenue FROM fact GROUP BY ALL")
 def _(s):
-    return shown(groups.month_revenue(s.fact), 2)
+    return shown(groups.month_revenue(s.fact), mean_revenue=2)
 
 
 @report("g37_kpi_scorecard", """WITH f AS (SELECT sum(revenue) AS r, sum(units_sold) AS u, avg(revenue) AS m,
@@ -369,6 +369,6 @@ def _(s):
     return shown(groups.attribute_bar_interval(groups.neighborhood_of_stores(groups.store_means(s.grid), s.store)))
 
 
-@report("g21_top_categories_by_revenue", "SELECT category, round(sum(revenue), 2) AS revenue FROM fact GROUP BY ALL ORDER BY sum(revenue) DESC, category LIMIT 5")
+@report("g21_top_categories_by_revenue", "SELECT category, round(sum(revenue), 4) AS revenue FROM fact GROUP BY ALL ORDER BY sum(revenue) DESC, category LIMIT 5")
 def _(s):
-    return shown(top_k(groups.revenue_by(s.fact, "category"), "category", "revenue", 5), 2)
+    return shown(top_k(groups.revenue_by(s.fact, "category"), "category", "revenue", 5))

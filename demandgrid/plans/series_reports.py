@@ -90,12 +90,12 @@ def _(s):
 
 
 @report("c4_scatter_volume_value", """SELECT store_id, sum(units_sold) AS x, round(sum(revenue) / count(DISTINCT customer_id), 2) AS y,
-    round(sum(revenue), 2) AS size, neighborhood_type FROM fact GROUP BY ALL""")
+    round(sum(revenue), 4) AS size, neighborhood_type FROM fact GROUP BY ALL""")
 def _(s):
     points = groups.store_profitability(s.fact, s.store)
     return shown(points.select(
         "store_id", F.col("units").alias("x"), F.col("revenue_per_customer").alias("y"), F.col("revenue").alias("size"), "neighborhood_type"
-    ), 2)
+    ), y=2)
 
 
 @report("c4_scatter_discount_units", "SELECT discount_applied AS x, round(avg(units_sold), 4) AS y, count(*) AS size FROM fact GROUP BY ALL")
@@ -172,11 +172,10 @@ def _(s):
     return shown(series.acf_global_mean(facts.daily_total(s.calendar_target)), 6)
 
 
-_ACF = """WITH o AS (SELECT store_id, category, units_sold AS x, row_number() OVER (PARTITION BY store_id, category ORDER BY date) AS i,
-    count(*) OVER (PARTITION BY store_id, category) AS n FROM {source}),
-    l AS (SELECT a.store_id, a.category, CAST(h AS INT) AS lag, a.x AS x, b.x AS y, a.n FROM range(1, 31) AS t(h), o a
-      JOIN o b ON a.store_id = b.store_id AND a.category = b.category AND a.i = b.i + h)
-    SELECT store_id, category, lag, round(corr(x, y), 6) AS r, round(1.96 / sqrt(any_value(n)), 6) AS band FROM l GROUP BY store_id, category, lag"""
+_ACF = "WITH l AS MATERIALIZED (SELECT store_id, category, units_sold AS x, count(*) OVER (PARTITION BY store_id, category) AS n, " + ", ".join(
+    f"lag(units_sold, {h}) OVER (PARTITION BY store_id, category ORDER BY date) AS y{h}" for h in range(1, 31)) + " FROM {source}) " + " UNION ALL ".join(
+    f"SELECT store_id, category, CAST({h} AS INT) AS lag, round(corr(x, y{h}), 6) AS r, round(1.96 / sqrt(any_value(n)), 6) AS band FROM l GROUP BY ALL"
+    for h in range(1, 31))
 
 
 @report("t5_acf_pearson", _ACF.format(source="grid"))
@@ -209,9 +208,9 @@ def _(s):
 
 @report("w2_pareto_cumulative", """WITH r AS (SELECT category, sum(revenue) AS revenue FROM fact GROUP BY ALL),
     c AS (SELECT *, 100 * sum(revenue) OVER (ORDER BY revenue DESC, category) / sum(revenue) OVER () AS p FROM r)
-    SELECT category, round(revenue, 2) AS revenue, round(p, 4) AS cum_pct, CASE WHEN p > 80 THEN 'tail' WHEN p > 50 THEN 'middle' ELSE 'head' END AS class FROM c""")
+    SELECT category, round(revenue, 4) AS revenue, round(p, 4) AS cum_pct, CASE WHEN p > 80 THEN 'tail' WHEN p > 50 THEN 'middle' ELSE 'head' END AS class FROM c""")
 def _(s):
-    return shown(ranking.pareto_cumulative(groups.revenue_by(s.fact, "category"), "category", "revenue"), revenue=2)
+    return shown(ranking.pareto_cumulative(groups.revenue_by(s.fact, "category"), "category", "revenue"))
 
 
 @report("w3_top_bottom_stores", """SELECT * FROM (SELECT store_id, round(mean_units, 4) AS mean_units, 'top' AS side FROM smean ORDER BY smean.mean_units DESC, store_id LIMIT 5)

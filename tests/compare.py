@@ -7,6 +7,7 @@ import time
 
 import duckdb
 
+seconds = {"spark": 0.0}
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
 
@@ -30,7 +31,10 @@ def differences(spark_df, con, sql: str) -> list[str]:
     for name, kind in spark_df.dtypes:
         if _KINDS.get(kind, kind) != kinds[name]:
             found.append(f"type of {name}: {kind} != {kinds[name]}")
-    con.register("ours", spark_df.toArrow())
+    start = time.time()
+    ours = spark_df.toArrow()
+    seconds["spark"] = time.time() - start
+    con.register("ours", ours)
     con.execute(f"CREATE OR REPLACE TEMP TABLE theirs AS {sql}")
     names = ", ".join(f'"{c}"' for c in sorted(spark_df.columns))
     sizes = [con.sql(f"SELECT count(*) FROM {t}").fetchall()[0][0] for t in ("ours", "theirs")]
@@ -71,7 +75,7 @@ def main(folder: str, wanted: list[str]) -> int:
         except Exception as error:  # a report that cannot run is reported, the rest still run
             notes = [f"{type(error).__name__}: {str(error)[:600]}"]
         failed += bool(notes)
-        print(f"{'FAIL' if notes else 'ok  '} {name} {time.time() - start:.2f}s {'; '.join(notes)}", flush=True)
+        print(f"{'FAIL' if notes else 'ok  '} {name} {time.time() - start:.2f}s spark {seconds["spark"]:.2f}s {'; '.join(notes)}", flush=True)
     print("failed", failed)
     return failed
 
