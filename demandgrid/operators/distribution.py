@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandgrid.functions.columns import all_known, equal_width_bin, normal_quantile, percent, right_closed_bin
+from demandgrid.functions.columns import all_known, equal_width_bin, estimated_cost, normal_quantile, percent, right_closed_bin
 from demandgrid.operators.quantiles import attach, quantiles, rank_spans, value_counts
 
 DISCOUNT_EDGES = [0, 10, 20, 30, 40, 100]
@@ -164,7 +164,7 @@ def discount_bands(fact: DataFrame, edges: Sequence[float] = DISCOUNT_EDGES, wit
     if with_undiscounted:
         band = F.when(F.col("discount_applied") == 0, 0).otherwise(band)
     lo = F.array(*[F.lit(float(e)) for e in edges])
-    profit = F.col("revenue") - F.col("units_sold") * (F.col("base_price") * 0.4)
+    profit = F.col("revenue") - estimated_cost(F.col("units_sold"), F.col("base_price"))
     return (
         fact.withColumn("bin", band)
         .where(all_known("bin"))

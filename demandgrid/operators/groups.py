@@ -11,7 +11,7 @@ from demandgrid.functions.columns import (
     floor_bracket, growth_direction, mean_where, member_band, month_is_holiday, percent, ratio,
 )
 from demandgrid.operators.facts import known
-from demandgrid.operators.quantiles import attach, quantiles, value_counts
+from demandgrid.operators.quantiles import attach
 from demandgrid.operators.ranking import keep_top_groups, share_of_total
 
 
@@ -325,5 +325,7 @@ def attribute_bar_interval(
     )
     means = resampled.groupBy(attribute, "replicate").agg(F.avg("mean_units").alias("mean"))
     tail = (1 - level) / 2
-    interval = quantiles(value_counts(means, "mean", [attribute]), {"ci_lo": tail, "ci_hi": 1 - tail}, [attribute])
+    interval = means.groupBy(attribute).agg(
+        F.percentile("mean", tail).alias("ci_lo"), F.percentile("mean", 1 - tail).alias("ci_hi")
+    )
     return attribute_bar(store_sales, attribute).join(interval, attribute)

@@ -72,9 +72,9 @@ def _(s):
     return shown(dist.histogram(s.fact, "revenue", 40))
 
 
-@report("d1_hist_store_revenue", hist_sql("(SELECT store_id, round(sum(revenue), 4) AS x FROM fact GROUP BY ALL)", "x", 10))
+@report("d1_hist_store_revenue", hist_sql("(SELECT store_id, round(sum(revenue), 4) AS x FROM fact GROUP BY ALL)", "x", 10, digits=6))
 def _(s):
-    return shown(dist.histogram(groups.revenue_by(s.fact, "store_id"), F.round("revenue", 2), 10))
+    return shown(dist.histogram(groups.revenue_by(s.fact, "store_id"), F.round("revenue", 4), 10), 6)
 
 
 @report("d2_cumulative_histogram", f"""WITH h AS ({hist_sql("ctgt", "units_sold", 50)})

@@ -123,7 +123,7 @@ def sql(report: str) -> str:
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + report
 
 
-def hist_sql(source: str, value: str, bins: int, by: str = "") -> str:
+def hist_sql(source: str, value: str, bins: int, by: str = "", digits: int = 4) -> str:
     """Left-closed equal-width histogram with its empty bins."""
     keys, on = (f"{by}, ", f"USING ({by})") if by else ("", "ON true")
     group = f"GROUP BY {by}" if by else ""
@@ -135,8 +135,8 @@ def hist_sql(source: str, value: str, bins: int, by: str = "") -> str:
     p AS (SELECT {keys}v, lo, (hi - lo) / {bins} AS w, least(floor((v - lo) / ((hi - lo) / {bins})), {bins - 1}) AS b FROM d JOIN e {on}),
     c AS (SELECT {keys}CASE WHEN v < lo + b * w THEN b - 1 WHEN v >= lo + (b + 1) * w AND b < {bins - 1} THEN b + 1 ELSE b END AS bin,
         count(*) AS n FROM p GROUP BY ALL)
-    SELECT {out}CAST(r.bin AS INT) AS bin, round(lo + r.bin * ((hi - lo) / {bins}), 4) AS lo,
-        round(lo + (r.bin + 1) * ((hi - lo) / {bins}), 4) AS hi, CAST(coalesce(n, 0) AS BIGINT) AS "count"
+    SELECT {out}CAST(r.bin AS INT) AS bin, round(lo + r.bin * ((hi - lo) / {bins}), {digits}) AS lo,
+        round(lo + (r.bin + 1) * ((hi - lo) / {bins}), {digits}) AS hi, CAST(coalesce(n, 0) AS BIGINT) AS "count"
     FROM e CROSS JOIN range({bins}) AS r(bin) LEFT JOIN c ON {match}"""
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from demandgrid.session import shared_folder
+from demandgrid.sources.star import Star
 
 
 def write_result(df: DataFrame, name: str, folder: str | None = None, partition_by: str | None = None) -> str:
@@ -15,3 +16,21 @@ def write_result(df: DataFrame, name: str, folder: str | None = None, partition_
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     return path
+
+
+def with_written_target(star: Star, folder: str | None = None) -> Star:
+    """A star whose daily target is read back from a written table.
+
+    The target is the one relation most reports start from and is smaller than the order lines
+    by orders of magnitude. Writing it first lets a whole set of reports read the lines once,
+    and a lost executor costs a re-read instead of the joins.
+    """
+    path = write_result(star.target, "daily_target", folder)
+    written = Star(star.table, star.folder)
+    written.target = star.transaction.sparkSession.read.parquet(path)
+    return written
+
+
+def write_grid(star: Star, folder: str | None = None) -> str:
+    """The zero-filled grid with calendar columns, one directory per month for date-pruned reads."""
+    return write_result(star.calendar_grid, "calendar_grid", folder, partition_by="month")

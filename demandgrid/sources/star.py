@@ -54,13 +54,13 @@ class Star:
     submission: DataFrame
 
     def __init__(self, table: Callable[[str], DataFrame], folder: str | None = None):
-        self._table = table
+        self.table = table
         self.folder = folder
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
             raise AttributeError(name)
-        df = self._table(name)
+        df = self.table(name)
         setattr(self, name, df)
         return df
 
