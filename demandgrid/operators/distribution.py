@@ -123,16 +123,14 @@ def quantile_bins(counts: DataFrame, bins: int) -> DataFrame:
     edges = quantiles(counts, {name: i / bins for i, name in enumerate(names)}).select(
         F.array_distinct(F.array(*names)).alias("edges")
     )
-    placed = attach(counts, edges).select(
-        F.greatest(F.size(F.filter("edges", lambda e: e < F.col("value"))), F.lit(1)).alias("bin"), "n"
-    )
+    below = F.size(F.filter("edges", lambda e: e < F.col("value")))
+    placed = attach(counts, edges).select("edges", F.greatest(below, F.lit(1)).alias("bin"), "n")
     every = edges.where(F.size("edges") > 1).select(
-        F.explode(F.sequence(F.lit(1), F.size("edges") - 1)).alias("bin"), F.lit(0).cast("long").alias("n")
-    )
-    filled = placed.unionByName(every).groupBy("bin").agg(F.sum("n").alias("count"))
-    return attach(filled, edges).where(F.size("edges") > 1).select(
-        "bin", F.element_at("edges", F.col("bin")).alias("lo"), F.element_at("edges", F.col("bin") + 1).alias("hi"), "count"
+        "edges", F.explode(F.sequence(F.lit(1), F.size("edges") - 1)).alias("bin"), F.lit(0).cast("long").alias("n")
     )
+    filled = placed.unionByName(every).where(F.size("edges") > 1).groupBy("edges", "bin").agg(F.sum("n").alias("count"))
+    at = F.col("bin")
+    return filled.select("bin", F.element_at("edges", at).alias("lo"), F.element_at("edges", at + 1).alias("hi"), "count")
 
 
 def cut_equal_width(df: DataFrame, column: str, bins: int, measures: Mapping[str, Column]) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from demandgrid.functions.calendar import iso_year
 from demandgrid.functions.columns import percent
 from demandgrid.operators.facts import CELL, known, left_join_flag
-from demandgrid.operators.quantiles import quantiles, summary, value_counts
+from demandgrid.operators.quantiles import summary, value_counts
 from demandgrid.operators.ranking import keep_top_groups, top_k
 
 STORE_DAY = ["store_id", "date"]
@@ -168,7 +168,7 @@ def stock_lines(fact: DataFrame, inventory: DataFrame, with_store: bool = False)
     stock. ``sold`` counts each line once, whatever it met.
     """
     keys = ["store_id", "product_id", "date"] if with_store else ["product_id", "date"]
-    lines = known(fact, *keys).groupBy(*keys, "category", "week", "units_sold").agg(F.count("*").alias("lines"))
+    lines = known(fact, *keys).groupBy(*keys, "category", "units_sold").agg(F.count("*").alias("lines"))
     stock = known(inventory, *keys).groupBy(*keys).agg(
         F.count_if(F.coalesce("is_stockout", F.lit(False))).alias("out"), F.count("*").alias("held")
     )
@@ -176,7 +176,7 @@ def stock_lines(fact: DataFrame, inventory: DataFrame, with_store: bool = False)
         {"out": F.coalesce("out", F.lit(0)), "held": F.coalesce("held", F.lit(1))}
     )
     states = met.selectExpr(
-        "category", "week", "units_sold AS value",
+        "category", "weekofyear(date) AS week", "units_sold AS value",
         "stack(2, true, lines * out, 0L, false, lines * (held - out), lines) AS (is_stockout, n, sold)",
     )
     return states.groupBy("category", "week", "is_stockout", "value").agg(F.sum("n").alias("n"), F.sum("sold").alias("sold"))
@@ -187,23 +187,16 @@ def stock_value_counts(lines: DataFrame, *by: str) -> DataFrame:
     return lines.where("n > 0").groupBy(*by, "is_stockout", "value").agg(F.sum("n").alias("n"))
 
 
-def _rate(n_all, n_out):
-    return percent(n_out, n_all)
-
-
 def stock_line_rate(lines: DataFrame, *by: str) -> DataFrame:
     """Percent of (weighted) lines sold out of stock, overall or by category, with the rows behind it."""
     out = F.sum(F.when(F.col("is_stockout"), F.col("n")).otherwise(0))
-    return lines.groupBy(*by).agg(_rate(F.sum("n"), out).alias("stockout_pct"), F.sum("n").alias("rows"))
+    return lines.groupBy(*by).agg(percent(out, F.sum("n")).alias("stockout_pct"), F.sum("n").alias("rows"))
 
 
 def stock_line_impact(lines: DataFrame) -> DataFrame:
     """Mean and median line units and rows, in and out of stock."""
-    counts = stock_value_counts(lines)
-    means = counts.groupBy("is_stockout").agg(
-        (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"), F.sum("n").alias("rows")
-    )
-    return means.join(quantiles(counts, {"median": 0.5}, ["is_stockout"]), "is_stockout")
+    stats = summary(stock_value_counts(lines), ["is_stockout"])
+    return stats.select("is_stockout", "mean", "median", F.col("count").alias("rows"))
 
 
 def top_stock_lines(lines: DataFrame, k: int = 4) -> DataFrame:

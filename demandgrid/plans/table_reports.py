@@ -92,8 +92,10 @@ def _(s):
 
 @report("l6_write_result", "SELECT category, month, sum(units_sold) AS units, round(avg(units_sold), 4) AS mean_units FROM fact GROUP BY ALL")
 def _(s):
-    path = write_result(groups.units_by(s.fact, ["category", "month"], "units", "mean_units"), "category_month")
-    return shown(s.transaction.sparkSession.read.parquet(path))
+    spark = s.transaction.sparkSession
+    name = f"category_month-{spark.sparkContext.applicationId}"
+    path = write_result(groups.units_by(s.fact, ["category", "month"], "units", "mean_units"), name)
+    return shown(spark.read.parquet(path))
 
 
 # --- projections, predicates, derived columns ------------------------------------------------
