@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from demandgrid.functions.columns import all_known, equal_width_bin, estimated_cost, normal_quantile, percent, right_closed_bin
 from demandgrid.operators.quantiles import attach, quantiles, rank_spans, value_counts
+from demandgrid.session import spread
 
 DISCOUNT_EDGES = [0, 10, 20, 30, 40, 100]
 RANKS_PER_CHUNK = 100_000
@@ -191,9 +192,8 @@ def normal_plot(df: DataFrame, column: str = "units_sold") -> DataFrame:
         "last",
         F.explode(F.sequence("first", "last", F.lit(RANKS_PER_CHUNK))).alias("chunk"),
     )
-    spread = df.sparkSession.sparkContext.defaultParallelism
     until = F.least(F.col("chunk") + (RANKS_PER_CHUNK - 1), F.col("last"))
-    ranks = chunks.repartition(spread, "chunk").select(
+    ranks = chunks.repartition(spread(df.sparkSession), "chunk").select(
         "value", "total", F.explode(F.sequence(F.col("chunk") + 1, until + 1)).alias("position")
     )
     n, i = F.col("total").cast("double"), F.col("position").cast("double")

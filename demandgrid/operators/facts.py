@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from demandgrid.functions.calendar import day_name, weekday
 from demandgrid.functions.columns import all_known
+from demandgrid.session import spread
 
 CELL = ["store_id", "category", "date"]
 ORDER_COLUMNS = ["order_id", "store_id", "date", "hour", "customer_id", "payment_method"]
@@ -93,8 +94,7 @@ def grid_keys(target: DataFrame) -> DataFrame:
     pairs = span.select(F.explode("stores").alias("store_id"), "categories", "first", "last").select(
         "store_id", F.explode("categories").alias("category"), "first", "last"
     )
-    spread = target.sparkSession.sparkContext.defaultParallelism
-    return pairs.repartition(spread, "store_id", "category").select(
+    return pairs.repartition(spread(target.sparkSession), "store_id", "category").select(
         "store_id", "category", F.explode(F.sequence("first", "last")).alias("date")
     )
 

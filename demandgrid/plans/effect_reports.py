@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from demandgrid.operators import effects, facts
+from demandgrid.operators.ranking import top_k
 from demandgrid.plans.catalog import report, shown
 
 _MEANS = 'SELECT {flag}, round(avg(units_sold), 4) AS mean_units, count(*) AS "rows" FROM {source} GROUP BY ALL'
@@ -124,6 +125,13 @@ def _(s):
     return shown(effects.stockout_by_category(s.inventory, s.product))
 
 
+@report("f12_top5_stockout_categories", """SELECT category, CAST(count_if(is_stockout) AS BIGINT) AS stockouts
+    FROM c_inv JOIN c_prod USING (product_id) GROUP BY ALL ORDER BY stockouts DESC, category LIMIT 5""")
+def _(s):
+    counts = effects.stockout_by_category(s.inventory, s.product).select("category", "stockouts")
+    return top_k(counts, "category", "stockouts", 5)
+
+
 @report("f13_stockout_week_rate", "SELECT CAST(week(date) AS INT) AS week, round(avg(rate), 4) AS rate FROM inv_rate GROUP BY ALL")
 def _(s):
     return shown(effects.stockout_week_rate(s.inventory))

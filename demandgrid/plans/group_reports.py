@@ -96,6 +96,11 @@ def _(s):
 _NEIGHBORHOOD = ("units", "mean_units", "std_units", "min_units", "max_units", "rows")
 
 
+@report("g8_category_week_top5", _TOP.format(axis="week", top="(SELECT category FROM fact GROUP BY category ORDER BY sum(units_sold) DESC, category LIMIT 5)"))
+def _(s):
+    return shown(groups.top_category_profile(s.fact, "week", k=5))
+
+
 @report("g9_neighborhood_stats", """SELECT neighborhood_type, sum(units_sold) AS units, round(avg(units_sold), 4) AS mean_units,
     round(stddev_samp(units_sold), 4) AS std_units, min(units_sold) AS min_units, max(units_sold) AS max_units, count(*) AS "rows",
     round(avg(units_sold) - stddev_samp(units_sold), 4) AS band_lo, round(avg(units_sold) + stddev_samp(units_sold), 4) AS band_hi

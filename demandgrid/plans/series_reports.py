@@ -194,6 +194,12 @@ def _(s):
     return series.dense_series(s.grid)
 
 
+@report("t6_densest_series", """SELECT store_id, category, count(*) AS "rows" FROM grid GROUP BY ALL HAVING count(*) > 300
+    ORDER BY count(*) DESC, store_id, category LIMIT 1""")
+def _(s):
+    return series.densest_series(s.grid)
+
+
 @report("t7_forecast_window_flag", """SELECT date, units_sold, date BETWEEN DATE '2001-06-02' AND DATE '2001-08-01' AS in_window FROM daily""")
 def _(s):
     return series.forecast_window_flag(facts.daily_total(s.target), "2001-06-02", "2001-08-01")

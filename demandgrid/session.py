@@ -28,6 +28,14 @@ def build_session(app: str = "demandgrid", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def spread(spark: SparkSession) -> int:
+    """Into how many parts a small frame is split before its rows unfold into many.
+
+    The core count alone would be too low while executors are still being allocated.
+    """
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 

@@ -122,3 +122,27 @@ def test_empty_tables_give_empty_reports(spark, star):
     empty = Star(lambda name: star.tables[name].limit(0))
     assert empty.target.count() == 0 and empty.grid.count() == 0
     assert groups.category_summary(empty.fact).count() == 0
+
+
+def test_one_order_with_a_third_of_the_lines_is_split(spark, star):
+    """A hot join key: the shuffled join splits its partition and the totals stay whole."""
+    lines = star.transaction
+    hot = lines.unionByName(lines.where("order_id > 5").withColumn("order_id", F.lit(5).cast("long"))).unionByName(lines)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        target = facts.daily_target(hot.repartition(8), star.order, star.product)
+        units = sum(row.units_sold for row in target.collect())
+        assert "skew=true" in plan_of(target)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert units == hot.agg(F.sum("units_sold")).first()[0]
