@@ -26,11 +26,6 @@ def percent(above: Column, below: Column) -> Column:
     return F.try_divide(above * 100.0, below)
 
 
-def share_where(condition: Column) -> Column:
-    """Aggregate: the share of rows for which ``condition`` holds."""
-    return F.avg(condition.cast("double"))
-
-
 def mean_where(condition: Column, value: Column) -> Column:
     """Aggregate: the mean of ``value`` over the rows for which ``condition`` holds."""
     return F.avg(F.when(condition, value))

@@ -7,7 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandgrid.functions.columns import all_known, equal_width_bin, estimated_cost, normal_quantile, percent, right_closed_bin
+from demandgrid.functions.columns import (
+    all_known, equal_width_bin, estimated_cost, normal_quantile, percent, right_closed_bin,
+)
 from demandgrid.operators.quantiles import attach, quantiles, rank_spans, value_counts
 from demandgrid.session import spread
 
@@ -16,7 +18,10 @@ RANKS_PER_CHUNK = 100_000
 
 
 def _bounds(data: DataFrame, by: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
-    """Least and greatest value per group as ``<prefix>lo`` and ``<prefix>hi``; a constant gets half a unit each way."""
+    """Least and greatest value per group as ``<prefix>lo`` and ``<prefix>hi``.
+
+    A constant column gets half a unit each way.
+    """
     ends = data.groupBy(*by).agg(
         *[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in columns.values()]
     )
@@ -28,25 +33,37 @@ def _bounds(data: DataFrame, by: Sequence[str], columns: Mapping[str, str]) -> D
     )
 
 
-def histogram(df: DataFrame, column: str | Column, bins: int, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+def histogram(
+    df: DataFrame, column: str | Column, bins: int, by: Sequence[str] = (), weight: str | None = None
+) -> DataFrame:
     """(by..., bin, lo, hi, count): left-closed bins of equal width over each group's range.
 
     Empty bins are kept. ``weight`` names a count column when ``df`` is already value counts.
     """
     value = F.col(column) if isinstance(column, str) else column
-    data = df.select(*by, value.cast("double").alias("value"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("n"))
+    count = F.col(weight) if weight else F.lit(1)
+    data = df.select(*by, value.cast("double").alias("value"), count.cast("long").alias("n"))
     data = data.where(all_known(*by, "value"))
     bounds = _bounds(data, by, {"": "value"})
-    lo, hi = F.col("lo"), F.col("hi")
-    filled = attach(data, bounds, by).select(*by, "lo", "hi", equal_width_bin(F.col("value"), lo, hi, bins).alias("bin"), "n")
-    empty = bounds.select(*by, "lo", "hi", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"), F.lit(0).cast("long").alias("n"))
+    lo, hi, number = F.col("lo"), F.col("hi"), F.col("bin")
+    filled = attach(data, bounds, by).select(
+        *by, "lo", "hi", equal_width_bin(F.col("value"), lo, hi, bins).alias("bin"), "n"
+    )
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))
+    empty = bounds.select(*by, "lo", "hi", F.explode(numbers).alias("bin"), F.lit(0).cast("long").alias("n"))
     width = (hi - lo) / bins
     return (
         filled.unionByName(empty)
         .where(lo.isNotNull())
         .groupBy(*by, "lo", "hi", "bin")
         .agg(F.sum("n").alias("count"))
-        .select(*by, F.col("bin").cast("int").alias("bin"), (lo + F.col("bin") * width).alias("lo"), (lo + (F.col("bin") + 1) * width).alias("hi"), "count")
+        .select(
+            *by,
+            number.cast("int").alias("bin"),
+            (lo + number * width).alias("lo"),
+            (lo + (number + 1) * width).alias("hi"),
+            "count",
+        )
     )
 
 
@@ -135,7 +152,10 @@ def quantile_bins(counts: DataFrame, bins: int) -> DataFrame:
 
 
 def cut_equal_width(df: DataFrame, column: str, bins: int, measures: Mapping[str, Column]) -> DataFrame:
-    """Aggregates over right-closed bins of equal width; the lowest edge sits 0.1 % of the range below the minimum."""
+    """Aggregates over right-closed bins of equal width.
+
+    The lowest edge sits 0.1 % of the range below the minimum, so that the minimum is inside.
+    """
     value = F.col(column).cast("double")
     known = df.where(value.isNotNull())
     lo, hi = F.col("_lo"), F.col("_hi")
@@ -154,7 +174,9 @@ def cut_equal_width(df: DataFrame, column: str, bins: int, measures: Mapping[str
     )
 
 
-def discount_bands(fact: DataFrame, edges: Sequence[float] = DISCOUNT_EDGES, with_undiscounted: bool = False) -> DataFrame:
+def discount_bands(
+    fact: DataFrame, edges: Sequence[float] = DISCOUNT_EDGES, with_undiscounted: bool = False
+) -> DataFrame:
     """Units, revenue and estimated gross profit by right-closed discount band.
 
     Undiscounted lines belong to no band; ``with_undiscounted`` reports them as band 0.
@@ -175,7 +197,9 @@ def discount_bands(fact: DataFrame, edges: Sequence[float] = DISCOUNT_EDGES, wit
             F.sum("revenue").alias("revenue"),
             F.avg(profit).alias("mean_gross_profit"),
         )
-        .withColumns({"lo": F.when(F.col("bin") > 0, F.get(lo, F.col("bin") - 1)).otherwise(0.0), "hi": F.get(lo, F.col("bin"))})
+        .withColumns(
+            {"lo": F.when(F.col("bin") > 0, F.get(lo, F.col("bin") - 1)).otherwise(0.0), "hi": F.get(lo, F.col("bin"))}
+        )
     )
 
 
@@ -213,5 +237,6 @@ def normal_fit(points: DataFrame) -> DataFrame:
 
 def describe_of_describe(stats: DataFrame, by: str = "neighborhood_type") -> DataFrame:
     """Second-level summary of hourly statistics per neighbourhood."""
-    spread = [f(c).alias(f"{c}_{n}") for c in ("mean", "median") for n, f in (("min", F.min), ("mean", F.avg), ("max", F.max))]
-    return stats.groupBy(by).agg(*spread, F.max("max").alias("max_max"))
+    levels = (("min", F.min), ("mean", F.avg), ("max", F.max))
+    measures = [f(c).alias(f"{c}_{name}") for c in ("mean", "median") for name, f in levels]
+    return stats.groupBy(by).agg(*measures, F.max("max").alias("max_max"))

@@ -189,7 +189,8 @@ def weekend_holiday_interaction(target: DataFrame) -> DataFrame:
 def weekend_holiday_matrix(target: DataFrame) -> DataFrame:
     """The same means with one column per holiday value; NULL where a combination never occurred."""
     return known(target, "is_weekend", "is_holiday").groupBy("is_weekend").agg(
-        mean_where(~F.col("is_holiday"), F.col("units_sold")).alias("regular"), mean_where(F.col("is_holiday"), F.col("units_sold")).alias("holiday")
+        mean_where(~F.col("is_holiday"), F.col("units_sold")).alias("regular"),
+        mean_where(F.col("is_holiday"), F.col("units_sold")).alias("holiday"),
     )
 
 
@@ -207,20 +208,25 @@ def discount_by_category(fact: DataFrame) -> DataFrame:
 
 
 def discount_volume_lift(transaction: DataFrame, margin: float = 100.0, discounted_margin: float = 50.0) -> DataFrame:
-    """Mean units with and without discount, and the margin each would earn per line under assumed unit margins."""
+    """Mean units with and without discount, and what each would earn per line under assumed unit margins."""
     given, units = F.col("discount_applied"), F.col("units_sold")
     means = transaction.agg(
         mean_where(given == 0, units).alias("units_no_discount"), mean_where(given > 0, units).alias("units_discount")
     )
     return means.withColumns(
-        {"margin_no_discount": F.col("units_no_discount") * margin, "margin_discount": F.col("units_discount") * discounted_margin}
+        {
+            "margin_no_discount": F.col("units_no_discount") * margin,
+            "margin_discount": F.col("units_discount") * discounted_margin,
+        }
     )
 
 
 def product_mix(fact: DataFrame) -> DataFrame:
     """Units, revenue and lines per category in whole numbers, with average price and both shares."""
     totals = known(fact, "category").groupBy("category").agg(
-        F.round(F.sum("units_sold")).alias("units"), F.round(F.sum("revenue")).alias("revenue"), F.count("order_id").alias("lines")
+        F.round(F.sum("units_sold")).alias("units"),
+        F.round(F.sum("revenue")).alias("revenue"),
+        F.count("order_id").alias("lines"),
     )
     priced = totals.withColumn("avg_price", ratio(F.col("revenue"), F.col("units")))
     return share_of_total(share_of_total(priced, "units", "units_pct"), "revenue", "revenue_pct")
@@ -262,14 +268,17 @@ def kpi_scorecard(fact: DataFrame, order: DataFrame, split_month: int = 9) -> Da
 def holiday_period_impact(fact: DataFrame) -> DataFrame:
     in_period = month_is_holiday(F.col("date"))
     return fact.agg(
-        mean_where(~in_period, F.col("revenue")).alias("regular_mean"), mean_where(in_period, F.col("revenue")).alias("holiday_mean")
+        mean_where(~in_period, F.col("revenue")).alias("regular_mean"),
+        mean_where(in_period, F.col("revenue")).alias("holiday_mean"),
     )
 
 
 def data_readiness(target: DataFrame, cells: int, stores: int, categories: int) -> DataFrame:
     """Percent of the expected cells, stores and categories present in the target."""
     present = target.agg(
-        F.count("*").alias("rows"), F.count_distinct("store_id").alias("stores"), F.count_distinct("category").alias("categories")
+        F.count("*").alias("rows"),
+        F.count_distinct("store_id").alias("stores"),
+        F.count_distinct("category").alias("categories"),
     )
     return present.select(
         percent(F.col("rows"), F.lit(cells)).alias("data_coverage"),
@@ -304,7 +313,11 @@ def attribute_bar(store_sales: DataFrame, attribute: str = "neighborhood_type")
 
 
 def attribute_bar_interval(
-    store_sales: DataFrame, attribute: str = "neighborhood_type", replicates: int = 1000, seed: int = 17, level: float = 0.95
+    store_sales: DataFrame,
+    attribute: str = "neighborhood_type",
+    replicates: int = 1000,
+    seed: int = 17,
+    level: float = 0.95,
 ) -> DataFrame:
     """Bootstrap confidence interval of :func:`attribute_bar`.
 
@@ -318,7 +331,8 @@ def attribute_bar_interval(
         (F.row_number().over(group.orderBy("store_id")) - 1).cast("long").alias("position"),
         F.count("*").over(group).alias("size"),
     )
-    draws = stores.select(attribute, "size", "position", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    runs = F.sequence(F.lit(1), F.lit(replicates))
+    draws = stores.select(attribute, "size", "position", F.explode(runs).alias("replicate"))
     drawn = F.pmod(F.xxhash64(F.lit(seed), attribute, "replicate", "position"), F.col("size"))
     resampled = draws.select(attribute, "replicate", drawn.alias("position")).join(
         stores.select(attribute, "position", "mean_units"), [attribute, "position"]

@@ -56,7 +56,8 @@ def keep_top_groups(grouped: DataFrame, key: str, weight: Column, k: int) -> Dat
     """
     total = F.sum(weight).over(Window.partitionBy(key))
     place = F.dense_rank().over(Window.orderBy(F.desc("_total"), key))
-    return grouped.withColumn("_total", total).withColumn("_place", place).where(F.col("_place") <= k).drop("_total", "_place")
+    placed = grouped.withColumn("_total", total).withColumn("_place", place)
+    return placed.where(F.col("_place") <= k).drop("_total", "_place")
 
 
 def hour_neighborhood_weekday(fact: DataFrame, complete: bool = False) -> DataFrame:
@@ -96,7 +97,8 @@ def workload_split(hourly: DataFrame, value: str = "units") -> DataFrame:
     """Units in peak hours (above the upper quartile of hours), off-peak (up to the lower) and the rest."""
     amount = F.col(value)
     kind = F.when(amount > F.col("high"), "peak").when(amount <= F.col("low"), "off_peak").otherwise("mid")
-    return _with_quartiles(hourly, value).groupBy(kind.alias("class")).agg(F.sum(value).alias("units"), F.count("*").alias("hours"))
+    classed = _with_quartiles(hourly, value).groupBy(kind.alias("class"))
+    return classed.agg(F.sum(value).alias("units"), F.count("*").alias("hours"))
 
 
 def peak_hours(hourly: DataFrame, value: str = "mean_revenue") -> DataFrame:

@@ -26,14 +26,16 @@ def _by_date():
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of columns as (a, b, r), computed in one aggregation."""
     types = dict(df.dtypes)
-    numeric = df.select(*[flag_as_double(F.col(c)).alias(c) if types[c] == "boolean" else F.col(c).cast("double").alias(c) for c in columns])
+    numeric = df.select(
+        *[(flag_as_double(F.col(c)) if types[c] == "boolean" else F.col(c).cast("double")).alias(c) for c in columns]
+    )
     pairs = list(combinations(columns, 2))
     row = numeric.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     r = {(a, b): F.col(f"`{a}|{b}`") for a, b in pairs}
+    r.update({(b, a): value for (a, b), value in list(r.items())})
+    r.update({(a, a): F.lit(1.0) for a in columns})
     cells = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.lit(1.0) if a == b else r.get((a, b), r.get((b, a)))).alias("r"))
-        for a in columns
-        for b in columns
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r[a, b].alias("r")) for a in columns for b in columns
     ]
     return row.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
 
