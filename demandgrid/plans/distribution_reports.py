@@ -62,14 +62,14 @@ def _(s):
     return shown(dist.histogram(_top4_counts(s), "value", 30, ["category"], weight="n"))
 
 
-@report("d1_hist_revenue_50", hist_sql("fact", "revenue", 50))
+@report("d1_hist_revenue_50", hist_sql("fact", "revenue", 50, digits=8))
 def _(s):
-    return shown(dist.histogram(s.fact, "revenue", 50))
+    return shown(dist.histogram(s.fact, "revenue", 50), 8)
 
 
-@report("d1_hist_revenue_40", hist_sql("fact", "revenue", 40))
+@report("d1_hist_revenue_40", hist_sql("fact", "revenue", 40, digits=8))
 def _(s):
-    return shown(dist.histogram(s.fact, "revenue", 40))
+    return shown(dist.histogram(s.fact, "revenue", 40), 8)
 
 
 @report("d1_hist_store_revenue", hist_sql("(SELECT store_id, round(sum(revenue), 4) AS x FROM fact GROUP BY ALL)", "x", 10, digits=6))
@@ -143,7 +143,7 @@ _QQ = f"""o AS (SELECT units_sold AS value, row_number() OVER (ORDER BY units_so
     qq AS (SELECT i AS "position", {_QUANTILE_SQL} AS theoretical, value FROM m)"""
 
 
-@report("d7_qq_normal_points", f"""WITH {_QQ} SELECT "position", round(theoretical, 4) AS theoretical, value FROM qq""")
+@report("d7_qq_normal_points", f"""WITH {_QQ} SELECT "position", CASE WHEN abs(theoretical) < 0.00005 THEN 0.0 ELSE round(theoretical, 4) END AS theoretical, value FROM qq""")
 def _(s):
     return shown(dist.normal_plot(s.calendar_target))
 
