@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +39,12 @@ def checked_broadcast(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFr
     return F.broadcast(df) if rows <= most else df
 
 
+def shipped(spark: SparkSession, model: object) -> Callable[[], object]:
+    """Broadcasts a model of bounded size; a task calls the result to get its copy."""
+    content = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    return lambda: pickle.loads(content.value)
+
+
 def doc_remainder(doc_id: str | Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``; a null id gives null."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
