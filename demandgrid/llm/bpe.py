@@ -239,7 +239,7 @@ def encoded(
     with open(vocabulary, "rb") as file:
         content = docs.sparkSession.sparkContext.broadcast(file.read())
     fields = [("doc_id", docs.schema["doc_id"].dataType.simpleString()), ("n_tokens", "bigint")]
-    fields += [("ids", "array<bigint>")] * ids + [("decoded", "string")] * decoded
+    fields += [("ids", "array<int>")] * ids + [("decoded", "string")] * decoded
     fields += [("ids_sha256", "string"), ("decoded_sha256", "string")] * digests
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +252,7 @@ def encoded(
                 out["n_tokens"].append(len(one))
                 text = encoder.decode(one) if decoded or digests else None
                 if ids:
-                    out["ids"].append(one.astype(np.int64))
+                    out["ids"].append(one.astype(np.int32))
                 if decoded:
                     out["decoded"].append(text)
                 if digests:

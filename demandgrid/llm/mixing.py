@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandgrid.llm.shared import WORD, written
+from demandgrid.llm.shared import WORD, checked_broadcast, written
 
 
 def word_count(text: str = "text") -> Column:
@@ -94,11 +94,13 @@ def mix(
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents themselves: each row of ``docs`` as often as ``mix`` takes it, with the columns of ``docs``.
 
-    Ids are taken to be unique, as in a corpus that was deduplicated before; rows with a null id are left out.
+    A null id is replaced by a hash of source and text while mixing. Rows that repeat an id share its copies evenly.
     """
-    copies = mix(docs, **options).where("copies > 0 AND doc_id IS NOT NULL").select("doc_id", "copies")
-    taken = docs.join(copies.withColumnRenamed("copies", "__copies"), "doc_id").select(docs.columns + ["__copies"])
-    return taken.withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__copies")
+    node = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("source", "text"))
+    mixed = mix(docs.select(node.alias("doc_id"), "source", "text"), **options)
+    copies = written(mixed.groupBy(F.col("doc_id").alias("__node")).agg(F.round(F.avg("copies")).cast("int").alias("__copies")), "mix-copies")
+    taken = docs.withColumn("__node", node).join(checked_broadcast(copies, copies.count()), "__node").where("__copies > 0")
+    return taken.withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
 
 
 OP10_SQL = """

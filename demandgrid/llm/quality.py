@@ -185,6 +185,21 @@ def scored(docs: DataFrame, machine: Machine | None, threshold: float = 0.3) ->
     return found.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
+def accepted(docs: DataFrame, machine: Machine | None, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``, unchanged. Without a model all stay."""
+    load = shipped(docs.sparkSession, machine)
+    with_count = "n_chars" in docs.columns
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, model = WordHashes(), load()
+        for batch in slices(batches, "text"):
+            counts = batch.column("n_chars").to_pylist() if with_count else [None] * batch.num_rows
+            rows = zip(binary_texts(batch.column("text")), counts)
+            yield batch.filter(pa.array([model is None or model.score(*_features(hashes, text, n)) >= threshold for text, n in rows], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     machine = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), doc_remainder("doc_id", 5) != 0)
