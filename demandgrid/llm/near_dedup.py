@@ -1,12 +1,12 @@
 """Near-duplicate documents by b-bit MinHash.
 
-Every document gets 192 minima over its set of word shingles; bands of six minima propose pairs. Of each minimum
+Every document gets 512 minima over its set of word shingles; bands of six of them propose pairs. Of each minimum
 only the low four bits are kept and packed, and the share of equal places, corrected for chance collisions, estimates a
 pair's similarity; pairs that may reach the threshold are confirmed on their full sets.
 
-Documents with the same set are one representative. Within a bucket of a band every member is first compared with the bucket's
-smallest member alone; after the components of these links are known, only members of different components meet, so a large
-group of copies never unfolds into all its pairs.
+Documents with the same set are one representative. Within a bucket of a band every member is first compared with one leader
+alone, the member that meets most others in all its buckets; after the components of these links are known, only members of
+different components meet, so a large group of copies does not unfold into all its pairs.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandgrid.llm.shared import WordHashes, binary_texts, checked_broadcast, components, mixed, run_hashes, slices, written
@@ -23,9 +23,10 @@ from demandgrid.llm.shared import WordHashes, binary_texts, checked_broadcast, c
 WORDS = 5
 BANDS = 32
 ROWS = 6
+PLACES = 512
 KEPT_BITS = 4
-# A pair at the threshold is estimated with a deviation of about 0.03 over 192 places; six deviations lose none in practice.
-SLACK = 0.18
+# A pair at the threshold is estimated with a deviation of about 0.017 over all places; this is five of them.
+SLACK = 0.085
 SHINGLE_SEED = 5
 
 
@@ -40,45 +41,50 @@ def shingle_set(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
 class MinHasher:
     """Minima of many permutations: multiply-add hashes of the upper 32 bits of a shingle's hash."""
 
-    def __init__(self, places: int = BANDS * ROWS, seed: int = 1):
+    def __init__(self, places: int = PLACES, seed: int = 1):
         rng = np.random.default_rng(seed)
         self.factors = (rng.integers(0, 1 << 31, places, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
         self.offsets = rng.integers(0, 1 << 32, places, dtype=np.uint32)
+        self.space = np.empty((256, places), np.uint32)
 
     def minima(self, shingles: np.ndarray) -> np.ndarray:
         values = (shingles >> np.uint64(32)).astype(np.uint32)
         least = np.full(len(self.factors), np.uint32(0xFFFFFFFF))
-        for start in range(0, len(values), 8192):
-            part = values[start : start + 8192]
-            for place, (factor, offset) in enumerate(zip(self.factors, self.offsets)):
-                least[place] = min(least[place], (part * factor + offset).min())
+        for start in range(0, len(values), len(self.space)):
+            part = values[start : start + len(self.space), None]
+            space = np.multiply(part, self.factors, out=self.space[: len(part)])
+            space += self.offsets
+            np.minimum(least, space.min(axis=0), out=least)
         return least
 
     @staticmethod
     def band_keys(minima: np.ndarray) -> np.ndarray:
         """One key per band, of the full minima."""
-        rows = minima.astype(np.uint64).reshape(BANDS, ROWS)
+        rows = minima[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS)
         key = np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(40)
         for place in range(ROWS):
             key = mixed(key ^ rows[:, place])
         return key.view(np.int64)
 
     @staticmethod
-    def packed(minima: np.ndarray) -> bytes:
-        """The low bits of all minima, two places to a byte. The minima are mixed first, as their own low bits depend on few bits."""
-        low = (mixed(minima.astype(np.uint64)) & np.uint64((1 << KEPT_BITS) - 1)).astype(np.uint8)
-        return (low[::2] << KEPT_BITS | low[1::2]).tobytes()
-
-
-def estimated(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Similarities of packed signatures (rows of bytes): equal places counted by bits, corrected for chance collisions."""
-    differ = left ^ right
-    differ |= differ >> 2
-    differ = (differ | differ >> 1) & 0x11  # one bit for each place that differs
-    places = left.shape[1] * 2
-    equal = 1 - np.bitwise_count(differ.view(np.uint8)).sum(axis=1, dtype=np.int64) / places
+    def packed(minima: np.ndarray) -> np.ndarray:
+        """The low bits of all minima, sixteen places to a 64-bit number. The minima are mixed first, as their own low bits depend on few bits."""
+        low = (mixed(minima.astype(np.uint64)) & np.uint64((1 << KEPT_BITS) - 1)).reshape(-1, 64 // KEPT_BITS)
+        return np.bitwise_or.reduce(low << np.arange(0, 64, KEPT_BITS, dtype=np.uint64), axis=1).view(np.int64)
+
+
+def estimated(left: Column, right: Column) -> Column:
+    """Similarity by two packed signatures: places that differ counted by bits, corrected for chance collisions."""
+
+    def differ(x: Column, y: Column) -> Column:
+        bits = x.bitwiseXOR(y)
+        for shift in (1, 2):  # folds the four bits of a place into its lowest
+            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, shift))
+        return F.bit_count(bits.bitwiseAND(F.lit(0x1111111111111111)))
+
+    places = F.aggregate(F.zip_with(left, right, differ), F.lit(0), lambda total, n: total + n)
     chance = 2.0**-KEPT_BITS
-    return (equal - chance) / (1 - chance)
+    return 1 - places / PLACES / (1 - chance)
 
 
 def _digest(shingles: np.ndarray) -> tuple[int, int]:
@@ -101,24 +107,12 @@ def _signed(hasher: MinHasher):
                 set_b.append(b)
                 bands.append(None if minima is None else hasher.band_keys(minima))
                 packed.append(None if minima is None else hasher.packed(minima))
-            columns = [pa.array(sizes, pa.int64()), pa.array(set_a, pa.int64()), pa.array(set_b, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.binary())]
+            columns = [pa.array(sizes, pa.int64()), pa.array(set_a, pa.int64()), pa.array(set_b, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "packed"])
 
     return run
 
 
-def _likely(threshold: float):
-    """Keeps the pairs whose estimated similarity may reach the threshold."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("packed_a", "packed_b"))
-                yield batch.select(["a", "b"]).filter(pa.array(estimated(left, right) >= threshold - SLACK))
-
-    return run
-
-
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in slices(batches, "text"):
@@ -141,15 +135,9 @@ def _confirmed(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, signed: DataFrame, docs: DataFrame, percent: int, label: str) -> DataFrame:
-    """The (a, b) of ``pairs`` of representatives that link: those whose estimate allows it, confirmed on the full sets."""
-    packed = signed.select("rep", "packed")
-    likely = written(
-        pairs.join(packed.select(F.col("rep").alias("a"), F.col("packed").alias("packed_a")), "a")
-        .join(packed.select(F.col("rep").alias("b"), F.col("packed").alias("packed_b")), "b")
-        .select("a", "b", "packed_a", "packed_b").mapInArrow(_likely(percent / 100), "a long, b long"),
-        f"{label}-likely",
-    )
+def _links(likely: DataFrame, docs: DataFrame, percent: int, label: str) -> DataFrame:
+    """The (a, b) of ``likely`` pairs of representatives that link by their full sets."""
+    likely = written(likely, f"{label}-likely")
     wanted = written(likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), f"{label}-wanted")
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(checked_broadcast(wanted, wanted.count()), "rep")
     sets = written(texts.mapInArrow(_sets, "rep long, shingles array<long>"), f"{label}-sets")
@@ -175,7 +163,7 @@ def link_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(
-        whole.mapInArrow(_signed(MinHasher()), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, packed binary"), "near-signed"
+        whole.mapInArrow(_signed(MinHasher()), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, packed array<long>"), "near-signed"
     )
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
@@ -185,19 +173,30 @@ def link_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
     signed_heads = heads.select("rep", "bands", "packed")
     buckets = signed_heads.select("rep", F.explode("bands").alias("key"))  # an id with several texts has the buckets of all
-    shared = buckets.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = written(buckets.join(shared, "key").select("key", "rep", "first"), "near-buckets")
-
-    stars = met.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _links(stars, signed_heads, whole, percent, "near-stars")
+    shared = buckets.groupBy("key").agg((F.count("*") - 1).alias("others")).where("others > 0")
+    met = written(buckets.join(shared, "key"), "near-buckets")
+    standing = written(met.groupBy("rep").agg(F.sum("others").alias("standing")), "near-standing")
+    leaders = met.join(standing, "rep").groupBy("key").agg(F.max(F.struct("standing", -F.col("rep"))).alias("leader"))
+    met = written(met.select("key", "rep").join(leaders.select("key", (-F.col("leader.col2")).alias("first")), "key"), "near-led")
+
+    stars = met.where("rep <> first").select(F.least("first", "rep").alias("a"), F.greatest("first", "rep").alias("b")).distinct()
+    least = percent / 100 - SLACK
+    left, right = (signed_heads.select(F.col("rep").alias(c), F.col("packed").alias(f"packed_{c}")) for c in "ab")
+    near = stars.join(left, "a").join(right, "b").where(estimated(F.col("packed_a"), F.col("packed_b")) >= least)
+    links = _links(near.select("a", "b").distinct(), whole, percent, "near-stars")
     groups = components(links, "near-stars")
     grouped = met.select("key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     apart = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_ = written(grouped.join(apart, "key"), "near-open")
-    other = open_.select("key", F.col("rep").alias("other"), F.col("component").alias("other_component"))
-    crossing = open_.join(other, "key").where("component < other_component").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-    crossing = crossing.join(stars, ["a", "b"], "left_anti")
-    more = _links(crossing, signed_heads, whole, percent, "near-crossing")
+    open_ = grouped.join(apart, "key").join(signed_heads, "rep")
+    open_ = written(open_.where(F.array_contains("bands", F.col("key"))), "near-open")  # an id with several texts: those in the bucket
+    other = open_.select(*(F.col(c).alias(f"other_{c}") for c in ("key", "rep", "component", "bands", "packed")))
+    # a pair meets in each band it shares, but is only let through in that of the smallest key
+    once = F.col("component") < F.col("other_component")
+    once &= estimated(F.col("packed"), F.col("other_packed")) >= least
+    once &= F.col("key") == F.array_min(F.array_intersect("bands", "other_bands"))
+    crossing = open_.join(other, (F.col("key") == F.col("other_key")) & once)
+    crossing = crossing.select(F.least("rep", "other_rep").alias("a"), F.greatest("rep", "other_rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    more = _links(crossing, whole, percent, "near-crossing")
 
     copies = some.join(same.where("n > 1").drop("n"), ["set_a", "set_b"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
     labels = components(links.union(more).union(copies), "near-components").withColumnRenamed("node", "doc_id")

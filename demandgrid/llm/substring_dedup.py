@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from demandgrid.llm.shared import WordHashes, binary_texts, checked_broadcast, mixed, run_hashes, slices, written
 
 ANCHOR_WORDS = 5
+WORD_BYTES = 6  # of a word's hash, in a stretch; two stretches are only compared if their anchors' 64 bits agree
 BYTES_PER_BUCKET = 96 << 20  # of text, whose anchors one task sorts in the first pass
-STRETCHES_PER_SHARD = 120_000  # about two million words in an index
+STRETCHES_PER_SHARD = 250_000  # before copies are dropped; about two million words in an index
+MOST_BROADCAST = 300_000  # documents whose few hundred bytes of findings may be broadcast; beyond, texts are joined by shuffle
 
 
 class Stretches:
@@ -131,29 +133,36 @@ def _repeated(packs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": pd.Series(out_keys, dtype="int64"), "ordinals": pd.Series(out_ordinals, dtype=object)})
 
 
-def _contents(window: int):
-    """(anchor, content, words, doc_id, key, start) of the stretches whose anchors repeat."""
+def _contents(window: int, shards: int, words: bool):
+    """The stretches whose anchors repeat. With ``words`` the distinct ones of a piece of the input and the smallest doc_id of each,
+    (shard, content, words, first); else all occurrences (shard, content, doc_id, key, start)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 12 << 20):
             ids, keys = (batch.column(c).to_numpy() for c in ("doc_id", "key"))
             s = Stretches(binary_texts(batch.column("text")), hashes, window)
             firsts = np.searchsorted(s.docs, np.arange(len(ids)))
-            lists = [np.frombuffer(b"".join(parts), "<i4") for parts in batch.column("ordinals").to_pylist()]
-            at = np.unique(np.concatenate([firsts[d] + o for d, o in enumerate(lists)])) if lists else np.empty(0, int)
+            at = np.unique(np.concatenate([firsts[d] + np.frombuffer(o, "<i4") for d, o in enumerate(batch.column("ordinals").to_pylist())]))
             sizes = s.windows[at] + window - 1
             ends = np.cumsum(sizes)
             flat = s.words[np.arange(ends[-1] if len(at) else 0) + np.repeat(s.starts[at] - ends + sizes, sizes)]
             place = np.arange(len(flat), dtype=np.uint64) - np.repeat(ends - sizes, sizes).astype(np.uint64)
             content = np.add.reduceat(mixed(flat ^ mixed(place + np.uint64(77))), ends - sizes) if len(at) else np.empty(0, np.uint64)
-            offsets = pa.array(np.r_[0, ends * 8], pa.int32())
-            words = pa.Array.from_buffers(pa.binary(), len(at), [None, offsets.buffers()[1], pa.py_buffer(flat.tobytes())])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(s.anchors[at].view(np.int64)), pa.array(content.view(np.int64)), words, pa.array(ids[s.docs[at]]), pa.array(keys[s.docs[at]]),
-                 pa.array((s.starts - s.doc_starts[s.docs])[at].astype(np.int32))],
-                ["anchor", "content", "words", "doc_id", "key", "start"],
-            )
+            shard = (s.anchors[at] % np.uint64(shards)).astype(np.int32)
+            if not words:
+                start = (s.starts - s.doc_starts[s.docs])[at].astype(np.int32)
+                columns = [shard, content.view(np.int64), ids[s.docs[at]], keys[s.docs[at]], start]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "content", "doc_id", "key", "start"])
+                continue
+            order = np.lexsort((ids[s.docs[at]], content))
+            one = order[np.r_[True, content[order][1:] != content[order][:-1]]] if len(order) else order
+            small = flat.view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
+            small = small[np.arange(sizes[one].sum()) + np.repeat((ends - sizes)[one] - np.cumsum(sizes[one]) + sizes[one], sizes[one])]
+            offsets = pa.array(np.r_[0, np.cumsum(sizes[one]) * WORD_BYTES], pa.int32())
+            texts = pa.Array.from_buffers(pa.binary(), len(one), [None, offsets.buffers()[1], pa.py_buffer(small.tobytes())])
+            columns = [pa.array(shard[one]), pa.array(content[one].view(np.int64)), texts, pa.array(ids[s.docs[at]][one])]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "content", "words", "first"])
 
     return run
 
@@ -234,8 +243,10 @@ class FMIndex:
 
 def first_documents(words: list[bytes], firsts: np.ndarray, window: int) -> list[np.ndarray]:
     """For every stretch the smallest doc_id of each of its windows, from an FM-index of all."""
-    sizes = np.array([len(w) // 8 for w in words], np.int64)
-    index = FMIndex(np.frombuffer(b"".join(words), np.uint64), sizes)
+    sizes = np.array([len(w) // WORD_BYTES for w in words], np.int64)
+    symbols = np.zeros((int(sizes.sum()), 8), np.uint8)
+    symbols[:, :WORD_BYTES] = np.frombuffer(b"".join(words), np.uint8).reshape(-1, WORD_BYTES)
+    index = FMIndex(symbols.view(np.uint64).ravel(), sizes)
     counts = sizes - window + 1
     owner = np.repeat(np.arange(len(words)), counts)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -243,25 +254,36 @@ def first_documents(words: list[bytes], firsts: np.ndarray, window: int) -> list
     found = firsts[owner]
     shared = np.flatnonzero(high - low > 1)
     if len(shared):
-        of_suffix = firsts[np.searchsorted(index.starts, index.suffixes, side="right") - 1]
+        of_suffix = np.r_[firsts[np.searchsorted(index.starts, index.suffixes, side="right") - 1], np.iinfo(np.int64).max]
         lows, inverse = np.unique(low[shared], return_inverse=True)
         highs = np.zeros(len(lows), np.int64)
-        highs[inverse] = high[shared]
-        bounds = np.stack([lows, np.minimum(highs, len(of_suffix) - 1)], axis=1).ravel()
-        least = np.minimum.reduceat(of_suffix, bounds)[::2]
-        least = np.where(highs == len(of_suffix), np.minimum(least, of_suffix[-1]), least)
-        found[shared] = least[inverse]
+        highs[inverse] = high[shared]  # windows of equal length have the same interval or none in common
+        found[shared] = np.minimum.reduceat(of_suffix, np.stack([lows, highs], axis=1).ravel())[::2][inverse]
     return np.split(found, np.cumsum(counts)[:-1])
 
 
 def _judged(window: int):
     def run(stretches: pd.DataFrame) -> pd.DataFrame:
-        found = first_documents(stretches["words"].tolist(), stretches["first"].to_numpy(), window)
-        return pd.DataFrame({"anchor": stretches["anchor"], "content": stretches["content"], "firsts": found})
+        first = stretches.groupby("content")["first"].min()
+        stretches = stretches.drop_duplicates("content").set_index("content")
+        found = first_documents(stretches["words"].tolist(), first.loc[stretches.index].to_numpy(), window)
+        return pd.DataFrame({"shard": stretches["shard"].to_numpy(), "content": stretches.index, "firsts": found})
 
     return run
 
 
+def _joined_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges of a document with those that touch made one, as pairs of 32-bit numbers."""
+    for batch in batches:
+        out = []
+        for starts, ends in zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist()):
+            start, order = np.array(starts), np.argsort(starts, kind="stable")
+            start, reach = start[order], np.maximum.accumulate(np.array(ends)[order])
+            new = np.flatnonzero(np.r_[True, start[1:] > reach[:-1]])
+            out.append(np.stack([start[new], reach[np.r_[new[1:] - 1, len(reach) - 1]]], axis=1).astype("<i4").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.binary())], ["key", "ranges"])
+
+
 def _kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         rows = []
@@ -270,9 +292,9 @@ def _kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone = 0
             if ranges:
                 kept, done = [], 0
-                for start, end in sorted((r["start"], r["end"]) for r in ranges):
-                    kept += words[done:start] if start > done else []
-                    done = max(done, end)
+                for start, end in np.frombuffer(ranges, "<i4").reshape(-1, 2).tolist():
+                    kept += words[done:start]
+                    done = end
                 gone = len(words)
                 words = kept + words[done:]
                 gone -= len(words)
@@ -288,25 +310,27 @@ def _kept_digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_ranges(docs: DataFrame, window: int = 13) -> DataFrame:
-    """(key, ranges): for each document, the word ranges (start, end) whose windows also start in a document of smaller id."""
+    """(key, ranges): for each document, the word ranges (start and end as 32-bit numbers) whose windows also start in a document of smaller id."""
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BYTES_PER_BUCKET))
     packs = known.mapInArrow(_packed_anchors(buckets, window), PACKS)
     hits = packs.groupBy("bucket").applyInPandas(_repeated, "key long, ordinals binary")
-    hits = hits.select("key", "ordinals", (F.octet_length("ordinals") / 4).alias("n")).groupBy("key").agg(F.collect_list("ordinals").alias("ordinals"), F.sum("n").alias("n"))
-    hits = written(hits, "passages-hits")
-    found, stretches = hits.agg(F.count("*"), F.sum("n")).first()
-    of_docs = known.join(checked_broadcast(hits.drop("n"), found), "key").select("doc_id", "text", "key", "ordinals")
-    # the words of a stretch are only in the first table; the second has what its documents need to know
-    met = written(of_docs.mapInArrow(_contents(window), "anchor long, content long, words binary, doc_id long, key long, start int"), "passages-stretches")
-    distinct = met.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.first("words").alias("words"))
-    shards = max(1, -(-int(stretches or 0) // STRETCHES_PER_SHARD))
-    firsts = distinct.withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard").applyInPandas(_judged(window), "anchor long, content long, firsts array<long>")
+    hits = hits.groupBy("key").agg(F.collect_list("ordinals").alias("lists"))
+    together = F.aggregate("lists", F.lit(b""), lambda a, b: F.concat(a, b))
+    hits = written(hits.select("key", together.alias("ordinals")), "passages-hits")
+    found, octets = hits.agg(F.count("*"), F.sum(F.octet_length("ordinals"))).first()
+    shards = max(1, -(-(octets or 0) // (4 * STRETCHES_PER_SHARD)))
+    of_docs = known.join(checked_broadcast(hits, found, MOST_BROADCAST), "key").select("doc_id", "text", "key", "ordinals")
+    contents = of_docs.mapInArrow(_contents(window, shards, True), "shard int, content long, words binary, first long")
+    firsts = contents.groupBy("shard").applyInPandas(_judged(window), "shard int, content long, firsts array<long>")
+    met = of_docs.mapInArrow(_contents(window, shards, False), "shard int, content long, doc_id long, key long, start int")
     places = F.filter(F.sequence(F.lit(0), F.size("firsts") - 1), lambda k: F.get("firsts", k) < F.col("doc_id"))
-    later = met.select("anchor", "content", "doc_id", "key", "start").join(firsts, ["anchor", "content"]).withColumn("places", places).where(F.size("places") > 0)
-    ranges = F.struct((F.col("start") + F.array_min("places")).alias("start"), (F.col("start") + F.array_max("places") + window).alias("end"))
-    return written(later.select("key", ranges.alias("range")).distinct().groupBy("key").agg(F.collect_list("range").alias("ranges")), "passages-ranges")
+    later = met.join(firsts, ["shard", "content"]).withColumn("places", places).where(F.size("places") > 0)
+    # the windows of a stretch overlap, so what they cover is one range
+    ranges = later.select("key", (F.col("start") + F.array_min("places")).alias("start"), (F.col("start") + F.array_max("places") + window).alias("end"))
+    lists = ranges.groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    return written(lists.mapInArrow(_joined_up, "key long, ranges binary"), "passages-ranges")
 
 
 def without_repeats(docs: DataFrame, window: int = 13, digest: bool = False) -> DataFrame:
@@ -319,7 +343,7 @@ def without_repeats(docs: DataFrame, window: int = 13, digest: bool = False) ->
     """
     keyed = _keyed(docs)
     ranges = repeated_ranges(keyed, window)
-    joined = keyed.join(checked_broadcast(ranges, ranges.count()), "key", "left").select("doc_id", "text", "ranges")
+    joined = keyed.join(checked_broadcast(ranges, ranges.count(), MOST_BROADCAST), "key", "left").select("doc_id", "text", "ranges")
     kind = "kept_sha256 string" if digest else "kept string"
     return joined.mapInArrow(_kept_digest if digest else _kept, f"doc_id long, n_words long, n_removed long, {kind}")
 
