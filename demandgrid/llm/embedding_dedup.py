@@ -24,7 +24,7 @@ PASSES = 10
 WINDOW = 48
 BLOCK = 2048
 CHUNK = 512
-ROUNDS = 6
+ROUNDS = 10
 EPS = 1e-9
 
 
@@ -169,7 +169,7 @@ def link_vectors(
     )
     base = written(base, "vectors")  # also fixes the row numbers
     rows = base.where("embedding IS NOT NULL")
-    bits = min(HASH_BITS, max(1, int(np.log2(max(2, rows.count() / 8)))))
+    bits = min(HASH_BITS, int(np.log2(max(1, rows.count()))) + 2)  # so that a prefix is rarely shared by chance
     members = written(classes_of(rows, float(np.arccos(threshold)) / 2 - EPS, min(ROUNDS, passes), bits), "vector-classes")
     sizes = members.groupBy("cls").agg(F.count("*").alias("m"), F.max("angle").alias("radius"), F.min("vec_id").alias("least"))
     heads = written(sizes.join(rows.withColumnRenamed("rid", "cls").drop("vec_id"), "cls"), "vector-heads")

@@ -96,11 +96,12 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
 
     A null id is replaced by a hash of source and text while mixing. Rows that repeat an id share its copies evenly.
     """
+    own, number = (f"__{name}_{'_'.join(docs.columns)}" for name in ("node", "copies"))  # longer than any name in docs
     node = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("source", "text"))
     mixed = mix(docs.select(node.alias("doc_id"), "source", "text"), **options)
-    copies = written(mixed.groupBy(F.col("doc_id").alias("__node")).agg(F.round(F.avg("copies")).cast("int").alias("__copies")), "mix-copies")
-    taken = docs.withColumn("__node", node).join(checked_broadcast(copies, copies.count()), "__node").where("__copies > 0")
-    return taken.withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    copies = written(mixed.groupBy("doc_id").agg(F.round(F.avg("copies")).cast("int").alias("copies")), "mix-copies")
+    taken = docs.withColumn(own, node).join(checked_broadcast(copies.toDF(own, number), copies.count()), own).where(F.col(number) > 0)
+    return taken.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(number)))).select(docs.columns)
 
 
 OP10_SQL = """

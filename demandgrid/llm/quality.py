@@ -80,8 +80,8 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.linear[at] @ x + pairs, -30, 30))))
 
 
-def fit(rows: pd.DataFrame, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Machine:
-    """Adaptive gradient steps on the logistic loss, over batches of 64 documents in a seeded order."""
+def fit(rows: pd.DataFrame, steps: int = 1500, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Machine:
+    """About ``steps`` adaptive gradient steps on the logistic loss, over batches of 64 documents in a seeded order."""
     rows = rows.sort_values("order", kind="stable").reset_index(drop=True)
     stats = np.array(rows["statistics"].tolist(), np.float64)
     labels = rows["label"].to_numpy(np.float64)
@@ -92,7 +92,7 @@ def fit(rows: pd.DataFrame, epochs: int = 12, rate: float = 0.1, decay: float =
     standard = machine.standard(stats)
     offset = (1 << BITS) + np.arange(stats.shape[1])
     seen = np.full(size, 1e-2), np.full((size, RANK), 1e-2)
-    for _ in range(epochs):
+    for _ in range(-(-steps // -(-len(rows) // 64))):
         order = rng.permutation(len(rows))
         for start in range(0, len(order), 64):
             picked = order[start : start + 64]
