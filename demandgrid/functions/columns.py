@@ -17,6 +17,11 @@ def all_known(*names: str) -> Column:
     return reduce(Column.__and__, [F.col(name).isNotNull() for name in names])
 
 
+def known_number(value: Column) -> Column:
+    """A number with NaN as unknown."""
+    return F.when(~F.isnan(value), value)
+
+
 def ratio(above: Column, below: Column) -> Column:
     """Division that yields NULL instead of failing on a zero denominator."""
     return F.try_divide(above, below)

@@ -66,24 +66,30 @@ def horizon_safe_features(grid: DataFrame, horizons: Sequence[int] = HORIZONS, w
     )
 
 
-def promo_type_days(promo_days: DataFrame, promo_types: Sequence[str]) -> DataFrame:
-    """Per cell: promotions, mean discount and one 0/1 column per listed promotion type."""
-    dummies = [
-        F.max(F.when(F.col("promo_type") == kind, 1).otherwise(0)).alias(f"promo_{kind}") for kind in promo_types
-    ]
-    return known(promo_days, *CELL).groupBy(CELL).agg(F.avg("discount_pct").alias("avg_discount"), *dummies)
+def promo_type_days(promo_days: DataFrame, promo_types: Sequence[str] = ()) -> DataFrame:
+    """Per cell: mean discount, all promotion types present (sorted, joined by commas), and for each listed type a 0/1 column.
+
+    With a list there is one more column, ``promo_other``, for types outside it.
+    """
+    def dummy(condition, name):
+        return F.max(F.when(condition, 1).otherwise(0)).alias(f"promo_{name}")
+
+    dummies = [dummy(F.col("promo_type") == kind, kind) for kind in promo_types]
+    dummies += [dummy(~F.col("promo_type").isin(list(promo_types)), "other")] if promo_types else []
+    types = F.array_join(F.sort_array(F.collect_set("promo_type")), ",").alias("promo_types")
+    return known(promo_days, *CELL).groupBy(CELL).agg(F.avg("discount_pct").alias("avg_discount"), types, *dummies)
 
 
 def calendar_store_features(
     grid: DataFrame, date_dim: DataFrame, store: DataFrame, promo_days: DataFrame, local_event: DataFrame,
-    cell_stockouts: DataFrame, promo_types: Sequence[str],
+    cell_stockouts: DataFrame, promo_types: Sequence[str] = (),
 ) -> DataFrame:
     """Calendar flags, store attributes, promotion, event and yesterday's stockout for each cell."""
-    dummies = [f"promo_{kind}" for kind in promo_types]
+    dummies = [f"promo_{kind}" for kind in [*promo_types, "other"] if promo_types]
     promos = promo_type_days(promo_days, promo_types).withColumn("has_promo", F.lit(True))
     flagged = (
         grid.join(promos, CELL, "left")
-        .withColumns({"has_promo": F.coalesce("has_promo", F.lit(False)), **{d: F.coalesce(d, F.lit(0)) for d in dummies}})
+        .withColumns({"has_promo": F.coalesce("has_promo", F.lit(False)), "promo_types": F.coalesce("promo_types", F.lit("")), **{d: F.coalesce(d, F.lit(0)) for d in dummies}})
     )
     flagged = left_join_flag(flagged, cell_stockouts, CELL, "has_stockout")
     flagged = flag_rows(flagged, event_store_days(local_event), ["store_id", "date"], "has_local_event")

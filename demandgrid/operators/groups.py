@@ -273,18 +273,20 @@ def holiday_period_impact(fact: DataFrame) -> DataFrame:
     )
 
 
-def data_readiness(target: DataFrame, cells: int, stores: int, categories: int) -> DataFrame:
-    """Percent of the expected cells, stores and categories present in the target."""
+def data_readiness(target: DataFrame, store: DataFrame, product: DataFrame) -> DataFrame:
+    """Percent of the expected cells (stores x categories x days of the span), stores, categories and days present in the target."""
     present = target.agg(
-        F.count("*").alias("rows"),
-        F.count_distinct("store_id").alias("stores"),
-        F.count_distinct("category").alias("categories"),
+        F.count("*").alias("rows"), F.count_distinct("store_id").alias("stores"), F.count_distinct("category").alias("categories"),
+        F.count_distinct("date").alias("days"), (F.date_diff(F.max("date"), F.min("date")) + 1).alias("span"),
     )
+    present = attach(present, store.agg(F.count_distinct("store_id").alias("all_stores")))
+    present = attach(present, product.agg(F.count_distinct("category").alias("all_categories")))
+    cells = F.col("all_stores").cast("double") * F.col("all_categories") * F.col("span")
     return present.select(
-        percent(F.col("rows"), F.lit(cells)).alias("data_coverage"),
-        percent(F.col("stores"), F.lit(stores)).alias("store_coverage"),
-        percent(F.col("categories"), F.lit(categories)).alias("category_coverage"),
-        F.lit(100.0).alias("date_range"),
+        percent(F.col("rows"), cells).alias("data_coverage"),
+        percent(F.col("stores"), F.col("all_stores")).alias("store_coverage"),
+        percent(F.col("categories"), F.col("all_categories")).alias("category_coverage"),
+        percent(F.col("days"), F.col("span")).alias("date_range"),
     )
 
 

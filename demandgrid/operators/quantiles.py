@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandgrid.functions.columns import all_known
+from demandgrid.functions.columns import all_known, known_number
 
 # Slots per unit of log(1 + |value|): about 0.4 % of the value wide, at most 363,000 over all doubles.
 SLOTS_PER_LOG = 256
@@ -24,7 +24,7 @@ def value_counts(df: DataFrame, column: str | Column, by: Sequence[str] = (), we
     value = F.col(column) if isinstance(column, str) else column
     count = F.sum(weight) if weight else F.count("*")
     return (
-        df.withColumn("value", value.cast("double"))
+        df.withColumn("value", known_number(value.cast("double")))
         .where(all_known(*by, "value"))
         .groupBy(*by, "value")
         .agg(count.alias("n"))
@@ -40,7 +40,8 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str] = ()) -> DataFrame
 
 
 def _slot(value: Column) -> Column:
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * SLOTS_PER_LOG)
+    # never NULL, so that no filter on the slot is pushed to one side of a join and both sides share one shuffle
+    return F.coalesce(F.floor(F.signum(value) * F.log1p(F.abs(value)) * SLOTS_PER_LOG), F.lit(0))
 
 
 def rank_spans(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -51,9 +51,20 @@ def mean_pivot(df: DataFrame, row: str, column: str, value: str = "units_sold")
     return known(df, row, column).groupBy(row, column).agg(F.avg(value).alias("mean_units"))
 
 
-def mean_pivot_wide(df: DataFrame, row: str, column: str, values: Sequence, value: str = "units_sold") -> DataFrame:
-    """The same pivot with one column per listed value."""
-    return known(df, row).groupBy(row).pivot(column, list(values)).agg(F.avg(value))
+def wide_columns(dimension: DataFrame, column: str, most: int = 1000) -> list:
+    """The distinct known values of a dimension's column, for a wide table; more than ``most`` are refused, not cut."""
+    values = [row[0] for row in known(dimension, column).select(column).distinct().limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"{column} has more than {most} values; use the long form")
+    return sorted(values)
+
+
+def mean_pivot_wide(df: DataFrame, row: str, column: str, values: Sequence, value: str = "units_sold", other: str | None = "other") -> DataFrame:
+    """The same pivot with one column per listed value, and one (``other``) for all values outside the list."""
+    groups = known(df, row, column).groupBy(row)
+    columns = [F.avg(F.when(F.col(column) == v, F.col(value))).alias(str(v)) for v in values]
+    rest = [F.avg(F.when(~F.col(column).isin(list(values)), F.col(value))).alias(other)] if other else []
+    return groups.agg(*columns, *rest)
 
 
 def _full_frame(value: Column, frame, rows: int) -> Column:

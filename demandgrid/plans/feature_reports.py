@@ -7,7 +7,6 @@ from demandgrid.operators import effects, facts, features
 from demandgrid.plans.catalog import report, shown
 
 _SERIES = "PARTITION BY store_id, category ORDER BY date"
-PROMO_TYPES = ["bogo", "bundle", "discount", "happy_hour"]
 
 
 @report("r1_lag_features", "SELECT store_id, category, date, units_sold, " + ", ".join(
@@ -36,12 +35,9 @@ def _(s):
     return shown(features.horizon_safe_features(s.grid))
 
 
-_DUMMIES = ", ".join(f"max(CASE WHEN promo_type = '{t}' THEN 1 ELSE 0 END) AS promo_{t}" for t in PROMO_TYPES)
-_FILLED = ", ".join(f"CAST(coalesce(p.promo_{t}, 0) AS INT) AS promo_{t}" for t in PROMO_TYPES)
-
-
-@report("r4_calendar_store_features", f"""WITH p AS (SELECT store_id, category, date, avg(discount_pct) AS avg_discount, {_DUMMIES} FROM promo_long GROUP BY ALL)
-    SELECT g.store_id, g.category, g.date, g.units_sold, p.date IS NOT NULL AS has_promo, round(p.avg_discount, 4) AS avg_discount, {_FILLED},
+@report("r4_calendar_store_features", """WITH p AS (SELECT store_id, category, date, avg(discount_pct) AS avg_discount,
+    string_agg(DISTINCT promo_type, ',' ORDER BY promo_type) AS promo_types FROM promo_long GROUP BY ALL)
+    SELECT g.store_id, g.category, g.date, g.units_sold, p.date IS NOT NULL AS has_promo, round(p.avg_discount, 4) AS avg_discount, coalesce(p.promo_types, '') AS promo_types,
     e.has_event AS has_local_event, lag(x.has_stockout) OVER (PARTITION BY g.store_id, g.category ORDER BY g.date) AS yesterday_stockout,
     c.is_weekend, c.is_holiday, c.is_payday, c.is_school_break, c.is_rainy_season, c.month, CAST(isodow(g.date) - 1 AS INT) AS weekday,
     s.neighborhood_type, s.seating_capacity, s.staff_count, s.has_drive_through
@@ -49,7 +45,7 @@ _FILLED = ", ".join(f"CAST(coalesce(p.promo_{t}, 0) AS INT) AS promo_{t}" for t
     JOIN so_grid x USING (store_id, category, date) LEFT JOIN c_cal c USING (date) LEFT JOIN c_store s USING (store_id)""")
 def _(s):
     stockouts = facts.stockout_store_cat_day(s.inventory, s.product)
-    return shown(features.calendar_store_features(s.grid, s.date_dim, s.store, s.promo_days, s.local_event, stockouts, PROMO_TYPES))
+    return shown(features.calendar_store_features(s.grid, s.date_dim, s.store, s.promo_days, s.local_event, stockouts))
 
 
 @report("r5_weekday_encoding", "SELECT date, " + ", ".join(f"CAST(isodow(date) - 1 = {i} AS INT) AS weekday_{i}" for i in range(7))

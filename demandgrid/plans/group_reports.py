@@ -9,7 +9,6 @@ from demandgrid.operators import facts, groups
 from demandgrid.operators.ranking import top_k
 from demandgrid.plans.catalog import report, shown
 from demandgrid.plans.oracle import FLAGS, flags_sql
-from demandgrid.sources.driver_tables import HORIZONS
 
 _WEEK = "SELECT w.weekday, dayname(DATE '2024-01-01' + CAST(w.weekday AS INT)) AS day_name, {cols} FROM (SELECT CAST(unnest(range(7)) AS INT) AS weekday) w LEFT JOIN {src} m USING (weekday)"
 
@@ -346,15 +345,14 @@ def _(s):
     return shown(groups.holiday_period_impact(s.fact), 2)
 
 
-_STORES, _CATEGORIES, _DAYS = 20, 7, 61
-
-
-@report("g39_data_readiness", """SELECT round(100.0 * count(*) / (20 * 7 * 61 * 3), 4) AS data_coverage, round(100.0 * count(DISTINCT store_id) / 20, 4) AS store_coverage,
-    round(100.0 * count(DISTINCT category) / 7, 4) AS category_coverage, CAST(100 AS DOUBLE) AS date_range FROM tgt""")
+@report("g39_data_readiness", """WITH n AS (SELECT (SELECT count(*) FROM c_store) AS stores, (SELECT count(DISTINCT category) FROM c_prod) AS categories,
+    min(date) AS d0, date_diff('day', min(date), max(date)) + 1 AS days FROM tgt)
+    SELECT round(100.0 * count(*) / any_value(n.stores * n.categories * n.days), 4) AS data_coverage,
+    round(100.0 * count(DISTINCT t.store_id) / any_value(n.stores), 4) AS store_coverage,
+    round(100.0 * count(DISTINCT t.category) / any_value(n.categories), 4) AS category_coverage,
+    round(100.0 * count(DISTINCT t.date) / any_value(n.days), 4) AS date_range FROM tgt t CROSS JOIN n""")
 def _(s):
-    """Measured against the forecast frame the readiness figures are stated for: stores x categories x days x horizons."""
-    cells = _STORES * _CATEGORIES * _DAYS * len(HORIZONS)
-    return shown(groups.data_readiness(s.target, cells, _STORES, _CATEGORIES))
+    return shown(groups.data_readiness(s.target, s.store, s.product))
 
 
 @report("g40_distinct_values", """SELECT DISTINCT 'neighborhood_type' AS "column", neighborhood_type AS value FROM fact UNION ALL

@@ -117,13 +117,10 @@ def _(s):
     return shown(series.mean_pivot(s.grid, "store_id", "category"))
 
 
-_CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-
-
-@report("c5_pivot_store_category_wide", "SELECT store_id, " + ", ".join(
-    f"round(avg(units_sold) FILTER (category = '{c}'), 4) AS \"{c}\"" for c in _CATEGORIES) + " FROM tgt GROUP BY ALL")
+@report("c5_pivot_store_category_wide", "SELECT * FROM (PIVOT tgt ON category USING round(avg(units_sold), 4) GROUP BY store_id)")
 def _(s):
-    return shown(series.mean_pivot_wide(s.target, "store_id", "category", _CATEGORIES))
+    categories = series.wide_columns(s.product, "category")
+    return shown(series.mean_pivot_wide(s.target, "store_id", "category", categories, other=None))
 
 
 @report("c6_pivot_category_neighborhood", _PIVOT.format(r="category", c="neighborhood_type", s="ctgt"))

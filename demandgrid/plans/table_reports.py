@@ -113,10 +113,9 @@ def _(s):
 
 @report("p3_ordered_weekday", """SELECT w.weekday, dayname(DATE '2024-01-01' + CAST(w.weekday AS INT)) AS day_name, round(m.mean_units, 4) AS mean_units
     FROM (SELECT CAST(unnest(range(7)) AS INT) AS weekday) w LEFT JOIN
-    (SELECT weekday, avg(units_sold) AS mean_units FROM ctgt WHERE is_holiday AND is_weekend GROUP BY weekday) m USING (weekday)""")
+    (SELECT weekday, avg(units_sold) AS mean_units FROM ctgt GROUP BY weekday) m USING (weekday)""")
 def _(s):
-    weekend_holidays = s.calendar_target.where("is_holiday AND is_weekend")
-    return shown(calendar.ordered_weekday(groups.units_by(weekend_holidays, "weekday", "mean_units")))
+    return shown(calendar.ordered_weekday(groups.units_by(s.calendar_target, "weekday", "mean_units")))
 
 
 @report("p4_bool_filter_split", """SELECT is_weekend, count(*) AS "rows", sum(units_sold) AS units FROM ctgt GROUP BY ALL""")
@@ -157,14 +156,12 @@ def _(s):
     return effects.active_promos(s.promotion)
 
 
-@report("p10_fillna", """SELECT s.store_id, coalesce(n, 0) AS bundles, coalesce(r, 0.0) AS mean_discount FROM c_store s LEFT JOIN
-    (SELECT store_id, count(*) AS n, round(avg(discount_pct), 4) AS r FROM c_promo WHERE promo_type = 'bundle' GROUP BY ALL) USING (store_id)""")
+@report("p10_fillna", """SELECT s.store_id, coalesce(n, 0) AS promotions, coalesce(r, 0.0) AS mean_discount FROM c_store s LEFT JOIN
+    (SELECT store_id, count(*) AS n, round(avg(discount_pct), 4) AS r FROM c_promo GROUP BY ALL) USING (store_id)""")
 def _(s):
-    bundles = s.promotion.where("promo_type = 'bundle'").groupBy("store_id").agg(
-        F.count("*").alias("bundles"), F.avg("discount_pct").alias("mean_discount")
-    )
-    filled = s.store.select("store_id").join(bundles, "store_id", "left")
-    return shown(filled.fillna({"bundles": 0, "mean_discount": 0.0}))
+    promotions = s.promotion.groupBy("store_id").agg(F.count("*").alias("promotions"), F.avg("discount_pct").alias("mean_discount"))
+    filled = s.store.select("store_id").join(promotions, "store_id", "left")
+    return shown(filled.fillna({"promotions": 0, "mean_discount": 0.0}))
 
 
 @report("p11_log1p", "SELECT units_sold, round(ln(1 + units_sold), 4) AS log_units, count(*) AS cells FROM tgt GROUP BY ALL")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -39,14 +37,9 @@ def spread(spark: SparkSession) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A local master (tests) may run without the setting; a cluster may not, since a
-    machine-local folder would vanish with its executor.
+    There is no fallback: a folder of one machine's own would vanish with it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="demandgrid-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors, or pass a folder")
+    return folder.rstrip("/")

@@ -1,19 +1,25 @@
-"""Write a result table to the shared folder, one directory per analysis."""
+"""Write a result table to the shared folder, a fresh directory for every write."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from demandgrid.session import shared_folder
 from demandgrid.sources.star import Star
 
 
-def write_result(df: DataFrame, name: str, folder: str | None = None, partition_by: str | None = None) -> str:
-    """Write ``df`` as parquet under ``folder`` (default: the cluster's shared folder); returns the path."""
-    path = f"{folder or shared_folder(df.sparkSession)}/results/{name}"
-    writer = df.write.mode("overwrite")
+def write_result(df: DataFrame, name: str, folder: str | None = None, partition_by: list[str] | None = None) -> str:
+    """Write ``df`` as parquet under ``folder`` (default: the cluster's shared folder); returns the path.
+
+    Every write gets a directory of its own, so nothing that a running query or another session reads is replaced.
+    """
+    path = f"{folder or shared_folder(df.sparkSession)}/results/{name}-{uuid.uuid4().hex}"
+    writer = df.write
     if partition_by:
-        writer = writer.partitionBy(partition_by)
+        writer = df.repartition(*partition_by).write.partitionBy(*partition_by)
     writer.parquet(path)
     return path
 
@@ -32,5 +38,5 @@ def with_written_target(star: Star, folder: str | None = None) -> Star:
 
 
 def write_grid(star: Star, folder: str | None = None) -> str:
-    """The zero-filled grid with calendar columns, one directory per month for date-pruned reads."""
-    return write_result(star.calendar_grid, "calendar_grid", folder, partition_by="month")
+    """The zero-filled grid with calendar columns, one directory per year and month for date-pruned reads."""
+    return write_result(star.calendar_grid.withColumn("year", F.year("date")), "calendar_grid", folder, ["year", "month"])

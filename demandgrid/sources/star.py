@@ -3,42 +3,75 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from functools import cached_property
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from demandgrid.functions.columns import known_number
 from demandgrid.operators import facts
 from demandgrid.sources.schemas import SCHEMAS
 
 
 def parse_dates(df: DataFrame, *columns: str) -> DataFrame:
-    """Cast text or timestamp columns to calendar dates."""
-    return df.withColumns({name: F.to_date(name) for name in columns})
+    """Cast text or timestamp columns to calendar dates; what is no date becomes NULL."""
+    return df.withColumns({name: F.col(name).try_cast("date") for name in columns})
+
+
+def _path(folder: str, name: str, fmt: str, file_names: Mapping[str, str] | None) -> str:
+    return f"{folder}/{(file_names or {}).get(name, f'{name}.{fmt}')}"
+
+
+def read_named(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> DataFrame:
+    """The columns of ``schema`` by name, as the file has them (CSV: as text); a missing column is an error."""
+    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
+    df = reader.format(fmt).load(path)
+    missing = [f.name for f in schema if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; it has {', '.join(df.columns)}")
+    return df.select([f.name for f in schema])
+
+
+def typed(column: Column, kind: T.DataType) -> Column:
+    """A column as ``kind``: flags from true/false, t/f, yes/no and 1/0 in any case, NaN as unknown; what does not parse becomes NULL."""
+    if isinstance(kind, T.BooleanType):
+        text = F.lower(F.trim(column.cast("string")))
+        return F.when(text.isin("true", "t", "yes", "y", "1", "1.0"), True).when(text.isin("false", "f", "no", "n", "0", "0.0"), False)
+    if isinstance(kind, T.StringType):
+        return column.cast(kind)
+    if isinstance(kind, T.DoubleType):
+        return known_number(column.try_cast(kind))
+    if isinstance(kind, (T.LongType, T.IntegerType)):  # whole numbers written as 3.0 count; 3.5 does not
+        whole = F.coalesce(column.try_cast(kind), column.try_cast("double").try_cast(kind))
+        return F.when(column.try_cast("double") == whole, whole)
+    return column.try_cast(kind)
 
 
 def load_tables(
     spark: SparkSession, folder: str, fmt: str = "csv", file_names: Mapping[str, str] | None = None
 ) -> dict[str, DataFrame]:
-    """Read each canonical table of ``folder`` with its declared schema.
-
-    CSV dates are read as text and parsed, so both ``2024-11-01`` and a full timestamp work.
-    """
+    """Read each canonical table of ``folder``: columns by name in any order, others ignored, cast to the declared types."""
     tables = {}
     for name, schema in SCHEMAS.items():
-        path = f"{folder}/{(file_names or {}).get(name, f'{name}.{fmt}')}"
-        if fmt != "csv":
-            tables[name] = spark.read.schema(schema).format(fmt).load(path)
-            continue
-        days = [f.name for f in schema if isinstance(f.dataType, T.DateType)]
-        as_text = T.StructType(
-            [T.StructField(f.name, T.StringType() if f.name in days else f.dataType, f.nullable) for f in schema]
-        )
-        tables[name] = parse_dates(spark.read.schema(as_text).option("header", True).csv(path), *days)
+        raw = read_named(spark, _path(folder, name, fmt, file_names), fmt, schema)
+        tables[name] = raw.select([typed(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in schema])
     return tables
 
 
+def parse_failures(
+    spark: SparkSession, folder: str, fmt: str = "csv", file_names: Mapping[str, str] | None = None
+) -> DataFrame:
+    """(table, column, failed): how many present values of each column do not parse as the declared type; one pass per table."""
+    parts = []
+    for name, schema in SCHEMAS.items():
+        raw = read_named(spark, _path(folder, name, fmt, file_names), fmt, schema)
+        failed = [F.count_if(F.col(f"`{f.name}`").isNotNull() & typed(F.col(f"`{f.name}`"), f.dataType).isNull()).alias(f.name) for f in schema]
+        names = ", ".join(f"'{f.name}', `{f.name}`" for f in schema)
+        parts.append(raw.agg(*failed).selectExpr(f"'{name}' AS `table`", f"stack({len(schema)}, {names}) AS (column, failed)"))
+    return reduce(DataFrame.union, parts)
+
+
 class Star:
     """The canonical tables, each set up when first asked for, and the relations derived from them."""
 
@@ -61,6 +94,8 @@ class Star:
         if name not in SCHEMAS:
             raise AttributeError(name)
         df = self.table(name)
+        unknown = {f.name: known_number(F.col(f.name)) for f in df.schema if isinstance(f.dataType, T.DoubleType)}
+        df = df.withColumns(unknown) if unknown else df
         setattr(self, name, df)
         return df
 
@@ -91,8 +126,3 @@ class Star:
     @cached_property
     def promo_days(self) -> DataFrame:
         return facts.promo_daily_long(self.promotion, self.product)
-
-    @cached_property
-    def line_orders(self) -> DataFrame:
-        """Order lines with their order, without the dimensions."""
-        return self.transaction.join(self.order, "order_id")
