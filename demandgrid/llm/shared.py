@@ -70,10 +70,10 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 8 <
 
 
 class WordHashes(dict):
-    """64-bit hash of a word, remembered for the most recent million words."""
+    """64-bit hash of a word, remembered for the most recent 400,000 words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 400_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
