@@ -5,8 +5,8 @@ only the low four bits are kept and packed, and the share of equal places, corre
 pair's similarity; pairs that may reach the threshold are confirmed on their full sets.
 
 Documents with the same set are one representative. Within a bucket of a band every member is first compared with one leader
-alone, the member that meets most others in all its buckets; after the components of these links are known, only members of
-different components meet, so a large group of copies does not unfold into all its pairs.
+alone, the member that meets most others in all its buckets; after the components of these links are known, only the members outside
+a bucket's largest component meet those of other components, so a large group of copies does not unfold into all its pairs.
 """
 
 from __future__ import annotations
@@ -186,15 +186,17 @@ def link_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
     links = _links(near.select("a", "b").distinct(), whole, percent, "near-stars")
     groups = components(links, "near-stars")
     grouped = met.select("key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    apart = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_ = grouped.join(apart, "key").join(signed_heads, "rep")
+    parts = grouped.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    open_ = grouped.join(main.select("key", F.col("main.component").alias("main")), "key").join(signed_heads, "rep")
     open_ = written(open_.where(F.array_contains("bands", F.col("key"))), "near-open")  # an id with several texts: those in the bucket
-    other = open_.select(*(F.col(c).alias(f"other_{c}") for c in ("key", "rep", "component", "bands", "packed")))
+    # the members outside a bucket's largest component meet all of the others, so that one doesn't meet itself
+    aside = open_.where("component <> main").select(*(F.col(c).alias(f"other_{c}") for c in ("key", "rep", "component", "bands", "packed")))
     # a pair meets in each band it shares, but is only let through in that of the smallest key
-    once = F.col("component") < F.col("other_component")
+    once = (F.col("component") == F.col("main")) | (F.col("component") < F.col("other_component"))
     once &= estimated(F.col("packed"), F.col("other_packed")) >= least
     once &= F.col("key") == F.array_min(F.array_intersect("bands", "other_bands"))
-    crossing = open_.join(other, (F.col("key") == F.col("other_key")) & once)
+    crossing = open_.join(aside, (F.col("key") == F.col("other_key")) & once)
     crossing = crossing.select(F.least("rep", "other_rep").alias("a"), F.greatest("rep", "other_rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = _links(crossing, whole, percent, "near-crossing")
 
