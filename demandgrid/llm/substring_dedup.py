@@ -2,7 +2,8 @@
 
 Every window of 13 words has an anchor: the run of five words in it with the smallest hash. Equal windows have equal
 anchors, so consecutive windows with one anchor travel together as a stretch of at most 21 words, and an anchor's stretches meet in one shard.
-Only anchors that occur in several documents matter; a first pass over anchors alone finds them.
+Only anchors that occur in several documents matter; a first pass over anchors alone finds them. It also counts them: the stretches of a
+very frequent anchor are cut into their windows, which go to shards by their own hashes, so that no anchor fills a shard.
 
 A shard holds the distinct stretches that its anchors occur in, each with the smallest doc_id it occurs in, as an FM-index: the
 Burrows-Wheeler transform of the stretches in a wavelet matrix of packed bits. Backward search of all windows at
@@ -27,6 +28,8 @@ ANCHOR_WORDS = 5
 WORD_BYTES = 6  # of a word's hash, in a stretch; two stretches are only compared if their anchors' 64 bits agree
 BYTES_PER_BUCKET = 96 << 20  # of text, whose anchors one task sorts in the first pass
 STRETCHES_PER_SHARD = 250_000  # before copies are dropped; about two million words in an index
+FREQUENT = STRETCHES_PER_SHARD // 8  # stretches of one anchor; from here on its windows are spread one by one
+BYTES_PER_STRETCH = 30  # of text, about
 MOST_BROADCAST = 300_000  # documents whose few hundred bytes of findings may be broadcast; beyond, texts are joined by shuffle
 
 
@@ -65,11 +68,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _packed_anchors(buckets: int, window: int):
-    """A row per piece of the input and bucket: anchors with document and ordinal. An anchor of several documents
-    of the piece is sent once, as known to repeat, and its stretches are passed on to any bucket without it."""
+    """For each piece of the input a row per bucket that it has anchors of: the anchors with document and ordinal. An anchor of several
+    documents of the piece is sent once, as known to repeat, with the number of its stretches; these are passed on to one bucket without it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, turn = WordHashes(), 0
+        hashes = WordHashes()
         for batch in slices(batches, "text", 6 << 20):
             ids, keys = (batch.column(c).to_numpy() for c in ("doc_id", "key"))
             s = Stretches(binary_texts(batch.column("text")), hashes, window)
@@ -80,61 +83,83 @@ def _packed_anchors(buckets: int, window: int):
             repeats = owners[edges] != owners[ends]
             known = np.zeros(len(order), bool)
             known[order] = np.repeat(repeats, ends - edges + 1)
-            markers = anchors[edges[repeats]]
-            where, marked = s.anchors % np.uint64(buckets), markers % np.uint64(buckets)
-            for bucket in range(buckets):
-                at = np.flatnonzero(~known & (where == bucket))
-                passed = np.flatnonzero(known) if bucket == turn % buckets else np.empty(0, int)
-                numbers = [pa.array([bucket], pa.int32()), pa.array([int((marked == bucket).sum())], pa.int64())]
-                arrays = [
-                    keys, ids, np.r_[markers[marked == bucket], s.anchors[at]], s.docs[at].astype(np.int32), s.ordinals[at].astype(np.int32),
-                    s.docs[passed].astype(np.int32), s.ordinals[passed].astype(np.int32),
-                ]
-                yield pa.RecordBatch.from_arrays([*numbers, *(pa.array([a.tobytes()], pa.binary()) for a in arrays)], [f.split()[0] for f in PACKS.split(", ")])
-            turn += 1
+            markers, marked = anchors[edges[repeats]], (ends - edges + 1)[repeats]
+            of_marker = markers % np.uint64(buckets)
+            by_bucket = np.argsort(of_marker, kind="stable")
+            markers, marked, of_marker = markers[by_bucket], marked[by_bucket], of_marker[by_bucket]
+            lone = np.flatnonzero(~known)
+            of_lone = s.anchors[lone] % np.uint64(buckets)
+            by_bucket = np.argsort(of_lone, kind="stable")
+            lone, of_lone = lone[by_bucket], of_lone[by_bucket]
+            passed = np.flatnonzero(known)
+            home = keys[:1].view(np.uint64) % np.uint64(buckets)
+            wanted = np.unique(np.concatenate([of_lone, of_marker, home]))
+            lone_at, marker_at = (np.searchsorted(x, np.r_[wanted, np.uint64(buckets)]) for x in (of_lone, of_marker))
+            rows = []
+            for k, bucket in enumerate(wanted.tolist()):
+                here, of = slice(marker_at[k], marker_at[k + 1]), lone[lone_at[k] : lone_at[k + 1]]
+                on = passed if bucket == int(home[0]) else passed[:0]
+                used, docs = np.unique(np.r_[s.docs[of], s.docs[on]], return_inverse=True)
+                docs = docs.astype(np.int32)
+                arrays = (
+                    keys[used], ids[used], marked[here].astype(np.int64), np.r_[markers[here], s.anchors[of]], docs[: len(of)],
+                    s.ordinals[of].astype(np.int32), docs[len(of) :], s.ordinals[on].astype(np.int32),
+                )
+                rows.append((bucket, *(a.tobytes() for a in arrays)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 8)], [f.split()[0] for f in PACKS.split(", ")])
 
     return run
 
 
 PACKS = (
-    "bucket int, markers long, keys binary, ids binary, anchors binary, docs binary, ordinals binary, passed_docs binary, passed_ordinals binary"
+    "bucket int, keys binary, ids binary, marked binary, anchors binary, docs binary, ordinals binary, passed_docs binary, passed_ordinals binary"
 )
 
 
-def _repeated(packs: pd.DataFrame) -> pd.DataFrame:
-    """(key, ordinals): the stretches of each document whose anchor occurs in another document too."""
-    anchors = [np.frombuffer(x, np.uint64) for x in packs["anchors"]]
-    local = [np.frombuffer(x, np.int32) for x in packs["docs"]]
-    sizes, marks = np.array(list(map(len, anchors))), packs["markers"].to_numpy()
-    every = np.concatenate(anchors)
-    marker = np.concatenate([np.arange(n) < m for n, m in zip(sizes, marks)]) if len(sizes) else np.empty(0, bool)
-    ids = np.zeros(len(every), np.int64)
-    ids[~marker] = np.concatenate([np.frombuffer(x, np.int64)[d] for x, d in zip(packs["ids"], local)])
-    order = np.argsort(every)
-    starts = np.flatnonzero(np.r_[True, every[order][1:] != every[order][:-1]]) if len(order) else np.empty(0, int)
-    hot = np.zeros(len(every), bool)
-    if len(order):
-        top, bottom = np.iinfo(np.int64).max, np.iinfo(np.int64).min
-        low = np.minimum.reduceat(np.where(marker, top, ids)[order], starts)
-        high = np.maximum.reduceat(np.where(marker, bottom, ids)[order], starts)
-        many = (low < high) & (low != top) | np.logical_or.reduceat(marker[order], starts)
-        hot[order] = np.repeat(many, np.diff(np.r_[starts, len(order)]))
-    hot = np.split(hot[~marker], np.cumsum(sizes - marks)[:-1])
-    out_keys, out_ordinals = [], []
-    for k, keys in enumerate(packs["keys"]):
-        keys = np.frombuffer(keys, np.int64)
-        docs = np.r_[local[k][hot[k]], np.frombuffer(packs["passed_docs"].iloc[k], np.int32)]
-        ordinals = np.r_[np.frombuffer(packs["ordinals"].iloc[k], np.int32)[hot[k]], np.frombuffer(packs["passed_ordinals"].iloc[k], np.int32)]
-        by_doc = np.argsort(docs, kind="stable")
-        docs, ordinals = docs[by_doc], ordinals[by_doc]
-        cuts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.empty(0, int)
-        out_keys += keys[docs[cuts]].tolist()
-        out_ordinals += [part.astype("<i4").tobytes() for part in np.split(ordinals, cuts[1:])] if len(docs) else []
-    return pd.DataFrame({"key": pd.Series(out_keys, dtype="int64"), "ordinals": pd.Series(out_ordinals, dtype=object)})
-
-
-def _contents(window: int, shards: int, words: bool):
-    """The stretches whose anchors repeat. With ``words`` the distinct ones of a piece of the input and the smallest doc_id of each,
+def _repeated(frequent: int):
+    """(key, ordinals): the stretches of each document whose anchor occurs in another document too. Under a null key the anchors of
+    ``frequent`` stretches or more, each with its number."""
+
+    def run(packs: pd.DataFrame) -> pd.DataFrame:
+        anchors = [np.frombuffer(x, np.uint64) for x in packs["anchors"]]
+        marked = [np.frombuffer(x, np.int64) for x in packs["marked"]]
+        local = [np.frombuffer(x, np.int32) for x in packs["docs"]]
+        sizes, marks = np.array(list(map(len, anchors))), np.array(list(map(len, marked)))
+        every = np.concatenate(anchors)
+        marker = np.concatenate([np.arange(n) < m for n, m in zip(sizes, marks)])
+        ids, weights = np.zeros(len(every), np.int64), np.ones(len(every), np.int64)
+        ids[~marker] = np.concatenate([np.frombuffer(x, np.int64)[d] for x, d in zip(packs["ids"], local)])
+        weights[marker] = np.concatenate(marked)
+        order = np.argsort(every)
+        starts = np.flatnonzero(np.r_[True, every[order][1:] != every[order][:-1]]) if len(order) else np.empty(0, int)
+        hot, heavy = np.zeros(len(every), bool), np.empty((0, 2), np.uint64)
+        if len(order):
+            top, bottom = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+            low = np.minimum.reduceat(np.where(marker, top, ids)[order], starts)
+            high = np.maximum.reduceat(np.where(marker, bottom, ids)[order], starts)
+            many = (low < high) & (low != top) | np.logical_or.reduceat(marker[order], starts)
+            hot[order] = np.repeat(many, np.diff(np.r_[starts, len(order)]))
+            total = np.add.reduceat(weights[order], starts)
+            at = np.flatnonzero(many & (total >= frequent))
+            heavy = np.stack([every[order][starts[at]], total[at].astype(np.uint64)], axis=1)
+        hot = np.split(hot[~marker], np.cumsum(sizes - marks)[:-1])
+        out_keys, out_ordinals = [None] * bool(len(heavy)), [heavy.astype("<u8").tobytes()] * bool(len(heavy))
+        for k, keys in enumerate(packs["keys"]):
+            keys = np.frombuffer(keys, np.int64)
+            docs = np.r_[local[k][hot[k]], np.frombuffer(packs["passed_docs"].iloc[k], np.int32)]
+            ordinals = np.r_[np.frombuffer(packs["ordinals"].iloc[k], np.int32)[hot[k]], np.frombuffer(packs["passed_ordinals"].iloc[k], np.int32)]
+            by_doc = np.argsort(docs, kind="stable")
+            docs, ordinals = docs[by_doc], ordinals[by_doc]
+            cuts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.empty(0, int)
+            out_keys += keys[docs[cuts]].tolist()
+            out_ordinals += [part.astype("<i4").tobytes() for part in np.split(ordinals, cuts[1:])] if len(docs) else []
+        return pd.DataFrame({"key": pd.Series(out_keys, dtype="Int64"), "ordinals": pd.Series(out_ordinals, dtype=object)})
+
+    return run
+
+
+def _contents(window: int, shards: int, frequent: np.ndarray, words: bool):
+    """The stretches whose anchors repeat; those of a ``frequent`` anchor cut into windows, which their own hashes spread over the shards. With ``words`` the distinct ones of a piece of the input and the smallest doc_id of each,
     (shard, content, words, first); else all occurrences (shard, content, doc_id, key, start)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,24 +169,29 @@ def _contents(window: int, shards: int, words: bool):
             s = Stretches(binary_texts(batch.column("text")), hashes, window)
             firsts = np.searchsorted(s.docs, np.arange(len(ids)))
             at = np.unique(np.concatenate([firsts[d] + np.frombuffer(o, "<i4") for d, o in enumerate(batch.column("ordinals").to_pylist())]))
-            sizes = s.windows[at] + window - 1
+            begins, windows, docs, anchors = s.starts[at], s.windows[at], s.docs[at], s.anchors[at]
+            cut = np.isin(anchors, frequent)
+            times = np.where(cut, windows, 1)
+            inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            begins, docs, anchors, cut, sizes = (np.repeat(x, times) for x in (begins, docs, anchors, cut, np.where(cut, 1, windows) + window - 1))
+            begins = begins + inner
             ends = np.cumsum(sizes)
-            flat = s.words[np.arange(ends[-1] if len(at) else 0) + np.repeat(s.starts[at] - ends + sizes, sizes)]
+            flat = s.words[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - ends + sizes, sizes)]
             place = np.arange(len(flat), dtype=np.uint64) - np.repeat(ends - sizes, sizes).astype(np.uint64)
-            content = np.add.reduceat(mixed(flat ^ mixed(place + np.uint64(77))), ends - sizes) if len(at) else np.empty(0, np.uint64)
-            shard = (s.anchors[at] % np.uint64(shards)).astype(np.int32)
+            content = np.add.reduceat(mixed(flat ^ mixed(place + np.uint64(77))), ends - sizes) if len(ends) else np.empty(0, np.uint64)
+            shard = (np.where(cut, mixed(content), anchors) % np.uint64(shards)).astype(np.int32)
             if not words:
-                start = (s.starts - s.doc_starts[s.docs])[at].astype(np.int32)
-                columns = [shard, content.view(np.int64), ids[s.docs[at]], keys[s.docs[at]], start]
+                start = (begins - s.doc_starts[docs]).astype(np.int32)
+                columns = [shard, content.view(np.int64), ids[docs], keys[docs], start]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "content", "doc_id", "key", "start"])
                 continue
-            order = np.lexsort((ids[s.docs[at]], content))
+            order = np.lexsort((ids[docs], content))
             one = order[np.r_[True, content[order][1:] != content[order][:-1]]] if len(order) else order
             small = flat.view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
             small = small[np.arange(sizes[one].sum()) + np.repeat((ends - sizes)[one] - np.cumsum(sizes[one]) + sizes[one], sizes[one])]
             offsets = pa.array(np.r_[0, np.cumsum(sizes[one]) * WORD_BYTES], pa.int32())
             texts = pa.Array.from_buffers(pa.binary(), len(one), [None, offsets.buffers()[1], pa.py_buffer(small.tobytes())])
-            columns = [pa.array(shard[one]), pa.array(content[one].view(np.int64)), texts, pa.array(ids[s.docs[at]][one])]
+            columns = [pa.array(shard[one]), pa.array(content[one].view(np.int64)), texts, pa.array(ids[docs][one])]
             yield pa.RecordBatch.from_arrays(columns, ["shard", "content", "words", "first"])
 
     return run
@@ -264,10 +294,8 @@ def first_documents(words: list[bytes], firsts: np.ndarray, window: int) -> list
 
 def _judged(window: int):
     def run(stretches: pd.DataFrame) -> pd.DataFrame:
-        first = stretches.groupby("content")["first"].min()
-        stretches = stretches.drop_duplicates("content").set_index("content")
-        found = first_documents(stretches["words"].tolist(), first.loc[stretches.index].to_numpy(), window)
-        return pd.DataFrame({"shard": stretches["shard"].to_numpy(), "content": stretches.index, "firsts": found})
+        found = first_documents(stretches["words"].tolist(), stretches["first"].to_numpy(), window)
+        return pd.DataFrame({"shard": stretches["shard"], "content": stretches["content"], "firsts": found})
 
     return run
 
@@ -309,22 +337,30 @@ def _kept_digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def repeated_ranges(docs: DataFrame, window: int = 13) -> DataFrame:
-    """(key, ranges): for each document, the word ranges (start and end as 32-bit numbers) whose windows also start in a document of smaller id."""
+def repeated_ranges(docs: DataFrame, window: int = 13, frequent: int = FREQUENT) -> DataFrame:
+    """(key, ranges): for each document, the word ranges (start and end as 32-bit numbers) whose windows also start in a document of smaller id.
+
+    Anchors of ``frequent`` stretches or more are listed to the tasks: a list of at most a million, as ``frequent`` grows with a very large input.
+    """
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BYTES_PER_BUCKET))
     packs = known.mapInArrow(_packed_anchors(buckets, window), PACKS)
-    hits = packs.groupBy("bucket").applyInPandas(_repeated, "key long, ordinals binary")
+    frequent = max(frequent, size // BYTES_PER_STRETCH // 1_000_000)
+    hits = packs.groupBy("bucket").applyInPandas(_repeated(frequent), "key long, ordinals binary")
     hits = hits.groupBy("key").agg(F.collect_list("ordinals").alias("lists"))
     together = F.aggregate("lists", F.lit(b""), lambda a, b: F.concat(a, b))
     hits = written(hits.select("key", together.alias("ordinals")), "passages-hits")
-    found, octets = hits.agg(F.count("*"), F.sum(F.octet_length("ordinals"))).first()
-    shards = max(1, -(-(octets or 0) // (4 * STRETCHES_PER_SHARD)))
-    of_docs = known.join(checked_broadcast(hits, found, MOST_BROADCAST), "key").select("doc_id", "text", "key", "ordinals")
-    contents = of_docs.mapInArrow(_contents(window, shards, True), "shard int, content long, words binary, first long")
-    firsts = contents.groupBy("shard").applyInPandas(_judged(window), "shard int, content long, firsts array<long>")
-    met = of_docs.mapInArrow(_contents(window, shards, False), "shard int, content long, doc_id long, key long, start int")
+    found, octets = hits.where("key IS NOT NULL").agg(F.count("*"), F.sum(F.octet_length("ordinals"))).first()
+    listed = hits.where("key IS NULL").first()
+    heavy = np.frombuffer(listed["ordinals"] if listed else b"", "<u8").reshape(-1, 2)
+    heavy, more = np.sort(heavy[:, 0]), int(heavy[:, 1].sum()) * (window - ANCHOR_WORDS)
+    shards = max(1, -(-((octets or 0) // 4 + more) // STRETCHES_PER_SHARD))
+    of_docs = known.join(checked_broadcast(hits.where("key IS NOT NULL"), found, MOST_BROADCAST), "key").select("doc_id", "text", "key", "ordinals")
+    contents = of_docs.mapInArrow(_contents(window, shards, heavy, True), "shard int, content long, words binary, first long")
+    distinct = contents.groupBy("shard", "content").agg(F.first("words").alias("words"), F.min("first").alias("first"))
+    firsts = distinct.groupBy("shard").applyInPandas(_judged(window), "shard int, content long, firsts array<long>")
+    met = of_docs.mapInArrow(_contents(window, shards, heavy, False), "shard int, content long, doc_id long, key long, start int")
     places = F.filter(F.sequence(F.lit(0), F.size("firsts") - 1), lambda k: F.get("firsts", k) < F.col("doc_id"))
     later = met.join(firsts, ["shard", "content"]).withColumn("places", places).where(F.size("places") > 0)
     # the windows of a stretch overlap, so what they cover is one range
@@ -333,7 +369,7 @@ def repeated_ranges(docs: DataFrame, window: int = 13) -> DataFrame:
     return written(lists.mapInArrow(_joined_up, "key long, ranges binary"), "passages-ranges")
 
 
-def without_repeats(docs: DataFrame, window: int = 13, digest: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 13, digest: bool = False, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for every row of ``docs``; ``digest`` gives the SHA-256 of the kept text instead of it.
 
     Words are cut at ASCII white space and compared unchanged, by 64-bit hashes. A word goes if it lies in a window of ``window``
@@ -342,7 +378,7 @@ def without_repeats(docs: DataFrame, window: int = 13, digest: bool = False) ->
     a row with a null id loses nothing and rules nothing out. Other columns are not read. An empty table gives no rows.
     """
     keyed = _keyed(docs)
-    ranges = repeated_ranges(keyed, window)
+    ranges = repeated_ranges(keyed, window, frequent)
     joined = keyed.join(checked_broadcast(ranges, ranges.count(), MOST_BROADCAST), "key", "left").select("doc_id", "text", "ranges")
     kind = "kept_sha256 string" if digest else "kept string"
     return joined.mapInArrow(_kept_digest if digest else _kept, f"doc_id long, n_words long, n_removed long, {kind}")

@@ -67,6 +67,14 @@ def test_repeated_passages(docs, rows, empty):
         expected.append((i, len(words), len(gone), " ".join(w for k, w in enumerate(words) if k not in gone)))
     found = [tuple(r) for r in substring_dedup.without_repeats(docs).collect()]
     assert sorted(found, key=str) == sorted(expected, key=str)
+    cut = [tuple(r) for r in substring_dedup.without_repeats(docs, frequent=2).collect()]
+    assert sorted(cut, key=repr) == sorted(found, key=repr)  # windows of frequent anchors one by one
+    few_buckets, substring_dedup.BYTES_PER_BUCKET = substring_dedup.BYTES_PER_BUCKET, 3000
+    try:
+        many = [tuple(r) for r in substring_dedup.without_repeats(docs, frequent=9).collect()]
+    finally:
+        substring_dedup.BYTES_PER_BUCKET = few_buckets
+    assert sorted(many, key=repr) == sorted(found, key=repr)
     digests = {r["kept_sha256"] for r in substring_dedup.without_repeats(docs, digest=True).collect()}
     assert digests == {hashlib.sha256(e[3].encode()).hexdigest() for e in expected}
     assert substring_dedup.without_repeats(empty).collect() == []
