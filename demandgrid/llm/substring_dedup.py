@@ -26,9 +26,9 @@ from demandgrid.llm.shared import WordHashes, binary_texts, checked_broadcast, m
 
 ANCHOR_WORDS = 5
 WORD_BYTES = 6  # of a word's hash, in a stretch; two stretches are only compared if their anchors' 64 bits agree
-BYTES_PER_BUCKET = 96 << 20  # of text, whose anchors one task sorts in the first pass
-STRETCHES_PER_SHARD = 250_000  # before copies are dropped; about two million words in an index
-FREQUENT = STRETCHES_PER_SHARD // 8  # stretches of one anchor; from here on its windows are spread one by one
+BYTES_PER_BUCKET = 48 << 20  # of text, whose anchors one task sorts in the first pass
+STRETCHES_PER_SHARD = 100_000  # before copies are dropped; less than two million words in an index
+FREQUENT = STRETCHES_PER_SHARD // 2  # stretches of one anchor; from here on its windows are spread one by one
 BYTES_PER_STRETCH = 30  # of text, about
 MOST_BROADCAST = 300_000  # documents whose few hundred bytes of findings may be broadcast; beyond, texts are joined by shuffle
 
@@ -164,7 +164,7 @@ def _contents(window: int, shards: int, frequent: np.ndarray, words: bool):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in slices(batches, "text", 12 << 20):
+        for batch in slices(batches, "text", 6 << 20):
             ids, keys = (batch.column(c).to_numpy() for c in ("doc_id", "key"))
             s = Stretches(binary_texts(batch.column("text")), hashes, window)
             firsts = np.searchsorted(s.docs, np.arange(len(ids)))
