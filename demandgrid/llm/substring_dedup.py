@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,7 +74,8 @@ def _packed_anchors(buckets: int, window: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in slices(batches, "text", 6 << 20):
+        for turn, batch in enumerate(slices(batches, "text", 6 << 20)):
+            piece = (TaskContext.get().partitionId() << 24) + turn
             ids, keys = (batch.column(c).to_numpy() for c in ("doc_id", "key"))
             s = Stretches(binary_texts(batch.column("text")), hashes, window)
             order = np.lexsort((ids[s.docs], s.anchors))
@@ -92,7 +94,7 @@ def _packed_anchors(buckets: int, window: int):
             by_bucket = np.argsort(of_lone, kind="stable")
             lone, of_lone = lone[by_bucket], of_lone[by_bucket]
             passed = np.flatnonzero(known)
-            home = keys[:1].view(np.uint64) % np.uint64(buckets)
+            home = mixed(np.array([piece], np.uint64)) % np.uint64(buckets)
             wanted = np.unique(np.concatenate([of_lone, of_marker, home]))
             lone_at, marker_at = (np.searchsorted(x, np.r_[wanted, np.uint64(buckets)]) for x in (of_lone, of_marker))
             rows = []
@@ -105,20 +107,20 @@ def _packed_anchors(buckets: int, window: int):
                     keys[used], ids[used], marked[here].astype(np.int64), np.r_[markers[here], s.anchors[of]], docs[: len(of)],
                     s.ordinals[of].astype(np.int32), docs[len(of) :], s.ordinals[on].astype(np.int32),
                 )
-                rows.append((bucket, *(a.tobytes() for a in arrays)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 8)], [f.split()[0] for f in PACKS.split(", ")])
+                rows.append((bucket, piece, *(a.tobytes() for a in arrays)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), [pa.int32(), pa.int64()] + [pa.binary()] * 8)], [f.split()[0] for f in PACKS.split(", ")])
 
     return run
 
 
 PACKS = (
-    "bucket int, keys binary, ids binary, marked binary, anchors binary, docs binary, ordinals binary, passed_docs binary, passed_ordinals binary"
+    "bucket int, piece long, keys binary, ids binary, marked binary, anchors binary, docs binary, ordinals binary, passed_docs binary, passed_ordinals binary"
 )
 
 
 def _repeated(frequent: int):
-    """(key, ordinals): the stretches of each document whose anchor occurs in another document too. Under a null key the anchors of
-    ``frequent`` stretches or more, each with its number."""
+    """(piece, keys, sizes, ordinals): the stretches of a piece's documents whose anchor occurs in another document too. Without a piece,
+    as ordinals, the anchors of ``frequent`` stretches or more, each with its number."""
 
     def run(packs: pd.DataFrame) -> pd.DataFrame:
         anchors = [np.frombuffer(x, np.uint64) for x in packs["anchors"]]
@@ -143,21 +145,32 @@ def _repeated(frequent: int):
             at = np.flatnonzero(many & (total >= frequent))
             heavy = np.stack([every[order][starts[at]], total[at].astype(np.uint64)], axis=1)
         hot = np.split(hot[~marker], np.cumsum(sizes - marks)[:-1])
-        out_keys, out_ordinals = [None] * bool(len(heavy)), [heavy.astype("<u8").tobytes()] * bool(len(heavy))
+        out = [(None, b"", b"", heavy.astype("<u8").tobytes())] * bool(len(heavy))
         for k, keys in enumerate(packs["keys"]):
             keys = np.frombuffer(keys, np.int64)
             docs = np.r_[local[k][hot[k]], np.frombuffer(packs["passed_docs"].iloc[k], np.int32)]
             ordinals = np.r_[np.frombuffer(packs["ordinals"].iloc[k], np.int32)[hot[k]], np.frombuffer(packs["passed_ordinals"].iloc[k], np.int32)]
-            by_doc = np.argsort(docs, kind="stable")
-            docs, ordinals = docs[by_doc], ordinals[by_doc]
-            cuts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.empty(0, int)
-            out_keys += keys[docs[cuts]].tolist()
-            out_ordinals += [part.astype("<i4").tobytes() for part in np.split(ordinals, cuts[1:])] if len(docs) else []
-        return pd.DataFrame({"key": pd.Series(out_keys, dtype="Int64"), "ordinals": pd.Series(out_ordinals, dtype=object)})
+            if len(docs):
+                found, sizes = np.unique(docs, return_counts=True)
+                ordinals = ordinals[np.argsort(docs, kind="stable")]
+                out.append((packs["piece"].iloc[k], keys[found].tobytes(), sizes.astype(np.int64).tobytes(), ordinals.astype("<i4").tobytes()))
+        return pd.DataFrame(out, columns=["piece", "keys", "sizes", "ordinals"]).astype({"piece": "Int64"})
 
     return run
 
 
+def _by_document(parts: pd.DataFrame) -> pd.DataFrame:
+    """(key, ordinals) from a piece's parts; what has no piece keeps a null key."""
+    if parts["piece"].isna().any():
+        return pd.DataFrame({"key": pd.Series([None], dtype="Int64"), "ordinals": [b"".join(parts["ordinals"])]})
+    keys, sizes = (np.concatenate([np.frombuffer(x, np.int64) for x in parts[c]]) for c in ("keys", "sizes"))
+    owner = np.repeat(keys, sizes)
+    order = np.argsort(owner, kind="stable")
+    ordinals = np.frombuffer(b"".join(parts["ordinals"]), "<i4")[order]
+    found, starts = np.unique(owner[order], return_index=True)
+    return pd.DataFrame({"key": pd.Series(found, dtype="Int64"), "ordinals": [x.tobytes() for x in np.split(ordinals, starts[1:])]})
+
+
 def _contents(window: int, shards: int, frequent: np.ndarray, words: bool):
     """The stretches whose anchors repeat; those of a ``frequent`` anchor cut into windows, which their own hashes spread over the shards. With ``words`` the distinct ones of a piece of the input and the smallest doc_id of each,
     (shard, content, words, first); else all occurrences (shard, content, doc_id, key, start)."""
@@ -347,7 +360,8 @@ def repeated_ranges(docs: DataFrame, window: int = 13, frequent: int = FREQUENT)
     buckets = max(1, -(-size // BYTES_PER_BUCKET))
     packs = known.mapInArrow(_packed_anchors(buckets, window), PACKS)
     frequent = max(frequent, size // BYTES_PER_STRETCH // 1_000_000)
-    hits = packs.groupBy("bucket").applyInPandas(_repeated(frequent), "key long, ordinals binary")
+    hits = packs.groupBy("bucket").applyInPandas(_repeated(frequent), "piece long, keys binary, sizes binary, ordinals binary")
+    hits = hits.groupBy("piece").applyInPandas(_by_document, "key long, ordinals binary")
     hits = hits.groupBy("key").agg(F.collect_list("ordinals").alias("lists"))
     together = F.aggregate("lists", F.lit(b""), lambda a, b: F.concat(a, b))
     hits = written(hits.select("key", together.alias("ordinals")), "passages-hits")
