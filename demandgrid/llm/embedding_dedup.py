@@ -1,216 +1,199 @@
-"""Near-duplicate vectors by sorted projection passes.
-
-Each pass orders the vectors lexicographically by concatenated random hashes (signs of random projections), compares
-every vector with a bounded window of those that follow, and keeps the pairs that verify; the passes' pairs are united.
-Vectors that share a prefix of a hash and lie within half the threshold's angle of one pivot are one class beforehand: any two of
-them link by the triangle inequality, so a group of copies of any size costs one representative and no pairs.
+"""Near-duplicate vectors by an exact block join.
+
+Equal vectors are one head with a count. The heads of a label are dealt to their nearest pivot and cut into blocks of bounded size that
+know how far their members lie from the pivot. By the triangle inequality of angles a pair of blocks is too far apart for any link,
+so close that all members link (only counted, never unfolded), or open; open pairs are multiplied block against block, links are
+counted by row, and only a spanning forest of them leaves a task. No pair of vectors that may link is left uncompared, so nothing is missed.
+What it costs: blocks that no angle keeps apart cost the square of a label's distinct vectors in multiplications, and each vector is sent to
+every block its own block is open with.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandgrid.llm.neighbours import exact_cosines, usable
 from demandgrid.llm.shared import components, written
 
-HASH_BITS = 63
-PASSES = 10
-WINDOW = 48
-BLOCK = 2048
-CHUNK = 512
-ROUNDS = 10
-EPS = 1e-9
+BLOCK = 8192
+SMALL_BLOCK = 512
+NUMBERS_PER_BLOCK = 1 << 22
+FEW_BLOCKS = 8
+CELLS_PER_STRIP = 1 << 22
+EPS = 1e-6  # above the error of an angle computed in double precision, which is some 2e-8 near zero
 
 
 def _angles(cosines: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosines, -1, 1))
 
 
-def _hashed(passes: int, seed: int):
-    """Adds ``keys``: one whole-number key per pass, its bits the signs of random projections, most significant first."""
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.array(vectors.tolist(), np.float64)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        for batch in batches:
-            keys: list = [None] * batch.num_rows
-            vectors = batch.column("embedding").to_pylist()
-            by_size: dict[int, list[int]] = {}
-            for k, vector in enumerate(vectors):
-                if vector is not None:
-                    by_size.setdefault(len(vector), []).append(k)
-            for size, rows in by_size.items():
-                if size not in planes:
-                    planes[size] = np.random.default_rng([seed, size]).normal(size=(size, passes * HASH_BITS))
-                x = np.array([vectors[k] for k in rows], np.float64)
-                bits = (x / np.abs(x).max(axis=1, keepdims=True)) @ planes[size] > 0
-                found = bits.reshape(len(rows), passes, HASH_BITS) @ (np.int64(1) << np.arange(HASH_BITS - 1, -1, -1))
-                for k, key in zip(rows, found.tolist()):
-                    keys[k] = key
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], [*batch.schema.names, "keys"])
 
-    return run
+def _unit(x: np.ndarray) -> np.ndarray:
+    scaled = x / np.abs(x).max(axis=1, keepdims=True)
+    return (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _beside(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, pivot_id, pivot_rid, angle) from rows that hold a vector and its possible pivot."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, 4096):
-            part = batch.slice(k, 4096)
-            dims, angle = part.column("dim").to_numpy(), np.zeros(part.num_rows)
-            for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
-                a, b = (np.array(part.column(c).take(pa.array(at)).to_pylist(), np.float64) for c in ("embedding", "pivot"))
-                angle[at] = _angles(exact_cosines(a, b))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rid", "pivot_id", "pivot_rid")), pa.array(angle)], ["rid", "pivot_id", "pivot_rid", "angle"])
+def _dealt(heads: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+    """The heads with ``cell``, the nearest pivot, and the angle to it."""
+    if not len(heads):
+        return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("cls", "label", "dim", "m", "cell")} | {"angle": pd.Series(dtype="float64"), "embedding": pd.Series(dtype="object")})
+    x, p = _matrix(heads["embedding"]), _matrix(pivots["pivot"])
+    unit, towards = _unit(x), _unit(p).T
+    step = max(1, CELLS_PER_STRIP // len(p))
+    best = np.concatenate([(unit[k : k + step] @ towards).argmax(axis=1) for k in range(0, len(x), step)])
+    return heads[["cls", "label", "dim", "m", "embedding"]].assign(cell=pivots["cell"].to_numpy()[best], angle=_angles(exact_cosines(x, p[best])))
 
 
-def classes_of(rows: DataFrame, reach: float, rounds: int, bits: int) -> DataFrame:
-    """(rid, vec_id, cls, angle): each row's class, named by the row number of its pivot, and the angle to that.
+def _judged(limit: float):
+    """Pairs of blocks that are not too far apart for a link; ``sure`` where every pair of members links."""
 
-    In each round the rows with one label, size and key prefix meet the one of smallest id among them: a grouped minimum of two numbers,
-    combined before the shuffle and joined back, which adaptive execution can split for a prefix of many rows. A row joins the
-    smallest pivot it meets within ``reach``, so any two rows of a class are within twice that. A row that
-    joins none, or alone, is its own pivot.
-    """
-    cells = rows.select(
-        "rid", "vec_id", "label", "dim",
-        F.posexplode(F.transform(F.slice("keys", 1, rounds), lambda key: F.shiftright(key, HASH_BITS - bits))).alias("round", "prefix"),
-    )
-    cell = ["label", "dim", "round", "prefix"]
-    least = cells.groupBy(*cell).agg(F.min(F.struct(F.coalesce("vec_id", F.lit(2**63 - 1)).alias("id"), "rid")).alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    met = cells.join(least, cell).select("rid", F.col("pivot.id").alias("pivot_id"), F.col("pivot.rid").alias("pivot_rid")).where("rid <> pivot_rid").distinct()
-    own, theirs = rows.select("rid", "dim", "embedding"), rows.select(F.col("rid").alias("pivot_rid"), F.col("embedding").alias("pivot"))
-    near = met.join(own, "rid").join(theirs, "pivot_rid").mapInArrow(_beside, "rid long, pivot_id long, pivot_rid long, angle double")
-    taken = near.where(F.col("angle") <= reach).groupBy("rid").agg(F.min(F.struct("pivot_id", "pivot_rid", "angle")).alias("taken"))
-    taken = written(taken.select("rid", F.col("taken.pivot_rid").alias("cls"), F.col("taken.angle").alias("angle")), "vector-pivots")
-    alone = taken.groupBy("cls").agg(F.count("*").alias("n")).where("n = 1").select("cls", F.lit(True).alias("alone"))
-    joined = taken.join(alone, "cls", "left").where("alone IS NULL").drop("alone")
-    return rows.select("rid", "vec_id").join(joined, "rid", "left").select(
-        "rid", "vec_id", F.coalesce("cls", "rid").alias("cls"), F.coalesce("angle", F.lit(0.0)).alias("angle")
-    )
+    def run(batches):
+        for batch in batches:
+            angle = np.zeros(len(batch))
+            for dim in batch["dim"].unique():
+                at = np.flatnonzero((batch["dim"] == dim).to_numpy())
+                angle[at] = _angles(exact_cosines(_matrix(batch["pivot_a"].iloc[at]), _matrix(batch["pivot_b"].iloc[at])))
+            angle[(batch["cell_a"] == batch["cell_b"]).to_numpy()] = 0.0
+            low_a, high_a, low_b, high_b = (batch[c].to_numpy() for c in ("low_a", "high_a", "low_b", "high_b"))
+            least = np.maximum.reduce([angle - high_a - high_b, low_a - angle - high_b, low_b - angle - high_a])
+            kept = batch[["a", "b"]].assign(sure=angle + high_a + high_b <= limit - EPS)
+            yield kept[least <= limit + EPS]
 
+    return run
 
-def _compared(threshold: float, window: int):
-    """Pairs of classes within the window of one block whose angle lets any of their members link; ``sure`` if all do."""
-    limit = float(np.arccos(threshold))
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("pos", kind="stable")
-        own = (block["block"] == block["pos"] // BLOCK).to_numpy()
-        cls, radius, single = block["cls"].to_numpy(), block["radius"].to_numpy(), block["m"].to_numpy() == 1
-        run_of = (block[["pass", "label", "dim"]] != block[["pass", "label", "dim"]].shift()).any(axis=1).cumsum().to_numpy()
-        vectors = block["embedding"].tolist()
-        out = []
-        for one in np.unique(run_of):
-            at = np.flatnonzero(run_of == one)
-            x = np.array([vectors[k] for k in at], np.float64)
-            unit = x / np.abs(x).max(axis=1, keepdims=True)
-            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-            for shift in range(1, min(window, len(at) - 1) + 1):
-                a, b = at[:-shift], at[shift:]
-                reach = radius[a] + radius[b]
-                near = np.flatnonzero(own[a] & (np.einsum("ij,ij->i", unit[:-shift], unit[shift:]) >= np.cos(np.minimum(limit + reach, np.pi)) - 1e-6))
-                if not len(near):
-                    continue
-                cosines = exact_cosines(x[near], x[near + shift])
-                angles, reach, lone = _angles(cosines), reach[near], single[a[near]] & single[b[near]]
-                sure = np.where(lone, cosines >= threshold, angles + reach <= limit - EPS)
-                open_ = ~lone & ~sure & (angles - reach <= limit + EPS)
-                for k in np.flatnonzero(sure | open_):
-                    pair = sorted((int(cls[a[near[k]]]), int(cls[b[near[k]]])))
-                    out.append((*pair, bool(sure[k])))
-        return pd.DataFrame(out, columns=["a", "b", "sure"]).astype({"a": "int64", "b": "int64", "sure": "bool"})
+def _linked(threshold: float):
+    """Links between two blocks, or within one where the right side is empty.
 
-    return run
+    A row (a, -1, n) gives the number of vectors that head a links with, a row (a, b, 0) a link of the spanning forest. The product in single
+    precision decides what its error bound leaves no doubt of, double precision the rest.
+    """
 
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        two = len(right) > 0
+        other = right if two else left
+        x, y = _matrix(left["embedding"]), _matrix(other["embedding"])
+        rows, columns = _unit(x), _unit(y).T
+        m_x, m_y = left["m"].to_numpy(np.float64), other["m"].to_numpy(np.float64)
+        slack = (x.shape[1] + 8) * 1.2e-7  # twice the worst rounding of a product of unit vectors
+        names = np.concatenate([left["cls"].to_numpy(), right["cls"].to_numpy()]) if two else left["cls"].to_numpy()
+        beyond = len(x) if two else 0
+        group, counts, edges = np.arange(len(names)), np.zeros(len(names)), []
+        step = max(1, CELLS_PER_STRIP // len(y))
+        for start in range(0, len(x), step):
+            near = rows[start : start + step] @ columns
+            if not two:
+                own = np.arange(len(near))
+                near[own, start + own] = -2.0  # a head does not link with itself
+            some = np.flatnonzero(near.max(axis=1) >= threshold - slack)
+            if not len(some):
+                continue
+            near, some = near[some], start + some
+            links = near >= threshold + slack
+            r, c = np.nonzero((near >= threshold - slack) & ~links)
+            for k in range(0, len(r), 65536):
+                p, q = r[k : k + 65536], c[k : k + 65536]
+                links[p, q] = exact_cosines(x[some[p]], y[q]) >= threshold
+            counts[some] += links @ m_y
+            if two:
+                counts[beyond:] += m_x[some] @ links
+            for k, row in zip(some, links):
+                met = group[beyond + np.flatnonzero(row)]
+                if len(met) and (met != group[k]).any():
+                    roots = np.unique(np.append(met, group[k]))
+                    edges += [(roots[0], root) for root in roots[1:]]
+                    group[np.isin(group, roots)] = roots[0]
+        at, ends = np.flatnonzero(counts), np.array(edges, np.int64).reshape(-1, 2)
+        return pd.DataFrame({
+            "a": np.r_[names[at], names[ends[:, 0]]], "b": np.r_[np.full(len(at), -1), names[ends[:, 1]]], "n": np.r_[counts[at].astype(np.int64), np.zeros(len(ends), np.int64)],
+        })
 
-def _opened(threshold: float):
-    """Links between the members of two chunks: a row per member that has any, with their number."""
+    return run
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for a, b, left, right in zip(batch["a"], batch["b"], batch["left"], batch["right"]):
-                x, y = (np.array([row["embedding"] for row in side], np.float64) for side in (left, right))
-                rows, columns = (grid.ravel() for grid in np.indices((len(x), len(y))))
-                linked = (exact_cosines(x[rows], y[columns]) >= threshold).reshape(len(x), len(y))
-                out += [(a, b, row["rid"], int(n)) for side, counts in ((left, linked.sum(1)), (right, linked.sum(0))) for row, n in zip(side, counts) if n]
-            yield pd.DataFrame(out, columns=["a", "b", "rid", "n"]).astype("int64")
 
-    return run
+def _in_blocks(heads: DataFrame, limit: float, kind: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """(heads with their ``block``, blocks with what the members have in common and their pivot).
+
+    The number of pivots follows the heads of the label. Members of a cell that lie within half the limit of its pivot link with each other and
+    get blocks of their own when they are many; a block of more than ``most`` is cut by hash, so a hot cell makes more blocks, not a larger one.
+    """
+    bound = F.greatest(F.lit(64), F.least(F.lit(most), F.floor(F.lit(NUMBERS_PER_BLOCK) / F.col("dim"))))
+    several = F.least(F.lit(FEW_BLOCKS), F.ceil(F.col("n") / min(most, SMALL_BLOCK)))
+    labels = heads.groupBy("label", "dim").agg(F.count("*").alias("n"), F.min("cls").alias("first")).withColumn("parts", F.greatest(F.ceil(F.col("n") / bound), several))
+    drawn = lambda salt: F.xxhash64("cls", F.lit(salt))
+    known = heads.join(labels, ["label", "dim"])
+    pivots = known.where((F.col("cls") == F.col("first")) | ((F.col("parts") > 1) & (F.pmod(drawn("pivot"), F.col("n")) < F.col("parts"))))
+    pivots = written(pivots.select("label", "dim", "parts", F.col("cls").alias("cell"), F.col("embedding").alias("pivot")), "vector-pivots")
+    by_part = known.select("cls", "label", "dim", "m", "embedding", F.pmod(drawn("part"), F.col("parts")).alias("part"))
+    copies = pivots.select("label", "dim", "cell", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    dealt = by_part.groupBy("label", "dim", "part").cogroup(copies.groupBy("label", "dim", "part"))
+    dealt = written(dealt.applyInPandas(_dealt, f"cls long, label int, dim int, m long, embedding {kind}, cell long, angle double"), "vector-cells")
+
+    core = F.col("angle") <= limit / 2 - EPS
+    cells = dealt.groupBy("cell").agg(F.count_if(core).alias("inner"), F.count_if(~core).alias("outer"))
+    apart = F.col("inner") >= min(most, SMALL_BLOCK) // 8
+    ring = F.when(apart & core, 0).otherwise(1)
+    within = F.when(~apart, F.col("inner") + F.col("outer")).when(core, F.col("inner")).otherwise(F.col("outer"))
+    placed = dealt.join(cells, "cell").withColumns({"ring": ring, "piece": F.pmod(drawn("piece"), F.ceil(within / bound))})
+    key = ["cell", "ring", "piece"]
+    blocks = placed.groupBy(*key).agg(
+        F.min("cls").alias("block"), F.sum("m").alias("weight"), F.min("angle").alias("low"), F.max("angle").alias("high"),
+    )
+    blocks = written(blocks.join(pivots.drop("parts"), "cell"), "vector-blocks")
+    return written(placed.join(blocks.select(*key, "block"), key).select("cls", "m", "embedding", "block"), "vector-placed"), blocks
 
 
-def link_vectors(
-    vectors: DataFrame, threshold: float = 0.93, passes: int = PASSES, window: int = WINDOW, seed: int = 11
-) -> DataFrame:
+def link_vectors(vectors: DataFrame, threshold: float = 0.93, most: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding, label).
 
     Rows link when their labels are equal and not null, their vectors have equal length and their cosine is ``threshold`` or more.
-    Every link reported is verified: between single vectors by its cosine, between classes by angles that leave no doubt, else member by
-    member in chunks of bounded size. Found are pairs that share a class or whose classes come within ``window`` places of each other in any of
-    the ``passes``; the tests state the measured recall. A null, zero or non-finite vector, one with a null component, and a
+    Every link is found, and none is made up: each pair is decided by its cosine in double precision or by bounds that leave no doubt.
+    ``most`` bounds the heads of a block and changes no result. A null, zero or non-finite vector, one with a null component, and a
     null label link with nothing. Repeated rows are separate vectors that link with each other; a component's id is its
     smallest vec_id; a null vec_id is never that, and a row without any has a null component and is kept.
     """
     kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    limit = float(np.arccos(threshold))
     fit = usable() & F.col("label").isNotNull()
     base = vectors.select(
         F.monotonically_increasing_id().alias("rid"), F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"),
         F.when(fit, F.col("embedding").cast(kind)).alias("embedding"),
     )
-    base = base.withColumn("dim", F.size("embedding")).mapInArrow(
-        _hashed(passes, seed), f"rid long, vec_id long, label int, embedding {kind}, dim int, keys array<long>"
-    )
-    base = written(base, "vectors")  # also fixes the row numbers
+    base = written(base.withColumn("dim", F.size("embedding")), "vectors")  # also fixes the row numbers
     rows = base.where("embedding IS NOT NULL")
-    bits = min(HASH_BITS, int(np.log2(max(1, rows.count()))) + 2)  # so that a prefix is rarely shared by chance
-    members = written(classes_of(rows, float(np.arccos(threshold)) / 2 - EPS, min(ROUNDS, passes), bits), "vector-classes")
-    sizes = members.groupBy("cls").agg(F.count("*").alias("m"), F.max("angle").alias("radius"), F.min("vec_id").alias("least"))
-    heads = written(sizes.join(rows.withColumnRenamed("rid", "cls").drop("vec_id"), "cls"), "vector-heads")
-
-    spread = heads.select("cls", "label", "dim", "embedding", "m", "radius", F.posexplode("keys").alias("pass", "key"))
-    order = ["pass", "label", "dim", "key", "cls"]
-    in_order = spread.repartitionByRange(*order).sortWithinPartitions(*order)
-    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    in_order = written(in_order.withColumn("part", F.spark_partition_id()).withColumn("local", local).drop("key"), "vector-order")
-    starts = in_order.groupBy("part").agg(F.count("*").alias("n"))  # one row per writing task
-    starts = starts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    placed = in_order.join(F.broadcast(starts), "part").withColumn("pos", F.col("start") + F.col("local")).drop("part", "local", "start")
-    block = (F.col("pos") / BLOCK).cast("long")
-    blocks = placed.withColumn("block", F.explode(F.when((F.col("pos") % BLOCK < window) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))))
-    pairs = blocks.groupBy("block").applyInPandas(_compared(threshold, window), "a long, b long, sure boolean")
-    pairs = written(pairs.distinct(), "vector-pairs")
-
-    size = sizes.select("cls", "m")
-    both = pairs.where("sure").select("a", "b").union(pairs.where("sure").select("b", "a"))
-    to_classes = both.join(size.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("m").alias("linked"))
-    opening = pairs.where("NOT sure").select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    chunked = (
-        members.join(size, "cls").join(opening, "cls").join(rows.select("rid", "embedding"), "rid").withColumn("chunk", F.pmod(F.xxhash64("rid"), F.ceil(F.col("m") / CHUNK)))
-        .groupBy("cls", "chunk").agg(F.collect_list(F.struct("rid", "embedding")).alias("rows"))
-    )
-    opened = (
-        pairs.where("NOT sure").join(chunked.select(F.col("cls").alias("a"), F.col("rows").alias("left")), "a")
-        .join(chunked.select(F.col("cls").alias("b"), F.col("rows").alias("right")), "b").select("a", "b", "left", "right")
-        .mapInPandas(_opened(threshold), "a long, b long, rid long, n long")
-    )
-    opened = written(opened, "vector-opened")
-    by_row = opened.groupBy("rid").agg(F.sum("n").alias("n"))
-    labels = components(pairs.where("sure").select("a", "b").union(opened.select("a", "b")), "vector-components")
-    labels = heads.select("cls", "least").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    same = ["label", "dim", "embedding"]
+    heads = written(rows.groupBy(*same).agg(F.min("rid").alias("cls"), F.count("*").alias("m"), F.min("vec_id").alias("least")), "vector-heads")
+    members = rows.join(heads.select(*same, "cls"), same).select("rid", "cls")
+
+    placed, blocks = _in_blocks(heads.drop("least"), limit, kind, most)
+    side = lambda s: blocks.select("label", "dim", *(F.col(c).alias(f"{c}_{s}") for c in ("cell", "low", "high", "pivot")), F.col("block").alias(s))
+    met = side("a").join(side("b"), ["label", "dim"]).where("a <= b")
+    tiles = written(met.mapInPandas(_judged(limit), "a long, b long, sure boolean"), "vector-tiles")
+    open_ = tiles.where("NOT sure").select("a", "b")
+    renamed = lambda df: df.select(*(F.col(c).alias(c) for c in ("a", "b", "cls", "m", "embedding")))  # noqa: E731  columns of its own for each side
+    left = renamed(placed.withColumnRenamed("block", "a").join(open_, "a"))
+    right = renamed(placed.withColumnRenamed("block", "b").join(open_.where("a < b"), "b"))
+    links = written(left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(_linked(threshold), "a long, b long, n long"), "vector-links")
+
+    sure = tiles.where("sure").select("a", "b")
+    both = sure.union(sure.where("a < b").select("b", "a"))
+    of_block = both.join(blocks.select(F.col("block").alias("b"), "weight"), "b").groupBy(F.col("a").alias("block")).agg(F.sum("weight").alias("all"), F.max(F.col("a") == F.col("b")).alias("within"))
+    # where a block's members all link with each other, its weight holds the head's own copies too
+    by_block = placed.select("cls", "m", "block").join(of_block, "block").select("cls", "block", (F.col("all") - F.when(F.col("within"), F.col("m")).otherwise(0)).alias("n"))
+    by_block = written(by_block, "vector-sure")
+    linked = links.where("b < 0").select(F.col("a").alias("cls"), "n").union(by_block.select("cls", "n")).groupBy("cls").agg(F.sum("n").alias("n"))
+    forest = links.where("b >= 0").select("a", "b").union(sure).union(by_block.select("block", "cls"))
+    labels = components(forest, "vector-components")
+    labels = heads.select("cls", "m", "least").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     ids = labels.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = (
-        labels.join(ids, "component").join(size, "cls").join(to_classes, "cls", "left")
-        .select("cls", "component_id", (F.col("m") - 1 + F.coalesce("linked", F.lit(0))).alias("of_class"))
-    )
-    found = members.select("rid", "cls").join(by_class, "cls").join(by_row, "rid", "left")
-    found = found.select("rid", "component_id", (F.col("of_class") + F.coalesce("n", F.lit(0))).alias("n_links"))
+    by_head = labels.join(ids, "component").join(linked, "cls", "left").select("cls", "component_id", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    found = members.join(by_head, "cls").select("rid", "component_id", "n_links")
     component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return base.select("rid", "vec_id").join(found, "rid", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"),

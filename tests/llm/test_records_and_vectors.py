@@ -119,6 +119,24 @@ def test_vector_links_against_brute_force(vectors):
     assert all(r.kept == (r.vec_id == r.component_id or r.component_id is None) for r in found)
 
 
+def test_vector_links_of_a_loose_hot_group(spark):
+    """3,000 members at cosine about 0.96: each links with nearly all others, far more than any window holds."""
+    rng = np.random.default_rng(9)
+    centre, spread = rng.normal(size=64), rng.normal(size=(3000, 64))
+    x = np.concatenate([centre / np.linalg.norm(centre) + spread * 0.2 / 8, rng.normal(size=(1000, 64))]).astype(np.float32)
+    x = np.concatenate([x, x[2990:3010], x[2990:3010]])
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T
+    assert 0.955 < near[:3000, :3000].mean() < 0.965 and np.abs(near - 0.93).min() > 1e-9
+    wanted = (near >= 0.93).sum(axis=1) - 1
+    table = spark.createDataFrame([(k, v, 4) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int").repartition(5)
+    for most in (embedding_dedup.BLOCK, 300):
+        found = sorted(embedding_dedup.link_vectors(table, most=most).collect())
+        assert [r.n_links for r in found] == wanted.tolist()
+        firsts = [0 if k < 3000 else k for k in range(4000)] + 2 * [*[0] * 10, *range(3000, 3010)]
+        assert [r.component_id for r in found] == firsts and [r.kept for r in found] == [k == f for k, f in enumerate(firsts)]
+
+
 def test_no_vectors(spark):
     table = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert neighbours.nearest(table, F.col("vec_id") % 50 == 0).collect() == [] and embedding_dedup.link_vectors(table).collect() == []
