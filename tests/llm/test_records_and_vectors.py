@@ -137,6 +137,27 @@ def test_vector_links_of_a_loose_hot_group(spark):
         assert [r.component_id for r in found] == firsts and [r.kept for r in found] == [k == f for k, f in enumerate(firsts)]
 
 
+def test_vector_links_of_lone_pairs_in_a_large_label(spark):
+    """2,000 pairs at cosine 0.93 to 0.94 among 20,000 rows of one label, with a tight group whose blocks are counted whole."""
+    rng = np.random.default_rng(10)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    lone, aside = unit(rng.normal(size=(14000, 64))), rng.normal(size=(2000, 64))
+    at = rng.uniform(0.9301, 0.94, size=(2000, 1))
+    first = lone[:2000]
+    pairs = at * first + np.sqrt(1 - at * at) * unit(aside - (aside * first).sum(axis=1, keepdims=True) * first)
+    tight = unit(unit(rng.normal(size=(1, 64))) + rng.normal(size=(4000, 64)) * 0.1 / 8)
+    x = np.concatenate([lone, pairs, tight]).astype(np.float32)
+    exact = unit(x.astype(float))
+    wanted = np.concatenate([(exact[k : k + 2000] @ exact.T >= 0.93).sum(axis=1) - 1 for k in range(0, len(x), 2000)])
+    assert wanted[:2000].sum() >= 2000 and wanted[-4000:].min() == 3999
+    table = spark.createDataFrame([(k, v, 4) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int").repartition(5)
+    placed, blocks = embedding_dedup._in_blocks(table.selectExpr("vec_id cls", "1L m", "label", "64 dim", "embedding"), float(np.arccos(0.93)), "array<float>", 1000)
+    assert placed.count() == 20000 and blocks.where("high < 0.188 AND weight > 50").count() > 0  # some are counted whole
+    found = sorted(embedding_dedup.link_vectors(table, most=1000).collect())
+    assert [r.n_links for r in found] == wanted.tolist()
+    assert [r.component_id for r in found[14000:16000]] == list(range(2000)) and {r.component_id for r in found[16000:]} == {16000}
+
+
 def test_no_vectors(spark):
     table = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert neighbours.nearest(table, F.col("vec_id") % 50 == 0).collect() == [] and embedding_dedup.link_vectors(table).collect() == []
