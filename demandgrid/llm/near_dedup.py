@@ -11,6 +11,7 @@ a bucket's largest component meet those of other components, so a large group of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,11 +22,11 @@ from pyspark.sql import functions as F
 from demandgrid.llm.shared import WordHashes, binary_texts, checked_broadcast, components, mixed, run_hashes, slices, written
 
 WORDS = 5
-BANDS = 32
 ROWS = 6
+MOST_MISSED = 3e-7  # of the pairs exactly at the threshold, by the bands
 PLACES = 512
 KEPT_BITS = 4
-# A pair at the threshold is estimated with a deviation of about 0.017 over all places; this is five of them.
+# A pair at a threshold of 0.85 is estimated with a deviation of about 0.017 over all places; this is five of them.
 SLACK = 0.085
 SHINGLE_SEED = 5
 
@@ -38,10 +39,27 @@ def shingle_set(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
     return np.unique(run_hashes(hashes, length, SHINGLE_SEED * 1000 + length))
 
 
+def bands_for(percent: int) -> int:
+    """The bands that miss a pair at the threshold with probability ``MOST_MISSED`` or less: 32 at 85, 50 at 80."""
+    return math.ceil(math.log(MOST_MISSED) / math.log1p(-((min(percent, 99) / 100) ** ROWS)))
+
+
+def slack_for(percent: int) -> float:
+    """As many deviations of the estimate at the threshold as ``SLACK`` is at 0.85."""
+
+    def deviation(similarity: float) -> float:
+        equal = similarity + (1 - similarity) * 2.0**-KEPT_BITS
+        return math.sqrt(equal * (1 - equal))
+
+    return SLACK * max(1.0, deviation(percent / 100) / deviation(0.85))
+
+
 class MinHasher:
     """Minima of many permutations: multiply-add hashes of the upper 32 bits of a shingle's hash."""
 
-    def __init__(self, places: int = PLACES, seed: int = 1):
+    def __init__(self, places: int = PLACES, seed: int = 1, percent: int = 85):
+        self.bands = bands_for(percent)
+        places = max(places, self.bands * ROWS)
         rng = np.random.default_rng(seed)
         self.factors = (rng.integers(0, 1 << 31, places, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
         self.offsets = rng.integers(0, 1 << 32, places, dtype=np.uint32)
@@ -57,11 +75,10 @@ class MinHasher:
             np.minimum(least, space.min(axis=0), out=least)
         return least
 
-    @staticmethod
-    def band_keys(minima: np.ndarray) -> np.ndarray:
+    def band_keys(self, minima: np.ndarray) -> np.ndarray:
         """One key per band, of the full minima."""
-        rows = minima[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS)
-        key = np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(40)
+        rows = minima[: self.bands * ROWS].astype(np.uint64).reshape(self.bands, ROWS)
+        key = np.arange(1, self.bands + 1, dtype=np.uint64) << np.uint64(40)
         for place in range(ROWS):
             key = mixed(key ^ rows[:, place])
         return key.view(np.int64)
@@ -69,7 +86,7 @@ class MinHasher:
     @staticmethod
     def packed(minima: np.ndarray) -> np.ndarray:
         """The low bits of all minima, sixteen places to a 64-bit number. The minima are mixed first, as their own low bits depend on few bits."""
-        low = (mixed(minima.astype(np.uint64)) & np.uint64((1 << KEPT_BITS) - 1)).reshape(-1, 64 // KEPT_BITS)
+        low = (mixed(minima[:PLACES].astype(np.uint64)) & np.uint64((1 << KEPT_BITS) - 1)).reshape(-1, 64 // KEPT_BITS)
         return np.bitwise_or.reduce(low << np.arange(0, 64, KEPT_BITS, dtype=np.uint64), axis=1).view(np.int64)
 
 
@@ -154,8 +171,8 @@ def link_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     Texts with ASCII letters in lower case are cut into words at ASCII white space. A document's set holds its distinct shingles of five
     words (fewer words: the whole sequence), and two documents link when 100 * intersection >= ``percent`` * union, counted on
-    64-bit hashes of the shingles. component_id is the smallest doc_id reachable. 32 bands of six minima miss a pair of exactly 85 in
-    100 with probability 3e-7, a more similar one less often.
+    64-bit hashes of the shingles. component_id is the smallest doc_id reachable. The bands of six minima are so
+    many (32 at 85, 50 at 80) that a pair exactly at the threshold is missed with probability 3e-7 at most, a more similar one less often.
 
     Null and empty texts and texts of white space have size 0 and link with nothing. Rows that repeat an id are one node with the
     links of all its texts, and have a row each. A row with a null id links with nothing, has a null component and is kept.
@@ -163,7 +180,7 @@ def link_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(
-        whole.mapInArrow(_signed(MinHasher()), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, packed array<long>"), "near-signed"
+        whole.mapInArrow(_signed(MinHasher(percent=percent)), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, packed array<long>"), "near-signed"
     )
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
@@ -180,7 +197,7 @@ def link_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
     met = written(met.select("key", "rep").join(leaders.select("key", (-F.col("leader.col2")).alias("first")), "key"), "near-led")
 
     stars = met.where("rep <> first").select(F.least("first", "rep").alias("a"), F.greatest("first", "rep").alias("b")).distinct()
-    least = percent / 100 - SLACK
+    least = percent / 100 - slack_for(percent)
     left, right = (signed_heads.select(F.col("rep").alias(c), F.col("packed").alias(f"packed_{c}")) for c in "ab")
     near = stars.join(left, "a").join(right, "b").where(estimated(F.col("packed_a"), F.col("packed_b")) >= least)
     links = _links(near.select("a", "b").distinct(), whole, percent, "near-stars")

@@ -1,6 +1,7 @@
 """Operators on texts against plain versions, on small tables with nulls, ties, repeats and clashing column names."""
 
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -135,6 +136,19 @@ def test_one_document_of_each_group_stays(docs, rows):
     assert sorted(ids) == sorted({i for i, *_ in rows if i is not None and group.get(i, i) == i})
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_bands_follow_the_threshold(percent):
+    hasher = near_dedup.MinHasher(percent=percent)
+    keys = hasher.band_keys(hasher.minima(np.arange(1, 1 << 40, 1 << 32, dtype=np.uint64)))
+    assert len(set(keys.tolist())) == len(keys) == (32 if percent == 85 else 50)
+    assert (1 - (percent / 100) ** near_dedup.ROWS) ** len(keys) <= 3e-7
+    # the estimate's lower cut: the chance that a pair at the threshold has too few equal places of 512
+    equal = percent / 100 + (1 - percent / 100) / 16
+    least = 512 * (1 - (1 - percent / 100 + near_dedup.slack_for(percent)) * 15 / 16)
+    lost = sum(math.exp(math.lgamma(513) - math.lgamma(k + 1) - math.lgamma(513 - k) + k * math.log(equal) + (512 - k) * math.log(1 - equal)) for k in range(math.ceil(least)))
+    assert lost < 2e-6
+
+
 def test_estimate_is_close(spark):
     hasher, rng = near_dedup.MinHasher(), np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 2000, dtype=np.uint64)
