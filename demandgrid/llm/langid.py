@@ -86,19 +86,22 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, training: Column, most_docs: int = 20_000, smoothing: float = 0.1) -> LanguageModel:
     """Learns from the rows of ``docs`` (doc_id, text, lang) for which ``training`` holds and lang is known.
 
-    A hash of the id thins them to about ``most_docs`` (the documented bound of the sample). The matrix has one row per
-    language and 2^15 buckets; the number of languages is checked before anything is collected or broadcast.
+    A hash of the id thins them to about ``most_docs``, and to no less than an even share of those for each language, so that a rare
+    one keeps all its rows; that is at most twice ``most_docs`` (the documented bound of the sample). Priors are the counts of all rows. The matrix
+    has one row per language and 2^15 buckets; the number of languages is checked before anything is broadcast.
     No training rows: a model without languages.
     """
     labelled = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    total = labelled.select("lang").groupBy("lang").agg(F.count("*").alias("n"))
-    rows, languages = total.agg(F.sum("n"), F.count("*")).first()
-    if not rows:
+    most_languages = MOST_MATRIX_BYTES // (4 << BITS)
+    total = {lang: n for lang, n in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
+    if not total:
         return LanguageModel([], np.empty(0), np.empty((1 << BITS, 0), np.float32))
-    if languages * 4 << BITS > MOST_MATRIX_BYTES:
-        raise ValueError(f"{languages} languages exceed the bound of the broadcast matrix")
-    share = min(1.0, most_docs / rows)
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 20)) < share * (1 << 20))
+    if len(total) > most_languages:
+        raise ValueError(f"more than {most_languages} languages exceed the bound of the broadcast matrix")
+    rows = sum(total.values())
+    shares = [(lang, max(most_docs / rows, most_docs / len(total) / n)) for lang, n in total.items()]
+    shared = labelled.join(F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share double")), "lang")
+    sample = shared.where(F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     counted = sample.select("text", "lang").mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = counted.toArrow()
     names = sorted(set(found.column("lang").to_pylist()))
@@ -106,7 +109,7 @@ def train(docs: DataFrame, training: Column, most_docs: int = 20_000, smoothing:
     at, bucket, n = np.array([place[x] for x in found.column("lang").to_pylist()], int), found.column("bucket").to_numpy(), found.column("n").to_numpy()
     counts, priors = np.full((1 << BITS, len(names)), smoothing), np.zeros(len(names))
     counts[bucket[bucket >= 0], at[bucket >= 0]] += n[bucket >= 0]
-    priors[at[bucket < 0]] = np.log(n[bucket < 0])
+    priors[:] = np.log([total[name] for name in names])
     return LanguageModel(names, priors, np.log(counts / counts.sum(axis=0)).astype(np.float32))
 
 

@@ -240,6 +240,13 @@ def test_language_model(spark, docs, empty):
     assert {r.lang_pred for r in langid.identify(docs, none).collect()} == {"und"} and langid.identify(empty, none).collect() == []
 
 
+def test_rare_language_is_learned_from_a_thinned_sample(spark):
+    table = spark.range(4000).selectExpr("id doc_id", "IF(id % 800 = 7, 'que los para una', 'the and of that') text", "IF(id % 800 = 7, 'es', 'en') lang")
+    model = langid.train(table, F.lit(True), most_docs=20)
+    assert model.languages == ["en", "es"] and np.allclose(np.exp(model.priors), [3995, 5])
+    assert model.score(["para los", "the that"])[0] == ["es", "en"]
+
+
 def test_language_accuracy_on_held_out_rows(spark, folder):
     from demandgrid.llm.queries import QUERIES
 
