@@ -10,6 +10,7 @@ from demandgrid.llm.near_dedup import OP4_SQL, op4_near_dedup
 from demandgrid.llm.neighbours import OP7_SQL, op7_nearest
 from demandgrid.llm.pii import op9_pii
 from demandgrid.llm.quality import op6_quality
+from demandgrid.llm.resampling import OP12_SQL, op12_importance_resampling
 from demandgrid.llm.substring_dedup import OP3_SQL, op3_substring_dedup
 from demandgrid.llm.warc import OP1_SQL, op1_warc
 
@@ -24,5 +25,13 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
+    "op12_importance_resampling": op12_importance_resampling,
+}
+ORACLES = {
+    "op1_warc": OP1_SQL,
+    "op3_substring_dedup": OP3_SQL,
+    "op4_near_dedup": OP4_SQL,
+    "op7_nearest": OP7_SQL,
+    "op10_mixing": OP10_SQL,
+    "op12_importance_resampling": OP12_SQL,
 }
-ORACLES = {"op1_warc": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op4_near_dedup": OP4_SQL, "op7_nearest": OP7_SQL, "op10_mixing": OP10_SQL}
