@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandgrid.llm.shared import WordHashes, binary_texts, checked_broadcast, components, mixed, run_hashes, slices, written
+from demandgrid.llm.shared import ROW_BYTES, WordHasher, binary_texts, checked_broadcast, components, mixed, run_hashes, slices, written
 
 WORDS = 5
 ROWS = 6
@@ -39,6 +39,14 @@ def shingle_set(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
     return np.unique(run_hashes(hashes, length, SHINGLE_SEED * 1000 + length))
 
 
+def shingle_sets(words: WordHasher, texts: list[bytes]) -> Iterator[np.ndarray]:
+    """The set of each text."""
+    hashes, sizes = words.of(texts)
+    ends = np.cumsum(sizes)
+    for end, size in zip(ends.tolist(), sizes.tolist()):
+        yield shingle_set(hashes[end - size : end])
+
+
 def bands_for(percent: int) -> int:
     """The bands that miss a pair at the threshold with probability ``MOST_MISSED`` or less: 32 at 85, 50 at 80."""
     return math.ceil(math.log(MOST_MISSED) / math.log1p(-((min(percent, 99) / 100) ** ROWS)))
@@ -112,11 +120,10 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
 
 def _signed(hasher: MinHasher):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        words = WordHasher(lower=True)
         for batch in slices(batches, "text"):
             sizes, set_a, set_b, bands, packed = [], [], [], [], []
-            for text in binary_texts(batch.column("text")):
-                shingles = shingle_set(hashes.of(text.lower().split()))
+            for shingles in shingle_sets(words, binary_texts(batch.column("text"))):
                 sizes.append(len(shingles))
                 a, b = _digest(shingles) if len(shingles) else (None, None)
                 minima = hasher.minima(shingles) if len(shingles) else None
@@ -131,9 +138,9 @@ def _signed(hasher: MinHasher):
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
+    words = WordHasher(lower=True)
     for batch in slices(batches, "text"):
-        found = [shingle_set(hashes.of(text.lower().split())).view(np.int64) for text in binary_texts(batch.column("text"))]
+        found = [shingles.view(np.int64) for shingles in shingle_sets(words, binary_texts(batch.column("text")))]
         yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(found, pa.list_(pa.int64()))], ["rep", "shingles"])
 
 
@@ -156,7 +163,7 @@ def _links(likely: DataFrame, docs: DataFrame, percent: int, label: str) -> Data
     """The (a, b) of ``likely`` pairs of representatives that link by their full sets."""
     likely = written(likely, f"{label}-likely")
     wanted = written(likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), f"{label}-wanted")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(checked_broadcast(wanted, wanted.count()), "rep")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(checked_broadcast(wanted, ROW_BYTES * wanted.count()), "rep")
     sets = written(texts.mapInArrow(_sets, "rep long, shingles array<long>"), f"{label}-sets")
     full = (
         likely.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left")), "a")
@@ -235,14 +242,14 @@ def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
     gone = linked.where("NOT kept").select("doc_id").distinct()
     again = linked.where("kept AND n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     n_gone, n_again = gone.count(), again.count()
-    left = docs.join(checked_broadcast(gone, n_gone), "doc_id", "left_anti").select(docs.columns)
+    left = docs.join(checked_broadcast(gone, ROW_BYTES * n_gone), "doc_id", "left_anti").select(docs.columns)
     if not n_again:
         return left
     again = written(again, "near-again")
-    once = left.join(checked_broadcast(again, n_again), "doc_id", "left_semi")
+    once = left.join(checked_broadcast(again, ROW_BYTES * n_again), "doc_id", "left_semi")
     others = F.min(F.struct(*(F.col(f"`{c}`") for c in sorted(docs.columns, key=lambda c: c != "text") if c != "doc_id"))).alias("row")
     once = once.groupBy("doc_id").agg(others).select("doc_id", "row.*").select(docs.columns)
-    return left.join(checked_broadcast(again, n_again), "doc_id", "left_anti").select(docs.columns).union(once)
+    return left.join(checked_broadcast(again, ROW_BYTES * n_again), "doc_id", "left_anti").select(docs.columns).union(once)
 
 
 OP4_SQL = """

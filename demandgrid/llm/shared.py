@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 # Words are maximal runs of bytes other than the six ASCII white-space bytes; bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
+ROW_BYTES = 32  # of a broadcast row with an id and a number, about
 
 
 def work_folder(spark: SparkSession, label: str) -> str:
@@ -34,9 +35,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
-    """A broadcast hint for a narrow table whose counted ``rows`` stay below ``most``; else Spark shuffles it."""
-    return F.broadcast(df) if rows <= most else df
+def checked_broadcast(df: DataFrame, octets: int, most: int = 32 << 20) -> DataFrame:
+    """A broadcast hint for a table whose counted bytes stay within ``most``; else Spark joins it by shuffle."""
+    return F.broadcast(df) if octets <= most else df
 
 
 def shipped(spark: SparkSession, model: object) -> Callable[[], object]:
@@ -82,6 +83,62 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class WordHasher:
+    """64-bit hashes of all words of a list of texts, straight from their bytes: no word becomes an object and none is remembered.
+
+    A word's hash is a polynomial of random values of its bytes modulo 2**64, mixed with its length. The bytes of a stretch of text are
+    multiplied by rising powers of an odd number, summed up word by word, and each sum divided by the power at which its word starts.
+    """
+
+    STRETCH = 1 << 18  # bytes; a stretch goes on to the end of its last word
+
+    def __init__(self, lower: bool = False, seed: int = 11):
+        rng = np.random.default_rng(seed)
+        self.values = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 256, dtype=np.uint64)
+        self.space = np.isin(np.arange(256), [*range(9, 14), 32])
+        self.values[self.space] = 0
+        if lower:
+            self.values[ord("A") : ord("Z") + 1] = self.values[ord("a") : ord("z") + 1]
+        self.factor = int(rng.integers(1 << 60, 1 << 63, dtype=np.uint64)) * 8 + 5 & (1 << 64) - 1
+        self.inverse = pow(self.factor, -1, 1 << 64)
+        self.rising, self.falling = np.empty(0, np.uint64), np.empty(0, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.rising) < n:
+            self.rising, self.falling = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, f, np.uint64)])) for f in (self.factor, self.inverse))
+
+    def _stretch(self, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where words start, their hashes) in some bytes that begin and end between words."""
+        space = self.space[letters]
+        starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+        if not len(starts):
+            return starts, np.empty(0, np.uint64)
+        ends = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
+        self._powers(len(letters))
+        sums = np.add.reduceat(self.values[letters] * self.rising[: len(letters)], starts)
+        return starts, mixed(sums * self.falling[starts] + (ends - starts).astype(np.uint64))
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of all words in order, number of words of each text)."""
+        text = b" ".join(texts)
+        letters = np.frombuffer(text, np.uint8)
+        starts, hashes, begin = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
+        while begin < len(letters):
+            end = min(begin + self.STRETCH, len(letters))
+            while end < len(letters):  # on to the next white space
+                gap = np.flatnonzero(self.space[letters[end : end + 4096]])
+                if len(gap):
+                    end += int(gap[0])
+                    break
+                end = min(end + 4096, len(letters))
+            at, found = self._stretch(letters[begin:end])
+            starts.append(at + begin)
+            hashes.append(found)
+            begin = end
+        edges = np.cumsum([0, *(len(one) + 1 for one in texts)])
+        return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), edges))
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """Spreads 64-bit values over all bits (the finaliser of splitmix64, fixed constants)."""
     values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

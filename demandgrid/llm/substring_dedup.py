@@ -14,6 +14,7 @@ the window's first document. Verdicts are joined back to the occurrences, where
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandgrid.llm.shared import WordHashes, binary_texts, checked_broadcast, mixed, run_hashes, slices, written
+from demandgrid.llm.shared import ROW_BYTES, WordHasher, binary_texts, checked_broadcast, mixed, run_hashes, slices, written
 
 ANCHOR_WORDS = 5
 WORD_BYTES = 6  # of a word's hash, in a stretch; two stretches are only compared if their anchors' 64 bits agree
@@ -31,34 +32,32 @@ BYTES_PER_BUCKET = 48 << 20  # of text, whose anchors one task sorts in the firs
 STRETCHES_PER_SHARD = 100_000  # before copies are dropped; less than two million words in an index
 FREQUENT = STRETCHES_PER_SHARD // 2  # stretches of one anchor; from here on its windows are spread one by one
 BYTES_PER_STRETCH = 30  # of text, about
-MOST_BROADCAST = 300_000  # documents whose few hundred bytes of findings may be broadcast; beyond, texts are joined by shuffle
 
 
 class Stretches:
     """The stretches of some documents: word hashes laid end to end, and where each stretch starts and how many windows it has."""
 
-    def __init__(self, texts: list[bytes], hashes: WordHashes, window: int):
-        words = [hashes.of(text.split()) for text in texts]
-        self.words = np.concatenate(words) if words else np.empty(0, np.uint64)
-        self.doc_starts = np.cumsum([0, *map(len, words)])
+    def __init__(self, texts: list[bytes], hasher: WordHasher, window: int):
+        self.words, sizes = hasher.of(texts)
+        self.doc_starts = np.concatenate([[0], np.cumsum(sizes)])
         n = max(0, len(self.words) - window + 1)
-        owner = np.repeat(np.arange(len(words)), list(map(len, words)))
+        owner = np.repeat(np.arange(len(texts)), sizes)
         grams = run_hashes(self.words, ANCHOR_WORDS, 3)
-        least, place = grams[:n].copy(), np.arange(n)
-        for shift in range(1, window - ANCHOR_WORDS + 1):
-            here = grams[shift : shift + n]
-            less = here < least
-            least[less] = here[less]
-            place[less] = np.flatnonzero(less) + shift
+        span, least = 1, grams
+        while span < window - ANCHOR_WORDS + 1:  # least of ever more runs in a row
+            step = min(span, window - ANCHOR_WORDS + 1 - span)
+            least, span = np.minimum(least[:-step], least[step:]) if len(least) > step else least[:0], span + step
         inside = np.flatnonzero(owner[:n] == owner[window - 1 :]) if n else np.empty(0, int)
         first = np.ones(len(inside), bool)
-        first[1:] = (inside[1:] != inside[:-1] + 1) | (place[inside[1:]] != place[inside[:-1]])
+        # the next window has the same anchor unless its least run is another one or the anchor was the window's first run
+        left = inside[:-1]
+        first[1:] = (inside[1:] != left + 1) | (least[inside[1:]] != least[left]) | (grams[left] == least[left])
         at = np.flatnonzero(first)
         self.starts = inside[at]
         self.windows = np.diff(np.r_[at, len(inside)])
         self.anchors = least[self.starts]
         self.docs = owner[self.starts]
-        firsts = np.searchsorted(self.docs, np.arange(len(words)))
+        firsts = np.searchsorted(self.docs, np.arange(len(texts)))
         self.ordinals = np.arange(len(at)) - firsts[self.docs]
 
 
@@ -73,11 +72,11 @@ def _packed_anchors(buckets: int, window: int):
     documents of the piece is sent once, as known to repeat, with the number of its stretches; these are passed on to one bucket without it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hasher = WordHasher()
         for turn, batch in enumerate(slices(batches, "text", 6 << 20)):
             piece = (TaskContext.get().partitionId() << 24) + turn
             ids, keys = (batch.column(c).to_numpy() for c in ("doc_id", "key"))
-            s = Stretches(binary_texts(batch.column("text")), hashes, window)
+            s = Stretches(binary_texts(batch.column("text")), hasher, window)
             order = np.lexsort((ids[s.docs], s.anchors))
             anchors, owners = s.anchors[order], ids[s.docs][order]
             edges = np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1]]) if len(order) else np.empty(0, int)
@@ -159,16 +158,34 @@ def _repeated(frequent: int):
     return run
 
 
+def packed_numbers(numbers: np.ndarray) -> bytes:
+    """Ascending numbers as differences in as few bytes each as the largest needs, after that width and their count."""
+    steps = np.diff(numbers, prepend=0)
+    width = next(w for w in (1, 2, 4) if not len(steps) or int(steps.max()) < 1 << 8 * w)
+    return struct.pack("<BI", width, len(steps)) + steps.astype(f"<u{width}").tobytes()
+
+
+def unpacked_numbers(content: bytes) -> np.ndarray:
+    """The numbers of one or more packed lists, one list after another."""
+    found, at = [np.empty(0, np.int64)], 0
+    while at < len(content):
+        width, n = struct.unpack_from("<BI", content, at)
+        found.append(np.cumsum(np.frombuffer(content, f"<u{width}", n, at + 5), dtype=np.int64))
+        at += 5 + n * width
+    return np.concatenate(found)
+
+
 def _by_document(parts: pd.DataFrame) -> pd.DataFrame:
-    """(key, ordinals) from a piece's parts; what has no piece keeps a null key."""
+    """(key, stretches, ordinals) from a piece's parts; what has no piece keeps a null key."""
     if parts["piece"].isna().any():
-        return pd.DataFrame({"key": pd.Series([None], dtype="Int64"), "ordinals": [b"".join(parts["ordinals"])]})
+        return pd.DataFrame({"key": pd.Series([None], dtype="Int64"), "stretches": [0], "ordinals": [b"".join(parts["ordinals"])]})
     keys, sizes = (np.concatenate([np.frombuffer(x, np.int64) for x in parts[c]]) for c in ("keys", "sizes"))
     owner = np.repeat(keys, sizes)
-    order = np.argsort(owner, kind="stable")
-    ordinals = np.frombuffer(b"".join(parts["ordinals"]), "<i4")[order]
+    ordinals = np.frombuffer(b"".join(parts["ordinals"]), "<i4")
+    order = np.lexsort((ordinals, owner))
     found, starts = np.unique(owner[order], return_index=True)
-    return pd.DataFrame({"key": pd.Series(found, dtype="Int64"), "ordinals": [x.tobytes() for x in np.split(ordinals, starts[1:])]})
+    lists = np.split(ordinals[order], starts[1:])
+    return pd.DataFrame({"key": pd.Series(found, dtype="Int64"), "stretches": list(map(len, lists)), "ordinals": list(map(packed_numbers, lists))})
 
 
 def _contents(window: int, shards: int, frequent: np.ndarray, words: bool):
@@ -176,12 +193,12 @@ def _contents(window: int, shards: int, frequent: np.ndarray, words: bool):
     (shard, content, words, first); else all occurrences (shard, content, doc_id, key, start)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hasher = WordHasher()
         for batch in slices(batches, "text", 6 << 20):
             ids, keys = (batch.column(c).to_numpy() for c in ("doc_id", "key"))
-            s = Stretches(binary_texts(batch.column("text")), hashes, window)
+            s = Stretches(binary_texts(batch.column("text")), hasher, window)
             firsts = np.searchsorted(s.docs, np.arange(len(ids)))
-            at = np.unique(np.concatenate([firsts[d] + np.frombuffer(o, "<i4") for d, o in enumerate(batch.column("ordinals").to_pylist())]))
+            at = np.unique(np.concatenate([firsts[d] + unpacked_numbers(o) for d, o in enumerate(batch.column("ordinals").to_pylist())]))
             begins, windows, docs, anchors = s.starts[at], s.windows[at], s.docs[at], s.anchors[at]
             cut = np.isin(anchors, frequent)
             times = np.where(cut, windows, 1)
@@ -361,16 +378,17 @@ def repeated_ranges(docs: DataFrame, window: int = 13, frequent: int = FREQUENT)
     packs = known.mapInArrow(_packed_anchors(buckets, window), PACKS)
     frequent = max(frequent, size // BYTES_PER_STRETCH // 1_000_000)
     hits = packs.groupBy("bucket").applyInPandas(_repeated(frequent), "piece long, keys binary, sizes binary, ordinals binary")
-    hits = hits.groupBy("piece").applyInPandas(_by_document, "key long, ordinals binary")
-    hits = hits.groupBy("key").agg(F.collect_list("ordinals").alias("lists"))
+    hits = hits.groupBy("piece").applyInPandas(_by_document, "key long, stretches long, ordinals binary")
+    hits = hits.groupBy("key").agg(F.sum("stretches").alias("stretches"), F.collect_list("ordinals").alias("lists"))
     together = F.aggregate("lists", F.lit(b""), lambda a, b: F.concat(a, b))
-    hits = written(hits.select("key", together.alias("ordinals")), "passages-hits")
-    found, octets = hits.where("key IS NOT NULL").agg(F.count("*"), F.sum(F.octet_length("ordinals"))).first()
+    hits = written(hits.select("key", "stretches", together.alias("ordinals")), "passages-hits")
+    listing = F.col("key").isNotNull()
+    found, octets, stretches = hits.where(listing).agg(F.count("*"), F.sum(F.octet_length("ordinals")), F.sum("stretches")).first()
     listed = hits.where("key IS NULL").first()
     heavy = np.frombuffer(listed["ordinals"] if listed else b"", "<u8").reshape(-1, 2)
     heavy, more = np.sort(heavy[:, 0]), int(heavy[:, 1].sum()) * (window - ANCHOR_WORDS)
-    shards = max(1, -(-((octets or 0) // 4 + more) // STRETCHES_PER_SHARD))
-    of_docs = known.join(checked_broadcast(hits.where("key IS NOT NULL"), found, MOST_BROADCAST), "key").select("doc_id", "text", "key", "ordinals")
+    shards = max(1, -(-((stretches or 0) + more) // STRETCHES_PER_SHARD))
+    of_docs = known.join(checked_broadcast(hits.where("key IS NOT NULL"), (octets or 0) + ROW_BYTES * found), "key").select("doc_id", "text", "key", "ordinals")
     contents = of_docs.mapInArrow(_contents(window, shards, heavy, True), "shard int, content long, words binary, first long")
     distinct = contents.groupBy("shard", "content").agg(F.first("words").alias("words"), F.min("first").alias("first"))
     firsts = distinct.groupBy("shard").applyInPandas(_judged(window), "shard int, content long, firsts array<long>")
@@ -393,7 +411,8 @@ def without_repeats(docs: DataFrame, window: int = 13, digest: bool = False, fre
     """
     keyed = _keyed(docs)
     ranges = repeated_ranges(keyed, window, frequent)
-    joined = keyed.join(checked_broadcast(ranges, ranges.count(), MOST_BROADCAST), "key", "left").select("doc_id", "text", "ranges")
+    found, octets = ranges.agg(F.count("*"), F.sum(F.octet_length("ranges"))).first()
+    joined = keyed.join(checked_broadcast(ranges, (octets or 0) + ROW_BYTES * found), "key", "left").select("doc_id", "text", "ranges")
     kind = "kept_sha256 string" if digest else "kept string"
     return joined.mapInArrow(_kept_digest if digest else _kept, f"doc_id long, n_words long, n_removed long, {kind}")
 
