@@ -30,7 +30,7 @@ SPLIT = (
 )
 OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) != " "]
 NO_RANK = np.int32(2**31 - 1)
-MOST_WORDS = 400_000
+MOST_WORDS = 100_000  # pieces remembered between slices, about 20 MB
 
 
 class PairMerges:
@@ -153,7 +153,7 @@ class Pieces(dict):
 
 
 class TextEncoder:
-    """Turns texts into ids; remembers the ids of some hundred thousand pieces between calls."""
+    """Turns texts into ids; remembers the ids of up to ``MOST_WORDS`` pieces between calls."""
 
     def __init__(self, content: bytes):
         self.merges = PairMerges(content)
@@ -226,7 +226,7 @@ class TextEncoder:
 
 def encoded(
     docs: DataFrame, vocabulary: str = VOCABULARY, ids: bool = True, decoded: bool = False, digests: bool = False,
-    most_bytes: int = 20 << 20,
+    most_bytes: int = 4 << 20,
 ) -> DataFrame:
     """(doc_id, n_tokens, and on request ids, decoded, ids_sha256, decoded_sha256) for every row of ``docs``.
 
@@ -234,7 +234,7 @@ def encoded(
     bytes (the file is the size bound). Its special strings become their own ids. ``ids_sha256`` is over the ids as little-endian
     unsigned 32-bit integers, ``decoded_sha256`` over the decoded text in UTF-8. A null text is an empty one, with no
     tokens. A null or repeated doc_id is carried along; other columns are not read. Texts are never cut; a task holds
-    about ``most_bytes`` of text and the ids of some hundred thousand distinct words at a time.
+    about ``most_bytes`` of text with its distinct words at a time, and the ids of 100,000 more.
     """
     with open(vocabulary, "rb") as file:
         content = docs.sparkSession.sparkContext.broadcast(file.read())
