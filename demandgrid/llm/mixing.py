@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandgrid.llm.shared import WORD, checked_broadcast, written
+from demandgrid.llm.shared import ROW_BYTES, WORD, checked_broadcast, written
 
 
 def word_count(text: str = "text") -> Column:
@@ -54,7 +54,7 @@ def mix(
     on two levels: over hash buckets of about ``per_bucket`` documents each, then within a bucket, so a source with
     a third of all rows is spread like any other. Other columns of ``docs``, whatever their names, are not read.
 
-    Null texts and empty texts have size 0 and are taken as often as their source's whole epochs, with 0 words.
+    Null texts and empty texts have size 0 and are taken as often as their source's whole epochs, with 0 words, never once more.
     A null source is a source of its own, a null doc_id hashes as the word null. Repeated rows are separate documents;
     which of several identical rows gets the extra copy cannot be told apart. An empty table gives no rows.
     """
@@ -86,7 +86,7 @@ def mix(
     start = F.col("start") + F.coalesce(F.sum("size").over(in_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return (
         placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-        .withColumn("copies", F.col("whole") + F.when(start + F.col("size") / 2 <= F.col("missing"), 1).otherwise(0))
+        .withColumn("copies", F.col("whole") + F.when((F.col("size") > 0) & (start + F.col("size") / 2 <= F.col("missing")), 1).otherwise(0))
         .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
     )
 
@@ -100,7 +100,7 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
     node = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("source", "text"))
     mixed = mix(docs.select(node.alias("doc_id"), "source", "text"), **options)
     copies = written(mixed.groupBy("doc_id").agg(F.round(F.avg("copies")).cast("int").alias("copies")), "mix-copies")
-    taken = docs.withColumn(own, node).join(checked_broadcast(copies.toDF(own, number), copies.count()), own).where(F.col(number) > 0)
+    taken = docs.withColumn(own, node).join(checked_broadcast(copies.toDF(own, number), ROW_BYTES * copies.count()), own).where(F.col(number) > 0)
     return taken.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(number)))).select(docs.columns)
 
 

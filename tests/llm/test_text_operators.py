@@ -298,6 +298,14 @@ def test_mix_reaches_its_targets(spark, docs, rows, empty):
     assert mixing.repeated(docs).columns == docs.columns
 
 
+def test_empty_documents_of_a_capped_source_stay_within_its_epochs(spark):
+    rows = [(k, "small", "" if k % 30 == 0 else None if k % 30 == 1 else "w w w") for k in range(60)] + [(k, "large", "w " * 500) for k in range(60, 160)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = {r.doc_id: r for r in mixing.mix(table, weights=(1, 5)).collect()}
+    assert max(r.copies for r in found.values()) <= 3 and {found[k].copies for k in range(60)} == {3}
+    assert mixing.repeated(table, weights=(1, 5)).groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
+
+
 def test_mix_of_a_hot_source(spark):
     table = spark.range(6000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('s', id % 40) END AS source", "repeat('w ', CAST(id % 17 AS INT)) AS text")
     found = mixing.mix(table, per_bucket=50).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
