@@ -14,16 +14,14 @@ with weight m / (c(h) + m). Words alone have P(w) = (c + 0.1) / (N + 0.1 (V + 1)
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandgrid.llm.shared import binary_texts, doc_remainder, mixed, slices, written
+from demandgrid.llm.shared import WordHasher, binary_texts, doc_remainder, mixed, slices, written
 
 ORDER = 2
 PRIOR_WORDS = 200.0  # m: how many words of a context weigh as much as the shorter context
@@ -31,7 +29,7 @@ ADDED = 0.1
 KEYS_PER_SHARD = 1_000_000
 SPAN = 256  # tokens that one lane of the traversal walks
 END, START = 0, 1  # local numbers of the end token and of the mark before the first word, which is never scored
-END_HASH, START_HASH = xxhash.xxh3_64_intdigest(b""), xxhash.xxh3_64_intdigest(b" ")  # no word is empty or a space
+MARKS = mixed(np.array([2, 3], np.uint64))  # hashes of the two
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -40,19 +38,18 @@ def _packed(values: np.ndarray) -> bytes:
 
 def _laid_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per block: its documents, the hashes of its distinct words, and all tokens as numbers of these."""
+    hasher = WordHasher(lower=True)
     for number, batch in enumerate(slices(batches, "text")):
-        split = [text.lower().split() for text in binary_texts(batch.column("text"))]
-        words = dict.fromkeys(chain.from_iterable(split))
-        for place, word in enumerate(words, START + 1):
-            words[word] = place
-        hashes = np.array([END_HASH, START_HASH, *map(xxhash.xxh3_64_intdigest, words)], np.uint64)
-        sizes = np.fromiter(map(len, split), np.int64, len(split)) + 2
+        found, sizes = hasher.of(binary_texts(batch.column("text")))
+        words, places = np.unique(found, return_inverse=True)
+        hashes = np.concatenate([MARKS, words])
+        sizes = sizes + 2
         ends = np.cumsum(sizes)
         tokens = np.full(ends[-1], END, np.int32)
         inner = np.ones(len(tokens), bool)
         inner[ends - 1] = inner[ends - sizes] = False
         tokens[ends - sizes] = START
-        tokens[inner] = np.fromiter(map(words.__getitem__, chain.from_iterable(split)), np.int32, int(inner.sum()))
+        tokens[inner] = places.reshape(-1) + len(MARKS)
         held = batch.column("held_out")
         learned = ~np.array(held.fill_null(True))
         row = {
@@ -278,7 +275,7 @@ def scored(
 
     The model of n-grams up to ``order`` learns from the rows whose ``held_out`` is false. Tokens are the words of a text (ASCII letters
     in lower case, cut at ASCII white space) and one end. n_known counts tokens that training has, base_score is the
-    log10 probability by words alone, score that of the automaton. n-grams are told apart by 64-bit hashes.
+    log10 probability by words alone, score that of the automaton. Words and n-grams are told apart by 64-bit hashes.
 
     Null and empty texts are their end alone. A row whose ``held_out`` is null (a null id, in the query) is scored and not learned from. Rows that
     repeat an id are learned and scored one by one. Without training rows every token is unknown and has probability 1; an empty table
