@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from demandgrid.functions.columns import (
     all_known, equal_width_bin, estimated_cost, normal_quantile, percent, right_closed_bin,
 )
-from demandgrid.operators.quantiles import attach, quantiles, rank_spans, value_counts
+from demandgrid.operators.quantiles import aggregated, attach, quantiles, rank_spans, value_counts
 from demandgrid.session import spread
 
 DISCOUNT_EDGES = [0, 10, 20, 30, 40, 100]
@@ -22,9 +22,8 @@ def _bounds(data: DataFrame, by: Sequence[str], columns: Mapping[str, str]) -> D
 
     A constant column gets half a unit each way.
     """
-    ends = data.groupBy(*by).agg(
-        *[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in columns.values()]
-    )
+    ends = aggregated(data, by, *[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(f"_{c}") for c in columns.values()])
+    ends = ends.withColumnsRenamed({f"_{c}": c for c in columns.values()})
     pad = {c: F.when(F.col(c)["lo"] == F.col(c)["hi"], 0.5).otherwise(0.0) for c in columns.values()}
     return ends.select(
         *by,
@@ -74,18 +73,22 @@ def cumulative_histogram(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def binned_scatter(df: DataFrame, x: str, y: str, x_bins: int, y_bins: int) -> DataFrame:
-    """Row-level scatter as counts on a grid of equal-width cells (occupied cells only)."""
+    """Row-level scatter as counts on a grid of equal-width cells, with the cells' edges (occupied cells only).
+
+    Rows are combined to distinct points first; the bounds and the cells both come from these, so ``df`` is computed once.
+    """
     data = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where(all_known("x", "y"))
-    bounds = _bounds(data, (), {"x_": "x", "y_": "y"})
-    placed = attach(data, bounds)
-    return (
-        placed.select(
-            equal_width_bin(F.col("x"), F.col("x_lo"), F.col("x_hi"), x_bins).cast("int").alias("x_bin"),
-            equal_width_bin(F.col("y"), F.col("y_lo"), F.col("y_hi"), y_bins).cast("int").alias("y_bin"),
-        )
-        .groupBy("x_bin", "y_bin")
-        .agg(F.count("*").alias("count"))
-    )
+    points = data.groupBy("x", "y").agg(F.count("*").alias("n"))
+    placed = attach(points, _bounds(points, (), {"x_": "x", "y_": "y"}))
+    sides = {"x": x_bins, "y": y_bins}
+    numbers = [equal_width_bin(F.col(c), F.col(f"{c}_lo"), F.col(f"{c}_hi"), bins).cast("int").alias(f"{c}_bin") for c, bins in sides.items()]
+    ends = ["x_lo", "x_hi", "y_lo", "y_hi"]
+    cells = placed.select(*numbers, *ends, "n").groupBy("x_bin", "y_bin", *ends).agg(F.sum("n").alias("count"))
+    edges = {}
+    for c, bins in sides.items():
+        lo, width = F.col(f"{c}_lo"), (F.col(f"{c}_hi") - F.col(f"{c}_lo")) / bins
+        edges |= {f"{c}_lo": lo + F.col(f"{c}_bin") * width, f"{c}_hi": lo + (F.col(f"{c}_bin") + 1) * width}
+    return cells.withColumns(edges).select("x_bin", "y_bin", *ends, "count")
 
 
 def zero_vs_positive(df: DataFrame, column: str = "units_sold") -> DataFrame:
@@ -151,15 +154,19 @@ def quantile_bins(counts: DataFrame, bins: int) -> DataFrame:
     return filled.select("bin", F.element_at("edges", at).alias("lo"), F.element_at("edges", at + 1).alias("hi"), "count")
 
 
-def cut_equal_width(df: DataFrame, column: str, bins: int, measures: Mapping[str, Column]) -> DataFrame:
-    """Aggregates over right-closed bins of equal width.
+def cut_equal_width(df: DataFrame, column: str, bins: int, means: Mapping[str, Column], count: bool = False) -> DataFrame:
+    """Means of the given row values (and on request the ``count`` of rows) over right-closed bins of equal width.
 
-    The lowest edge sits 0.1 % of the range below the minimum, so that the minimum is inside.
+    The lowest edge sits 0.1 % of the range below the minimum, so that the minimum is inside. Rows are combined to
+    sums per distinct value of ``column`` first; bounds and bins both come from these, so ``df`` is computed once.
     """
-    value = F.col(column).cast("double")
-    known = df.where(value.isNotNull())
+    value = F.col("_value")
+    sums = [f(row).alias(f"{name}_{part}") for name, row in means.items() for part, f in (("sum", F.sum), ("n", F.count))]
+    known = df.withColumn("_value", F.col(column).cast("double")).where(value.isNotNull()).groupBy("_value").agg(*sums, *[F.count("*").alias("_n")] * count)
+    measures = {"count": F.sum("_n")} if count else {}
+    measures |= {name: F.try_divide(F.sum(f"{name}_sum"), F.sum(f"{name}_n")) for name in means}
     lo, hi = F.col("_lo"), F.col("_hi")
-    ends = known.agg(F.min(value).alias("least"), F.max(value).alias("most"))
+    ends = aggregated(known, (), F.min(value).alias("least"), F.max(value).alias("most"))
     least, most = F.col("least"), F.col("most")
     pad = F.when(least != most, 0.0).otherwise(F.when(least != 0, F.abs(least) * 0.001).otherwise(0.001))
     ends = ends.select((least - pad).alias("_lo"), (most + pad).alias("_hi"), (most != least).alias("_spread"))
@@ -170,7 +177,7 @@ def cut_equal_width(df: DataFrame, column: str, bins: int, measures: Mapping[str
     low_edge = lo + (F.col("bin") - 1) * width
     lowered = F.when((F.col("bin") == 1) & F.col("_spread"), low_edge - (hi - lo) * 0.001).otherwise(low_edge)
     return every.join(summed, "bin", "left").select(
-        "bin", lowered.alias("lo"), (lo + F.col("bin") * width).alias("hi"), *measures
+        "bin", lowered.alias("lo"), (lo + F.col("bin") * width).alias("hi"), *[F.coalesce("count", F.lit(0)).alias("count")] * count, *means
     )
 
 

@@ -9,22 +9,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandgrid.functions.calendar import iso_year
 from demandgrid.functions.columns import percent
-from demandgrid.operators.facts import CELL, known, left_join_flag
+from demandgrid.operators.facts import CELL, known, left_join_flag, within_calendar
 from demandgrid.operators.quantiles import summary, value_counts
 from demandgrid.operators.ranking import keep_top_groups, top_k
 
 STORE_DAY = ["store_id", "date"]
 
 
-def promo_dates(promotion: DataFrame) -> DataFrame:
-    """The days on which any promotion ran; equal intervals are unfolded once."""
-    spans = promotion.select("start_date", "end_date").where("start_date <= end_date").distinct()
-    return spans.select(F.explode(F.sequence("start_date", "end_date")).alias("date")).distinct()
+def promo_dates(promotion: DataFrame, date_dim: DataFrame) -> DataFrame:
+    """The days of the calendar on which any promotion ran."""
+    return active_promos(promotion, date_dim).select("date")
 
 
 def event_dates(local_event: DataFrame) -> DataFrame:
@@ -48,11 +47,22 @@ def rows_not_on(df: DataFrame, members: DataFrame, keys: Sequence[str]) -> DataF
     return df.join(members, list(keys), "left_anti")
 
 
-def active_promos(promotion: DataFrame) -> DataFrame:
-    """How many promotions run on each day."""
-    spans = promotion.where("start_date <= end_date").groupBy("start_date", "end_date").agg(F.count("*").alias("n"))
-    days = spans.select(F.explode(F.sequence("start_date", "end_date")).alias("date"), "n")
-    return days.groupBy("date").agg(F.sum("n").alias("promos"))
+def active_promos(promotion: DataFrame, date_dim: DataFrame) -> DataFrame:
+    """How many promotions run on each day of the calendar, for the days with any.
+
+    A sweep over interval ends: +1 on the first day, -1 on the day after the last, combined per day before the shuffle, and a
+    running sum over the days of change. However long an interval, it costs two rows, and only
+    the days of the calendar are unfolded. The window holds one row per day of change.
+    """
+    spans = within_calendar(promotion.select("start_date", "end_date").where("start_date <= end_date"), date_dim, "start_date", "end_date")
+    ends = F.array(F.struct(F.col("start_date").alias("date"), F.lit(1).alias("step")), F.struct(F.date_add("end_date", 1).alias("date"), F.lit(-1).alias("step")))
+    steps = spans.select(F.explode(ends).alias("end")).groupBy("end.date").agg(F.sum("end.step").alias("step"))
+    by_date = Window.orderBy("date")
+    running = steps.select(
+        "date", F.sum("step").over(by_date.rowsBetween(Window.unboundedPreceding, 0)).alias("promos"), F.lead("date").over(by_date).alias("until")
+    )
+    days = F.sequence(F.col("date"), F.date_sub("until", 1))
+    return running.where("promos > 0").select(F.explode(days).alias("date"), "promos")
 
 
 def effect(df: DataFrame, flag: str, value: str = "units_sold", by: Sequence[str] = ()) -> DataFrame:
@@ -89,10 +99,10 @@ def day_flag_value_counts(target: DataFrame, days: DataFrame, flag: str) -> Data
     return flag_rows(per_day, days, ["date"], flag).groupBy(flag, "value").agg(F.sum("n").alias("n"))
 
 
-def promo_daily_revenue(fact: DataFrame, promotion: DataFrame) -> DataFrame:
+def promo_daily_revenue(fact: DataFrame, promotion: DataFrame, date_dim: DataFrame) -> DataFrame:
     """Mean daily revenue of days with and without any promotion."""
     days = known(fact, "date").groupBy("date").agg(F.sum("revenue").alias("revenue"))
-    flagged = flag_rows(days, promo_dates(promotion), ["date"], "has_promo")
+    flagged = flag_rows(days, promo_dates(promotion, date_dim), ["date"], "has_promo")
     return flagged.groupBy("has_promo").agg(F.avg("revenue").alias("mean_daily_revenue"), F.count("*").alias("days"))
 
 

@@ -78,21 +78,21 @@ def enrich_target(target: DataFrame, date_dim: DataFrame, store: DataFrame) -> D
 def grid_keys(target: DataFrame) -> DataFrame:
     """Every store x category x day between the first and last day of ``target``.
 
-    The product is built by exploding the dimension values, not by joining: one aggregate row
-    holds the stores, categories and date span, store-category pairs are spread over the
-    cluster, and each pair then unfolds its own days. The total in the aggregate keeps its
-    input identical to the target itself, so that the target's shuffle is run once and read
-    twice where both are used in a query.
+    The product is built by exploding, not by joining: every store stays a row of its own, unfolds the
+    categories of one aggregate row (a handful, with the date span), and the pairs, spread over the cluster,
+    unfold their days. The counts of units keep both inputs identical to the target itself, so
+    that the target's shuffle is run once and read wherever the target is used in a query.
     """
     span = target.agg(
-        F.collect_set("store_id").alias("stores"),
         F.collect_set("category").alias("categories"),
         F.min("date").alias("first"),
         F.max("date").alias("last"),
-        F.sum("units_sold").alias("total"),
-    ).where(F.col("total").isNotNull())
-    pairs = span.select(F.explode("stores").alias("store_id"), "categories", "first", "last").select(
-        "store_id", F.explode("categories").alias("category"), "first", "last"
+        F.count("units_sold").alias("cells"),
+    ).where(F.col("cells") > 0)
+    stores = target.groupBy("store_id").agg(F.count("units_sold").alias("cells")).where(F.col("cells") >= 0)
+    row = span.select(F.struct("categories", "first", "last").alias("row")).scalar()
+    pairs = stores.select("store_id", row.alias("span")).select(
+        "store_id", F.explode("span.categories").alias("category"), "span.first", "span.last"
     )
     return pairs.repartition(spread(target.sparkSession), "store_id", "category").select(
         "store_id", "category", F.explode(F.sequence("first", "last")).alias("date")
@@ -125,11 +125,25 @@ def left_join_flag(df: DataFrame, flags: DataFrame, keys: list[str], flag: str)
     return df.join(flags.select(*keys, flag), keys, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
-def promo_daily_long(promotion: DataFrame, product: DataFrame) -> DataFrame:
-    """One row per promotion and day of its closed interval, with the product's category."""
-    days = promotion.where(F.col("start_date") <= F.col("end_date")).withColumn(
-        "date", F.explode(F.sequence("start_date", "end_date"))
-    )
+def within_calendar(spans: DataFrame, date_dim: DataFrame, first: str, last: str) -> DataFrame:
+    """Closed intervals of days cut to the span of the calendar; those outside it are left out.
+
+    An interval without a real end then costs as many days as the calendar has; an empty calendar leaves none.
+    """
+    ends = date_dim.agg(F.min("date").alias("_first"), F.max("date").alias("_last"))
+    cut = spans.withColumn("_calendar", ends.select(F.struct("_first", "_last")).scalar()).withColumns({
+        first: F.greatest(first, "_calendar._first"), last: F.least(last, "_calendar._last"),
+    })
+    return cut.where(all_known("_calendar._first") & (F.col(first) <= F.col(last))).drop("_calendar")
+
+
+def promo_daily_long(promotion: DataFrame, product: DataFrame, date_dim: DataFrame) -> DataFrame:
+    """One row per promotion and day of its closed interval, with the product's category.
+
+    Intervals are cut to the days of the calendar ``date_dim``: on other days nothing was or could be sold.
+    """
+    spans = within_calendar(promotion.where(F.col("start_date") <= F.col("end_date")), date_dim, "start_date", "end_date")
+    days = spans.withColumn("date", F.explode(F.sequence("start_date", "end_date")))
     return days.join(product.select("product_id", "category"), "product_id", "left").select(
         "store_id", "category", "date", "product_id", "promo_type", "discount_pct"
     )

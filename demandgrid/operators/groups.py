@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandgrid.functions.columns import (
@@ -314,6 +316,15 @@ def attribute_bar(store_sales: DataFrame, attribute: str = "neighborhood_type")
     )
 
 
+def poisson_edges(bits: int = 32) -> list[int]:
+    """The draws of ``bits`` bits from which on a Poisson variable with mean 1 is 1, 2, 3 and so on, as far as the bits can tell."""
+    edges, mass, below = [], math.exp(-1), 0.0
+    while (edge := math.floor((below := below + mass) * 2**bits)) < 2**bits - 1:
+        edges.append(edge)
+        mass /= len(edges)
+    return edges
+
+
 def attribute_bar_interval(
     store_sales: DataFrame,
     attribute: str = "neighborhood_type",
@@ -323,23 +334,17 @@ def attribute_bar_interval(
 ) -> DataFrame:
     """Bootstrap confidence interval of :func:`attribute_bar`.
 
-    Each replicate redraws as many stores as the group has, with replacement. The draw is a
-    hash of (seed, group, replicate, position), so a rerun after a lost executor draws the same.
+    A Poisson bootstrap: in each replicate a store counts as often as a draw from the Poisson distribution with mean 1 says, so a
+    replicate is a pair of sums that merge in any order and stores need no numbers. The draw is a hash of (seed, replicate,
+    store), so a rerun after a lost executor draws the same. A replicate that draws no store has no mean.
     """
-    group = Window.partitionBy(attribute)
-    stores = known(store_sales, attribute).select(
-        attribute,
-        "mean_units",
-        (F.row_number().over(group.orderBy("store_id")) - 1).cast("long").alias("position"),
-        F.count("*").over(group).alias("size"),
-    )
     runs = F.sequence(F.lit(1), F.lit(replicates))
-    draws = stores.select(attribute, "size", "position", F.explode(runs).alias("replicate"))
-    drawn = F.pmod(F.xxhash64(F.lit(seed), attribute, "replicate", "position"), F.col("size"))
-    resampled = draws.select(attribute, "replicate", drawn.alias("position")).join(
-        stores.select(attribute, "position", "mean_units"), [attribute, "position"]
-    )
-    means = resampled.groupBy(attribute, "replicate").agg(F.avg("mean_units").alias("mean"))
+    stores = known(store_sales, attribute, "mean_units").select(attribute, "store_id", "mean_units", F.explode(runs).alias("replicate"))
+    spot = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("replicate").cast("string"), F.col("store_id").cast("string")).cast("binary"))
+    spot = F.conv(F.substring(spot, 1, 8), 16, 10).cast("long")
+    times = reduce(Column.__add__, [(spot >= F.lit(edge)).cast("int") for edge in poisson_edges()])
+    drawn = stores.withColumn("times", times).groupBy(attribute, "replicate")
+    means = drawn.agg(F.try_divide(F.sum(F.col("times") * F.col("mean_units")), F.sum("times")).alias("mean"))
     tail = (1 - level) / 2
     interval = means.groupBy(attribute).agg(
         F.percentile("mean", tail).alias("ci_lo"), F.percentile("mean", 1 - tail).alias("ci_hi")

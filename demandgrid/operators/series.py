@@ -51,12 +51,13 @@ def mean_pivot(df: DataFrame, row: str, column: str, value: str = "units_sold")
     return known(df, row, column).groupBy(row, column).agg(F.avg(value).alias("mean_units"))
 
 
-def wide_columns(dimension: DataFrame, column: str, most: int = 1000) -> list:
-    """The distinct known values of a dimension's column, for a wide table; more than ``most`` are refused, not cut."""
-    values = [row[0] for row in known(dimension, column).select(column).distinct().limit(most + 1).collect()]
-    if len(values) > most:
-        raise ValueError(f"{column} has more than {most} values; use the long form")
-    return sorted(values)
+def mean_pivot_map(df: DataFrame, row: str, column: str, value: str = "units_sold") -> DataFrame:
+    """The pivot with one row per ``row``: ``means`` maps every value of ``column`` found there to the mean.
+
+    The columns are data, so no value has to be known beforehand and none is left out.
+    """
+    cells = mean_pivot(df, row, column, value)
+    return cells.groupBy(row).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "mean_units")))).alias("means"))
 
 
 def mean_pivot_wide(df: DataFrame, row: str, column: str, values: Sequence, value: str = "units_sold", other: str | None = "other") -> DataFrame:

@@ -64,12 +64,12 @@ def _(s):
 
 @report("d1_hist_revenue_50", hist_sql("fact", "revenue", 50, digits=8))
 def _(s):
-    return shown(dist.histogram(s.fact, "revenue", 50), 8)
+    return shown(dist.histogram(value_counts(s.fact, "revenue"), "value", 50, weight="n"), 8)
 
 
 @report("d1_hist_revenue_40", hist_sql("fact", "revenue", 40, digits=8))
 def _(s):
-    return shown(dist.histogram(s.fact, "revenue", 40), 8)
+    return shown(dist.histogram(value_counts(s.fact, "revenue"), "value", 40, weight="n"), 8)
 
 
 @report("d1_hist_store_revenue", hist_sql("(SELECT store_id, round(sum(revenue), 4) AS x FROM fact GROUP BY ALL)", "x", 10, digits=6))
@@ -176,7 +176,7 @@ def _(s):
 
 
 _box("target", lambda s: value_counts(s.calendar_target, "units_sold"), [], "ctgt")
-_box("promo_day", lambda s: effects.day_flag_value_counts(s.calendar_target, effects.promo_dates(s.promotion), "has_promo"),
+_box("promo_day", lambda s: effects.day_flag_value_counts(s.calendar_target, effects.promo_dates(s.promotion, s.date_dim), "has_promo"),
      ["has_promo"], "promo_day_tgt")
 _box("promo_cell", lambda s: value_counts(effects.promo_cells(s.grid, facts.promo_flag(s.promo_days)), "units_sold", ["has_promo"]),
      ["has_promo"], "promo_grid")
@@ -227,16 +227,14 @@ _CUT = """WITH b AS (SELECT min({c}) AS a, max({c}) AS z, (max({c}) - min({c}))
     c="discount_applied", s="(SELECT * FROM c_txn WHERE discount_applied > 0)", m="revenue / units_sold", out="round(avg(x), 4) AS revenue_per_unit"))
 def _(s):
     discounted = s.transaction.where("discount_applied > 0")
-    each = F.avg(columns.ratio(F.col("revenue"), F.col("units_sold")))
+    each = columns.ratio(F.col("revenue"), F.col("units_sold"))
     return shown(dist.cut_equal_width(discounted, "discount_applied", 5, {"revenue_per_unit": each}))
 
 
 @report("d11_cut_promo_discount", _CUT.format(
     c="discount_pct", s="c_promo", m="discount_pct", out='count(x) AS "count", round(avg(x), 4) AS mean'))
 def _(s):
-    measures = {"count": F.count("discount_pct"), "mean": F.avg("discount_pct")}
-    cut = dist.cut_equal_width(s.promotion, "discount_pct", 5, measures)
-    return shown(cut.withColumn("count", F.coalesce("count", F.lit(0))))
+    return shown(dist.cut_equal_width(s.promotion, "discount_pct", 5, {"mean": F.col("discount_pct")}, count=True))
 
 
 _BANDS = """WITH x AS (SELECT *, CASE {zero} WHEN discount_applied > 0 AND discount_applied <= 10 THEN 1 WHEN discount_applied > 10 AND discount_applied <= 20 THEN 2

@@ -16,18 +16,18 @@ _COVERAGE = """WITH t AS (SELECT category FROM {source} GROUP BY category ORDER
 
 @report("f1_promo_effect_day", _MEANS.format(flag="has_promo", source="promo_day_tgt"))
 def _(s):
-    return shown(effects.day_flag_means(s.calendar_target, effects.promo_dates(s.promotion), "has_promo"))
+    return shown(effects.day_flag_means(s.calendar_target, effects.promo_dates(s.promotion, s.date_dim), "has_promo"))
 
 
 @report("f1_promo_effect_category", _COVERAGE.format(flag="has_promo", source="promo_day_tgt"))
 def _(s):
-    return shown(effects.category_flag_means(s.calendar_target, effects.promo_dates(s.promotion), ["date"], "has_promo"))
+    return shown(effects.category_flag_means(s.calendar_target, effects.promo_dates(s.promotion, s.date_dim), ["date"], "has_promo"))
 
 
 @report("f2_promo_effect_daily_revenue", """SELECT d.date IN (SELECT date FROM promo_dates) AS has_promo, round(avg(r), 2) AS mean_daily_revenue, count(*) AS days
     FROM (SELECT date, sum(revenue) AS r FROM fact GROUP BY date) d GROUP BY ALL""")
 def _(s):
-    return shown(effects.promo_daily_revenue(s.fact, s.promotion), 2)
+    return shown(effects.promo_daily_revenue(s.fact, s.promotion, s.date_dim), 2)
 
 
 @report("f3_promo_effect_cell", _EFFECT.format(flag="has_promo", source="promo_grid"))

@@ -367,7 +367,16 @@ def _(s):
     return shown(groups.attribute_bar(groups.neighborhood_of_stores(groups.store_means(s.grid), s.store)))
 
 
-@report("g41_store_attr_bar_interval")
+_TIMES = " + ".join(f"CAST(spot >= {edge} AS INT)" for edge in groups.poisson_edges())
+
+
+@report("g41_store_attr_bar_interval", f"""WITH m AS (SELECT neighborhood_type, store_id, mean_units FROM sgrid JOIN c_store USING (store_id)),
+    d AS (SELECT *, CAST('0x' || substr(md5('17:' || replicate || ':' || store_id), 1, 8) AS BIGINT) AS spot FROM m, range(1, 1001) AS r(replicate)),
+    w AS (SELECT *, {_TIMES} AS times FROM d),
+    b AS (SELECT neighborhood_type, replicate, sum(times * mean_units) / nullif(sum(times), 0) AS mean FROM w GROUP BY ALL),
+    i AS (SELECT neighborhood_type, quantile_cont(mean, 0.025) AS ci_lo, quantile_cont(mean, 0.975) AS ci_hi FROM b GROUP BY ALL)
+    SELECT neighborhood_type, round(avg(mean_units), 4) AS mean_units, count(*) AS stores, round(any_value(ci_lo), 4) AS ci_lo, round(any_value(ci_hi), 4) AS ci_hi
+    FROM m JOIN i USING (neighborhood_type) GROUP BY neighborhood_type""")
 def _(s):
     return shown(groups.attribute_bar_interval(groups.neighborhood_of_stores(groups.store_means(s.grid), s.store)))
 

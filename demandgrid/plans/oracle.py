@@ -59,7 +59,7 @@ RELATIONS: dict[str, str] = {
         FROM keys k LEFT JOIN tgt t ON t.store_id = k.store_id AND t.category = k.category AND t.date = k.date""",
     "cgrid": "SELECT g.*, c.* EXCLUDE (date) FROM grid g LEFT JOIN c_cal c USING (date)",
     "promo_long": """SELECT o.store_id, p.category, CAST(o.d AS DATE) AS date, o.product_id, o.promo_type, o.discount_pct
-        FROM (SELECT *, unnest(generate_series(start_date, end_date, INTERVAL 1 DAY)) AS d FROM c_promo) o
+        FROM (SELECT p.*, unnest(generate_series(greatest(start_date, d0), least(end_date, d1), INTERVAL 1 DAY)) AS d FROM c_promo p, c_span) o
         LEFT JOIN c_prod p USING (product_id)""",
     "promo_flag": """SELECT store_id, category, date, count(discount_pct) AS promos, avg(discount_pct) AS avg_discount
         FROM promo_long GROUP BY ALL""",

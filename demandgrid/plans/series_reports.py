@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from demandgrid.operators import distribution, facts, groups, ranking, series
 from demandgrid.plans.catalog import report, shown
 from demandgrid.plans.oracle import FLAGS
+from demandgrid.sources.driver_tables import CATEGORIES
+from demandgrid.sources.sink import in_order
 
 _COLUMNS = ["units_sold", *FLAGS]
 
@@ -65,12 +67,14 @@ def _(s):
 
 @report("c4_scatter_units_revenue", """WITH e AS (SELECT min(units_sold) AS a, max(units_sold) AS z, min(revenue) AS b, max(revenue) AS y FROM fact),
     p AS (SELECT units_sold AS u, a, (z - a) / 25 AS wu, revenue AS r, b, (y - b) / 40 AS wr,
-      least(floor((units_sold - a) / ((z - a) / 25)), 24) AS i, least(floor((revenue - b) / ((y - b) / 40)), 39) AS j FROM fact, e)
-    SELECT CAST(CASE WHEN u < a + i * wu THEN i - 1 WHEN u >= a + (i + 1) * wu AND i < 24 THEN i + 1 ELSE i END AS INT) AS x_bin,
-      CAST(CASE WHEN r < b + j * wr THEN j - 1 WHEN r >= b + (j + 1) * wr AND j < 39 THEN j + 1 ELSE j END AS INT) AS y_bin, count(*) AS "count"
-    FROM p GROUP BY ALL""")
+      least(floor((units_sold - a) / ((z - a) / 25)), 24) AS i, least(floor((revenue - b) / ((y - b) / 40)), 39) AS j FROM fact, e),
+    x AS (SELECT CAST(CASE WHEN u < a + i * wu THEN i - 1 WHEN u >= a + (i + 1) * wu AND i < 24 THEN i + 1 ELSE i END AS INT) AS x_bin,
+      CAST(CASE WHEN r < b + j * wr THEN j - 1 WHEN r >= b + (j + 1) * wr AND j < 39 THEN j + 1 ELSE j END AS INT) AS y_bin, a, wu, b, wr FROM p),
+    c AS (SELECT x_bin, y_bin, a, wu, b, wr, count(*) AS n FROM x GROUP BY ALL)
+    SELECT x_bin, y_bin, round(a + x_bin * wu, 6) AS x_lo, round(a + (x_bin + 1) * wu, 6) AS x_hi, round(b + y_bin * wr, 6) AS y_lo,
+      round(b + (y_bin + 1) * wr, 6) AS y_hi, n AS "count" FROM c""")
 def _(s):
-    return distribution.binned_scatter(s.fact, "units_sold", "revenue", 25, 40)
+    return shown(distribution.binned_scatter(s.fact, "units_sold", "revenue", 25, 40), 6)
 
 
 @report("c4_scatter_stability", """SELECT store_id, round(avg(units_sold), 4) AS mean_units, round(stddev_samp(units_sold), 4) AS std_units FROM dstore GROUP BY ALL""")
@@ -117,10 +121,22 @@ def _(s):
     return shown(series.mean_pivot(s.grid, "store_id", "category"))
 
 
-@report("c5_pivot_store_category_wide", "SELECT * FROM (PIVOT tgt ON category USING round(avg(units_sold), 4) GROUP BY store_id)")
+_LISTED = ", ".join(f"'{c}'" for c in CATEGORIES)
+
+
+@report("c5_pivot_store_category_wide", "SELECT store_id, " + ", ".join(
+    f"""round(avg(units_sold) FILTER (category = '{c}'), 4) AS "{c}\"""" for c in CATEGORIES
+) + f""", round(avg(units_sold) FILTER (category NOT IN ({_LISTED})), 4) AS "other" FROM tgt GROUP BY store_id""")
+def _(s):
+    return shown(series.mean_pivot_wide(s.target, "store_id", "category", CATEGORIES))
+
+
+@report("c5_pivot_store_category_map", """SELECT store_id, CAST(count(*) AS INT) AS categories, string_agg(category || '=' || CAST(CAST(round(m) AS BIGINT) AS VARCHAR), ',' ORDER BY category) AS means
+    FROM (SELECT store_id, category, avg(units_sold) AS m FROM tgt GROUP BY ALL) GROUP BY store_id""")
 def _(s):
-    categories = series.wide_columns(s.product, "category")
-    return shown(series.mean_pivot_wide(s.target, "store_id", "category", categories, other=None))
+    pivot = series.mean_pivot_map(s.target, "store_id", "category")
+    entry = F.transform(F.map_entries("means"), lambda e: F.concat_ws("=", e["key"], F.round(e["value"]).cast("long").cast("string")))
+    return pivot.select("store_id", F.size("means").alias("categories"), F.array_join(entry, ",").alias("means"))
 
 
 @report("c6_pivot_category_neighborhood", _PIVOT.format(r="category", c="neighborhood_type", s="ctgt"))
@@ -287,6 +303,12 @@ def _(s):
     return shown(ranking.basket_segments(facts.baskets(s.transaction)))
 
 
-@report("w9_sorts", "SELECT category, sum(units_sold) AS units FROM grid GROUP BY ALL")
+@report("w9_sorts", """SELECT category, units, row_number() OVER (ORDER BY units DESC, category) AS "position"
+    FROM (SELECT category, sum(units_sold) AS units FROM grid GROUP BY ALL)""")
+def _(s):
+    return in_order(groups.units_by(s.grid, "category", "units"), "categories-by-units", F.desc("units"), "category")
+
+
+@report("w9_sorts_cells", 'SELECT *, row_number() OVER (ORDER BY units_sold DESC, date, store_id, category) AS "position" FROM tgt')
 def _(s):
-    return groups.units_by(s.grid, "category", "units").orderBy(F.desc("units"), "category")
+    return in_order(s.target, "cells-by-units", F.desc("units_sold"), "date", "store_id", "category")

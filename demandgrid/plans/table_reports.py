@@ -10,8 +10,10 @@ from demandgrid.operators.ranking import pareto_cumulative
 from demandgrid.plans.catalog import report, shown
 from demandgrid.plans.oracle import RELATIONS
 from demandgrid.sources.schemas import CALENDAR_FLAGS, SCHEMAS
-from demandgrid.sources.sink import write_result
+from demandgrid.sources.sink import with_bucketed_lines, write_result, write_text
+from demandgrid.sources.star import load_tables, parse_failures
 
+BUCKETS = 8  # of the bucketed lines in reports, fit for the test tables
 _SQL_TABLES = {
     "transaction": "c_txn", "order": "c_ord", "product": "c_prod", "store": "c_store", "date_dim": "c_cal",
     "promotion": "c_promo", "local_event": "c_evt", "inventory": "c_inv", "customer": "c_cust", "submission": "c_sub",
@@ -22,7 +24,8 @@ _SQL_TABLES = {
 
 @report("l1_load_tables", " UNION ALL ".join(f"""SELECT '{t}' AS "table", count(*) AS "rows" FROM {r}""" for t, r in _SQL_TABLES.items()))
 def _(s):
-    return profile.row_counts(s.tables)
+    tables = load_tables(s.store.sparkSession, write_text(s))
+    return profile.row_counts(tables)
 
 
 _DATE_COLUMNS = {
@@ -35,13 +38,16 @@ _DATE_COLUMNS = {
     for t, cs in _DATE_COLUMNS.items() for c in cs
 ))
 def _(s):
-    from demandgrid.sources.star import parse_dates
+    tables = load_tables(s.store.sparkSession, write_text(s))
+    return profile.date_columns({t: (tables[t], cs) for t, cs in _DATE_COLUMNS.items()})
 
-    def as_text(df, names):
-        return df.withColumns({n: F.date_format(n, "yyyy-MM-dd") for n in names})
 
-    parsed = {t: (parse_dates(as_text(s.tables[t], cs), *cs), cs) for t, cs in _DATE_COLUMNS.items()}
-    return profile.date_columns(parsed)
+@report("l2_parse_failures", " UNION ALL ".join(
+    f"""SELECT '{t}' AS "table", '{c}' AS "column", CAST(0 AS BIGINT) AS failed FROM (SELECT count(*) FROM {r})"""
+    for t, r in _SQL_TABLES.items() for c in SCHEMAS[t].names
+))
+def _(s):
+    return parse_failures(s.store.sparkSession, write_text(s))
 
 
 @report("l3_table_profile", " UNION ALL ".join(
@@ -137,7 +143,7 @@ def _(s):
 
 @report("p7_isin_membership", """SELECT date IN (SELECT date FROM promo_dates) AS on_promo_date, count(*) AS orders FROM c_ord GROUP BY ALL""")
 def _(s):
-    dates = effects.promo_dates(s.promotion)
+    dates = effects.promo_dates(s.promotion, s.date_dim)
     per_day = s.order.groupBy("date").agg(F.count("*").alias("orders"))
     on = effects.rows_on(per_day, dates, ["date"]).withColumn("on_promo_date", F.lit(True))
     off = effects.rows_not_on(per_day, dates, ["date"]).withColumn("on_promo_date", F.lit(False))
@@ -153,7 +159,7 @@ def _(s):
 @report("p9_interval_predicate", """SELECT d.date, count(*) AS promos FROM c_days d JOIN c_promo p ON d.date BETWEEN p.start_date AND p.end_date
     GROUP BY ALL""")
 def _(s):
-    return effects.active_promos(s.promotion)
+    return effects.active_promos(s.promotion, s.date_dim)
 
 
 @report("p10_fillna", """SELECT s.store_id, coalesce(n, 0) AS promotions, coalesce(r, 0.0) AS mean_discount FROM c_store s LEFT JOIN
@@ -252,6 +258,11 @@ def _(s):
     return shown(s.fact)
 
 
+@report("a1_master_fact_bucketed", "SELECT * REPLACE (round(revenue, 4) AS revenue) FROM fact")
+def _(s):
+    return shown(with_bucketed_lines(s, BUCKETS).fact)
+
+
 @report("a1_master_fact_hourly", "SELECT units_sold, hour, date, neighborhood_type, weekday FROM hourly_line")
 def _(s):
     lines = facts.hourly_fact(s.transaction, s.order, s.store)
@@ -301,17 +312,12 @@ def _(s):
 @report("a7_semi_restrict", """SELECT customer_id IS NOT NULL AS is_member, count(*) AS lines, round(sum(revenue), 4) AS revenue
     FROM c_txn JOIN c_ord USING (order_id) GROUP BY ALL""")
 def _(s):
-    def lines(orders, member):
-        kept = groups.lines_of_orders(s.transaction, orders)
-        return kept.agg(F.count("*").alias("lines"), F.sum("revenue").alias("revenue")).withColumn("is_member", F.lit(member))
-
-    members, walk_ins = s.order.where("customer_id IS NOT NULL"), s.order.where("customer_id IS NULL")
-    return shown(lines(members, True).unionByName(lines(walk_ins, False)))
+    return shown(groups.member_revenue(s.transaction, s.order).select("is_member", "lines", "revenue"))
 
 
 @report("a8_range_join_promo", "SELECT store_id, category, date, units_sold, has_promo FROM promo_day_tgt")
 def _(s):
-    flagged = effects.flag_rows(s.target, effects.promo_dates(s.promotion), ["date"], "has_promo")
+    flagged = effects.flag_rows(s.target, effects.promo_dates(s.promotion, s.date_dim), ["date"], "has_promo")
     return flagged.select(*facts.CELL, "units_sold", "has_promo")
 
 
@@ -319,7 +325,7 @@ def _(s):
     round(sum(revenue), 4) AS revenue FROM fact o GROUP BY ALL""")
 def _(s):
     days = groups.daily_revenue(s.fact)
-    days = effects.flag_rows(days, effects.promo_dates(s.promotion), ["date"], "has_promo")
+    days = effects.flag_rows(days, effects.promo_dates(s.promotion, s.date_dim), ["date"], "has_promo")
     return shown(effects.flag_rows(days, effects.event_dates(s.local_event), ["date"], "has_event"))
 
 

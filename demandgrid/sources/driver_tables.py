@@ -10,6 +10,8 @@ from demandgrid.sources.star import Star
 
 # The stand-in public holidays of the derived calendar, as month-day.
 HOLIDAYS = ["01-01", "04-13", "04-14", "04-15", "05-01", "12-05", "12-31"]
+# The product categories of the test tables, the columns of the wide pivot.
+CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 RAW_SCHEMAS = {
     "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE",
     "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",

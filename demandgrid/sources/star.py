@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,13 +49,27 @@ def typed(column: Column, kind: T.DataType) -> Column:
     return column.try_cast(kind)
 
 
+def _failures(schema: T.StructType) -> list[Column]:
+    """Per column, how many present values do not parse as the declared type."""
+    values = {f.name: (F.col(f"`{f.name}`"), f.dataType) for f in schema}
+    return [F.count_if(value.isNotNull() & typed(value, kind).isNull()).alias(name) for name, (value, kind) in values.items()]
+
+
 def load_tables(
-    spark: SparkSession, folder: str, fmt: str = "csv", file_names: Mapping[str, str] | None = None
+    spark: SparkSession, folder: str, fmt: str = "csv", file_names: Mapping[str, str] | None = None,
+    failures: dict[str, Observation] | None = None,
 ) -> dict[str, DataFrame]:
-    """Read each canonical table of ``folder``: columns by name in any order, others ignored, cast to the declared types."""
+    """Read each canonical table of ``folder``: columns by name in any order, others ignored, cast to the declared types.
+
+    A dictionary passed as ``failures`` gets an observation per table: after the first action on a table its ``get`` has, by
+    column, how many values did not parse, counted in the same pass (which then reads every column).
+    """
     tables = {}
     for name, schema in SCHEMAS.items():
         raw = read_named(spark, _path(folder, name, fmt, file_names), fmt, schema)
+        if failures is not None:
+            failures[name] = Observation(f"{name} {uuid.uuid4().hex}")
+            raw = raw.observe(failures[name], F.count(F.lit(1)).alias("_rows"), *_failures(schema))
         tables[name] = raw.select([typed(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in schema])
     return tables
 
@@ -66,7 +81,7 @@ def parse_failures(
     parts = []
     for name, schema in SCHEMAS.items():
         raw = read_named(spark, _path(folder, name, fmt, file_names), fmt, schema)
-        failed = [F.count_if(F.col(f"`{f.name}`").isNotNull() & typed(F.col(f"`{f.name}`"), f.dataType).isNull()).alias(f.name) for f in schema]
+        failed = _failures(schema)
         names = ", ".join(f"'{f.name}', `{f.name}`" for f in schema)
         parts.append(raw.agg(*failed).selectExpr(f"'{name}' AS `table`", f"stack({len(schema)}, {names}) AS (column, failed)"))
     return reduce(DataFrame.union, parts)
@@ -125,4 +140,4 @@ class Star:
 
     @cached_property
     def promo_days(self) -> DataFrame:
-        return facts.promo_daily_long(self.promotion, self.product)
+        return facts.promo_daily_long(self.promotion, self.product, self.date_dim)

@@ -1,6 +1,7 @@
 """Small literal frames for the rules that decide answers: nulls, ties, bins, quantiles, windows."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from demandgrid.functions import calendar, columns
 from demandgrid.operators import distribution as dist
 from demandgrid.operators import effects, facts, features, groups, profile, ranking, series
-from demandgrid.operators.quantiles import quantiles, rank_spans, summary, value_counts
+from demandgrid.operators.quantiles import SLOTS, quantiles, rank_spans, slotted, summary, value_counts
 
 
 def frame(spark, values, name="units_sold"):
@@ -101,8 +102,8 @@ def test_quantile_bins_of_a_constant_are_empty(spark):
 
 
 def test_equal_width_cut_lowers_the_first_edge(spark):
-    got = dist.cut_equal_width(frame(spark, [5, 45, 13, 20], "x"), "x", 5, {"n": F.count("x")}).orderBy("bin").collect()
-    assert [r.n or 0 for r in got] == [2, 1, 0, 0, 1]
+    got = dist.cut_equal_width(frame(spark, [5, 45, 13, 20], "x"), "x", 5, {"n": F.lit(1)}, count=True).orderBy("bin").collect()
+    assert [r["count"] for r in got] == [2, 1, 0, 0, 1] and [r.n for r in got] == [1, 1, None, None, 1]
     assert got[0].lo == pytest.approx(4.96) and got[-1].hi == 45.0
 
 
@@ -190,12 +191,54 @@ def test_one_promotion_day_counts_once_per_date_and_once_per_promotion(spark):
         [(1, 1, "bogo", 10.0, day, day), (1, 1, "bundle", 30.0, day, later), (1, 2, "bogo", 5.0, later, day)],
         "store_id int, product_id bigint, promo_type string, discount_pct double, start_date date, end_date date")
     product = spark.createDataFrame([(1, "x", 1.0)], "product_id bigint, category string, base_price double")
-    assert effects.promo_dates(promos).count() == 3
-    assert rows(effects.active_promos(promos), "date")[0] == (day, 2)
-    flags = facts.promo_flag(facts.promo_daily_long(promos, product)).orderBy("date").collect()
+    calendar = spark.sql("SELECT explode(sequence(DATE '2024-04-01', DATE '2024-06-30')) AS date")
+    assert effects.promo_dates(promos, calendar).count() == 3
+    assert rows(effects.active_promos(promos, calendar), "date")[0] == (day, 2)
+    flags = facts.promo_flag(facts.promo_daily_long(promos, product, calendar)).orderBy("date").collect()
     assert [(f.promos, f.avg_discount) for f in flags] == [(2, 20.0), (1, 30.0), (1, 30.0)]
 
 
+def test_an_interval_without_end_costs_the_calendar_only(spark):
+    promos = spark.sql("""SELECT 1 AS store_id, 1L AS product_id, 'bogo' AS promo_type, 5D AS discount_pct, * FROM VALUES
+        (DATE '2024-05-03', DATE '9999-12-31'), (DATE '0001-01-01', DATE '2024-05-04'), (DATE '0001-01-01', DATE '9999-12-31'),
+        (DATE '2024-05-20', DATE '9999-12-31'), (NULL, DATE '2024-05-04') AS t(start_date, end_date)""")
+    product = spark.createDataFrame([(1, "x", 1.0)], "product_id bigint, category string, base_price double")
+    calendar = spark.sql("SELECT explode(sequence(DATE '2024-05-01', DATE '2024-05-10')) AS date")
+    active = effects.active_promos(promos, calendar)
+    assert [r.promos for r in active.orderBy("date").collect()] == [2, 2, 3, 3, 2, 2, 2, 2, 2, 2]
+    days = facts.promo_daily_long(promos, product, calendar)
+    assert days.count() == 22 and days.agg(F.max("date")).first()[0] == dt.date(2024, 5, 10)
+    assert effects.active_promos(promos, calendar.limit(0)).collect() == []
+    assert effects.active_promos(promos.limit(0), calendar).collect() == []
+
+
+def test_bootstrap_interval_repeats_and_surrounds_the_mean(spark):
+    sales = spark.range(1, 61).selectExpr("CAST(id AS INT) AS store_id", "IF(id <= 40, 'mall', 'street') AS neighborhood_type", "CAST(id * 37 % 50 AS DOUBLE) AS mean_units")
+    sales = sales.union(spark.sql("SELECT 99, 'lone', 5D"))
+    found = {r.neighborhood_type: r for r in groups.attribute_bar_interval(sales, replicates=400).collect()}
+    again = {r.neighborhood_type: r for r in groups.attribute_bar_interval(sales.repartition(7), replicates=400).collect()}
+    assert {k: (r.ci_lo, r.ci_hi) for k, r in found.items()} == {k: (pytest.approx(r.ci_lo), pytest.approx(r.ci_hi)) for k, r in again.items()}
+    for name, size in (("mall", 40), ("street", 20)):
+        r = found[name]
+        error = 14.4 / size**0.5  # of values spread evenly over 0 to 50
+        assert r.ci_lo < r.mean_units < r.ci_hi and 2.5 * error < r.ci_hi - r.ci_lo < 5.5 * error
+    assert (found["lone"].ci_lo, found["lone"].ci_hi) == (5.0, 5.0)
+    edges = groups.poisson_edges()
+    assert edges[:2] == [int(2**32 * math.exp(-1)), int(2**33 * math.exp(-1))] and edges == sorted(set(edges))
+
+
+def test_slots_follow_the_data_however_narrow(spark):
+    """200,000 distinct values within 0.01 %, beside a few far away and a small group: no slot holds much more than its share."""
+    wide = spark.range(200_000).selectExpr("'a' AS k", "1000 + id * 5e-7D AS x").union(spark.sql("SELECT 'a', explode(array(0D, -7D, 1e12D))"))
+    counts = value_counts(wide.union(spark.sql("SELECT 'b', 5D")), "x", ["k"])
+    sizes = slotted(counts).groupBy("k", "slot").agg(F.count("*").alias("n"))
+    top = sizes.agg(F.max("n"), F.count("*")).first()
+    assert top[0] <= 3 * 200_004 / SLOTS and top[1] >= SLOTS // 2
+    got = {r.k: r for r in quantiles(counts, {"m": 0.5, "q": 0.25}, ["k"]).collect()}
+    assert got["b"].m == 5.0 and got["a"].m == pytest.approx(1000 + 99_999.5 * 5e-7, abs=1e-6)
+    assert summary(value_counts(wide, "x")).first().max == 1e12
+
+
 def test_two_events_on_a_store_day_repeat_only_on_request(spark):
     day = dt.date(2024, 5, 1)
     grid = spark.createDataFrame([(1, "x", day, 3.0), (2, "x", day, 5.0)], "store_id int, category string, date date, units_sold double")
