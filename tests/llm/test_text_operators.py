@@ -240,6 +240,40 @@ def test_language_model(spark, docs, empty):
     assert {r.lang_pred for r in langid.identify(docs, none).collect()} == {"und"} and langid.identify(empty, none).collect() == []
 
 
+def test_language_model_is_plain_naive_bayes(spark):
+    rng = random.Random(12)
+    letters = {"en": "the and of tie on", "de": "der und nüß ein öl", "es": "que año para té"}
+    texts = [(k, " ".join(rng.choice(letters[lang].split()) for _ in range(rng.randrange(1, 30))), lang) for k, lang in enumerate(rng.choices(list(letters), [5, 2, 1], k=150))]
+    table = spark.createDataFrame([*texts, (900, None, "en"), (901, "the", None)], "doc_id long, text string, lang string").repartition(4)
+    model = langid.train(table, F.lit(True))
+    counts, docs_of = defaultdict(lambda: defaultdict(float)), defaultdict(int)
+    for _, text, lang in texts:
+        docs_of[lang] += 1
+        for bucket in langid.ngram_buckets(text).tolist():
+            counts[lang][bucket] += 1
+    size = 1 << langid.BITS
+    asked = [t for _, t, _ in texts] + ["ein the", "ÑANDÚ té", "12", "", None, "x", "the öl " * 4000]
+    found = {r.doc_id: r for r in langid.identify(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()}
+    for k, text in enumerate(asked):
+        if not any(map(str.isalpha, text or "")):
+            assert (found[k].lang_pred, found[k].score) == ("und", 0)
+            continue
+        logs = {}
+        for lang in letters:
+            all_counts = sum(counts[lang].values()) + 0.1 * size
+            logs[lang] = math.log(docs_of[lang]) + sum(math.log((counts[lang][b] + 0.1) / all_counts) for b in langid.ngram_buckets(text).tolist())
+        best = max(logs, key=logs.get)
+        assert found[k].lang_pred == best
+        assert found[k].score == pytest.approx(1 / sum(math.exp(x - logs[best]) for x in logs.values()), abs=1e-3)
+
+
+def test_character_ngrams_overlap_and_ignore_case():
+    one, two = langid.ngram_buckets("AbC"), langid.ngram_buckets("abc")
+    assert one.tolist() == two.tolist() and len(one) == 3 + 2 + 1 and langid.ngram_buckets("").tolist() == []
+    apart = [langid.ngram_buckets(x).tolist() for x in ("ab", "bc", "b")]
+    assert {*apart[0][2:], *apart[1][2:], apart[2][0]} <= set(one.tolist())
+
+
 def test_rare_language_is_learned_from_a_thinned_sample(spark):
     table = spark.range(4000).selectExpr("id doc_id", "IF(id % 800 = 7, 'que los para una', 'the and of that') text", "IF(id % 800 = 7, 'es', 'en') lang")
     model = langid.train(table, F.lit(True), most_docs=20)
