@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from demandgrid.operators import effects, facts
 from demandgrid.operators.ranking import top_k
 from demandgrid.plans.catalog import report, shown
+from demandgrid.sources.sink import in_order
 
 _MEANS = 'SELECT {flag}, round(avg(units_sold), 4) AS mean_units, count(*) AS "rows" FROM {source} GROUP BY ALL'
 _EFFECT = """SELECT {flag}, round(avg(units_sold), 4) AS mean, round(median(units_sold), 4) AS median, round(stddev_samp(units_sold), 4) AS std,
@@ -41,6 +44,13 @@ def _(s):
     return shown(effects.promo_type_effect(s.promo_days, s.grid))
 
 
+@report("f4_promo_type_effect_in_order", """SELECT promo_type, promo_days, row_number() OVER (ORDER BY m DESC, promo_type) AS "position"
+    FROM (SELECT promo_type, avg(units_sold) AS m, count(*) AS promo_days FROM promo_long LEFT JOIN grid USING (store_id, category, date) GROUP BY ALL)""")
+def _(s):
+    types = effects.promo_type_effect(s.promo_days, s.grid)
+    return in_order(types, "promo-types", F.desc("mean_units"), "promo_type").select("promo_type", "promo_days", "position")
+
+
 def _event_target(s):
     return effects.flag_rows(s.calendar_target, effects.event_store_days(s.local_event), effects.STORE_DAY, "has_event")
 

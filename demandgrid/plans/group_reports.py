@@ -9,6 +9,7 @@ from demandgrid.operators import facts, groups
 from demandgrid.operators.ranking import top_k
 from demandgrid.plans.catalog import report, shown
 from demandgrid.plans.oracle import FLAGS, flags_sql
+from demandgrid.sources.sink import in_order
 
 _WEEK = "SELECT w.weekday, dayname(DATE '2024-01-01' + CAST(w.weekday AS INT)) AS day_name, {cols} FROM (SELECT CAST(unnest(range(7)) AS INT) AS weekday) w LEFT JOIN {src} m USING (weekday)"
 
@@ -23,6 +24,13 @@ _TOP = """SELECT category, {axis}, sum(units_sold) AS units, count(*) AS "rows",
     FROM fact JOIN {top} USING (category) GROUP BY ALL"""
 
 
+@report("g1_category_summary_in_order", """SELECT category, units, "rows", row_number() OVER (ORDER BY units DESC, category) AS "position"
+    FROM (SELECT category, sum(units_sold) AS units, count(units_sold) AS "rows" FROM fact GROUP BY category)""")
+def _(s):
+    summary = groups.category_summary(s.fact).select("category", "units", "rows")
+    return in_order(summary, "category-summary", F.desc("units"), "category")
+
+
 @report("g2_category_monthly_mean", _TOP.format(axis="month", top="top4"))
 def _(s):
     return shown(groups.top_category_profile(s.fact, "month"))

