@@ -219,7 +219,8 @@ def lookup(folder: str, shards: DataFrame, urls: DataFrame, with_payload: bool =
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs]), pa.array([p[1] for p in pairs])], ["shard", "key"])
 
-    wanted = keys.mapInArrow(assigned, "shard string, key string").repartition("shard").sortWithinPartitions("shard", "key")
+    order = ["shard", "key"]  # dealt by range, so that there are as many reading tasks as shards and a large shard is read by several
+    wanted = keys.mapInArrow(assigned, "shard string, key string").repartitionByRange(max(1, len(names)), *order).sortWithinPartitions(*order)
     return wanted.mapInArrow(_reader(folder, with_payload), HIT + (", payload binary" if with_payload else ""))
 
 

@@ -34,6 +34,18 @@ def test_archives_read_back_whole(spark):
     assert sorted(r.page_id for r in warc.lookup(folder, shards, some).collect()) == [1, 400, 500]
 
 
+def test_archives_are_read_by_as_many_tasks_as_there_are_shards(spark):
+    table = spark.range(4000).selectExpr("id AS page_id", "concat('http://h', id % 7, '.example.com/', id) AS url", "repeat('x', 3000) AS html")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several shards from few pages
+    try:
+        folder, shards = warc.write_archives(table)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    found = warc.lookup(folder, shards, table)
+    tasks = found.groupBy(F.spark_partition_id()).count().count()
+    assert found.count() == 4000 and shards.count() >= 4 and tasks >= shards.count() - 1
+
+
 def test_archives_of_no_pages(spark):
     table = spark.createDataFrame([], "page_id long, url string, html string")
     folder, shards = warc.write_archives(table)
