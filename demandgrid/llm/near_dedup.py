@@ -4,8 +4,8 @@ Every document gets 512 minima over its set of word shingles; bands of six of th
 only the low four bits are kept and packed, and the share of equal places, corrected for chance collisions, estimates a
 pair's similarity; pairs that may reach the threshold are confirmed on their full sets.
 
-Documents with the same set are one representative. Within a bucket of a band every member is first compared with one leader
-alone, the member that meets most others in all its buckets; after the components of these links are known, only the members outside
+Documents with the same set are one representative. A bucket of a band has a leader, the member that meets most others in all its buckets, and
+a member is first compared with two alone, the leaders that it shares most buckets with; after the components of these links are known, only the members outside
 a bucket's largest component meet those of other components, so a large group of copies does not unfold into all its pairs.
 """
 
@@ -26,6 +26,7 @@ ROWS = 6
 MOST_MISSED = 3e-7  # of the pairs exactly at the threshold, by the bands
 PLACES = 512
 KEPT_BITS = 4
+LEADERS = 2
 # A pair at a threshold of 0.85 is estimated with a deviation of about 0.017 over all places; this is five of them.
 SLACK = 0.085
 SHINGLE_SEED = 5
@@ -203,7 +204,11 @@ def link_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
     leaders = met.join(standing, "rep").groupBy("key").agg(F.max(F.struct("standing", -F.col("rep"))).alias("leader"))
     met = written(met.select("key", "rep").join(leaders.select("key", (-F.col("leader.col2")).alias("first")), "key"), "near-led")
 
-    stars = met.where("rep <> first").select(F.least("first", "rep").alias("a"), F.greatest("first", "rep").alias("b")).distinct()
+    # of the leaders of its buckets a member first meets those it shares most buckets with; whom it then lacks it meets below
+    by_leader = met.where("rep <> first").groupBy("rep", "first").agg(F.count("*").alias("times"))
+    nearest = by_leader.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("times", (-F.col("first")).alias("back"))), asc=False).alias("leaders"))
+    chosen = nearest.select("rep", F.explode(F.slice("leaders", 1, LEADERS)).alias("leader")).select("rep", (-F.col("leader.back")).alias("first"))
+    stars = chosen.select(F.least("first", "rep").alias("a"), F.greatest("first", "rep").alias("b")).distinct()
     least = percent / 100 - slack_for(percent)
     left, right = (signed_heads.select(F.col("rep").alias(c), F.col("packed").alias(f"packed_{c}")) for c in "ab")
     near = stars.join(left, "a").join(right, "b").where(estimated(F.col("packed_a"), F.col("packed_b")) >= least)
