@@ -55,7 +55,8 @@ def slotted(counts: DataFrame, slots: int = SLOTS) -> DataFrame:
     """Adds ``slot``, the number of edges below the value, and ``edge``, the last of them (the first edge for slot 0).
 
     The edges are quantiles of all rows of ``counts`` by a sketch with an error of a tenth of a slot, so a slot of
-    a group has about as many rows as all rows have per slot, at most.
+    a group has about as many rows as all rows have per slot, at most. The sketch is a scalar subquery: used
+    several times in a query it is run once (Spark's reuse of subqueries, on by default), so all uses see the same edges.
     """
     shares = F.lit(np.arange(1, slots) / slots)  # one literal, which plans faster than as many as there are edges
     sketch = F.percentile_approx("value", shares, 10 * slots).alias("edges")

@@ -26,6 +26,11 @@ def final_plan(df):
 
 def scans_run(df, name):
     """How many scans of a table the query really ran: reused shuffles and subqueries count once."""
+    return nodes_run(df, lambda kind, text: kind.startswith("Scan") and name in text)
+
+
+def nodes_run(df, wanted):
+    """How many nodes of the plan that ran are wanted by their name and text; what is reused counts once."""
 
     def walk(node):
         kind = node.nodeName()
@@ -36,7 +41,7 @@ def scans_run(df, name):
         if "QueryStage" in kind:
             return walk(node.plan())
         below = [part.apply(k) for part in (node.children(), node.subqueries()) for k in range(part.size())]
-        return int(kind.startswith("Scan") and name in node.simpleString(100)) + sum(map(walk, below))
+        return int(wanted(kind, node.simpleString(100))) + sum(map(walk, below))
 
     df.collect()
     return walk(df._jdf.queryExecution().executedPlan())
@@ -95,6 +100,14 @@ def test_lines_are_read_once(star, name):
     assert scans_run(REPORTS[name].build(star), "lineitem.parquet") == 1
 
 
+@pytest.mark.parametrize("name", [
+    "d3_summary_target", "d7_qq_normal_fit", "d8_box_promo_cell", "d9_p99_clip_grid", "d10_quantile_bins", "f3_promo_effect_cell", "w5_hour_neighborhood_weekday", "w8_basket_segments",
+])
+def test_one_sketch_places_all_slots_of_a_query(star, name):
+    """Slot totals and the rows of wanted slots must see the same edges."""
+    assert nodes_run(REPORTS[name].build(star), lambda kind, text: " percentile_approx(" in text.replace("[", " ") and "partial_" not in text) == 1
+
+
 def test_no_task_collects_stores_or_ranks_grouped_rows(star):
     plan = final_plan(REPORTS["b2_full_grid"].build(star))
     assert "collect_set(store_id" not in plan
