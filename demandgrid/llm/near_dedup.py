@@ -191,9 +191,9 @@ def link_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
         whole.mapInArrow(_signed(MinHasher(percent=percent)), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, packed array<long>"), "near-signed"
     )
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    same = some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     heads = written(
-        some.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "bands", "packed")).alias("h")).select("set_a", "set_b", "h.*").withColumnRenamed("doc_id", "rep"),
+        some.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "bands", "packed")).alias("h"), F.count("*").alias("n"))
+        .select("set_a", "set_b", "h.*", "n").withColumnRenamed("doc_id", "rep"),
         "near-heads",
     )
     signed_heads = heads.select("rep", "bands", "packed")
@@ -229,7 +229,8 @@ def link_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
     crossing = crossing.select(F.least("rep", "other_rep").alias("a"), F.greatest("rep", "other_rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = _links(crossing, whole, percent, "near-crossing")
 
-    copies = some.join(same.where("n > 1").drop("n"), ["set_a", "set_b"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+    groups_of_copies = heads.where("n > 1").select("set_a", "set_b", "rep")  # from the written table, so that Spark can split a large group's copies
+    copies = some.join(checked_broadcast(groups_of_copies, ROW_BYTES * groups_of_copies.count()), ["set_a", "set_b"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
     labels = components(links.union(more).union(copies), "near-components").withColumnRenamed("node", "doc_id")
     component = F.coalesce("component", "doc_id")
     return signed.select("doc_id", "n_shingles").join(labels, "doc_id", "left").select(
