@@ -202,3 +202,26 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in seen["mixing"]} <= {r.doc_id for r in seen["pii"]} and len(seen["bpe"]) == len(seen["mixing"])
     words = lambda rows: sum(len(r.text.encode().split()) for r in rows)
     assert words(seen["mixing"]) == pytest.approx(words(seen["pii"]), rel=0.2)
+
+
+def test_pipeline_on_nulls_repeats_clashing_columns_and_no_rows(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, rep long, key string, label string, copies int, part string, size long, set_a long, kept string"
+    prose = "a plain sentence about the harbour and its boats, number {0}, which sail at dawn {0} and return at dusk {0} with fish"
+    rows = [(k, " ".join(prose.format(f"{k}-{j}") for j in range(6)), "en", ["a", "b", None][k % 3], k) for k in range(24)]
+    rows += [(30, None, "en", "a", None), (31, "", None, "b", 0), (32, " \n ", "en", None, 3), (None, rows[3][1] + " more", "en", "a", 1), (5, rows[5][1], "en", "b", 9)]
+    rows += [(33, rows[2][1], "en", "a", 7), (34, "word " * 20000, "en", "a", 100000), (35, "write to jo.doe@mail.example.com or 10.0.0.1 now", "en", "b", 40)]
+    table = spark.createDataFrame([(*r, 1, "k", "l", 2, "p", 3, 4, "y") for r in rows], schema)
+    table.write.parquet(f"{tmp_path}/some/documents.parquet")
+    table.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(12)] + [(None, 1, 0), (34, 0, 0), (99, 0, 1)], "doc_id long, quality int, toxic int")
+    for folder in ("some", "none"):
+        labels.write.parquet(f"{tmp_path}/{folder}/labels.parquet")
+    docs = table
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"{tmp_path}/some")
+        assert docs.columns == table.columns, name
+    found = corpus_pipeline.run(spark, f"{tmp_path}/some")
+    assert set(found.columns) >= {"doc_id", "n_tokens", "ids"}
+    times = Counter(r.doc_id for r in found.collect())
+    assert set(times) <= {r[0] for r in rows} and max(times.values()) <= 3 and 33 not in times
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
