@@ -264,4 +264,5 @@ def encoded(
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:
+    """Nulls, empty and long texts, ties, repeated rows and empty tables: see :func:`encoded`."""
     return encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"), ids=False, digests=True)

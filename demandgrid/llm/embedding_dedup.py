@@ -202,4 +202,5 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, most: int = BLOCK)
 
 
 def op8_embedding_dedup(spark, sf_dir: str) -> DataFrame:
+    """Nulls, empty and long texts, ties, repeated rows and empty tables: see :func:`link_vectors`."""
     return link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

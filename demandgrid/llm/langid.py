@@ -132,6 +132,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
+    """Nulls, empty and long texts, ties, repeated rows and empty tables: see :func:`identify` and :func:`train`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, doc_remainder("doc_id", 4) != 2)
     return identify(docs, model).select("doc_id", (doc_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")

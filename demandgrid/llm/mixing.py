@@ -134,5 +134,6 @@ FROM placed"""
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
+    """Nulls, empty and long texts, ties, repeated rows and empty tables: see :func:`mix`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")

@@ -274,4 +274,5 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.
 
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """Nulls, empty and long texts, ties, repeated rows and empty tables: see :func:`link_documents`."""
     return link_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

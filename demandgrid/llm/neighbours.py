@@ -119,4 +119,5 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
 
 def op7_nearest(spark, sf_dir: str) -> DataFrame:
+    """Nulls, empty and long texts, ties, repeated rows and empty tables: see :func:`nearest`."""
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)

@@ -254,4 +254,5 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
+    """Nulls, empty and long texts, ties, repeated rows and empty tables: see :func:`personal_data`."""
     return personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))

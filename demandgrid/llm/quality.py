@@ -201,6 +201,7 @@ def accepted(docs: DataFrame, machine: Machine | None, threshold: float = 0.3) -
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
+    """Nulls, empty and long texts, ties, repeated rows and empty tables: see :func:`scored` and :func:`train`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     machine = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), doc_remainder("doc_id", 5) != 0)
     return scored(docs, machine).select("doc_id", (doc_remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")

@@ -431,4 +431,5 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """Nulls, empty and long texts, ties, repeated rows and empty tables: see :func:`without_repeats`."""
     return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True)

@@ -234,6 +234,7 @@ FROM p LEFT JOIN f USING (payload_digest)"""
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:
+    """Nulls, empty and long texts, ties, repeated rows and empty tables: see :func:`write_archives` and :func:`lookup`."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     folder, shards = write_archives(pages)
     return lookup(folder, shards, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
