@@ -25,7 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in the texts."""
+    """Replaces personal data in the whole texts; a null text stays null."""
     return pii.redacted(docs)
 
 
@@ -50,7 +50,12 @@ ORACLE_SQL = None  # the classifier and the encoder have no SQL form; tests comp
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``.
+
+    Documents with null or empty texts pass the stages that do not reject them and end with no tokens; a null id is kept; rows that repeat
+    an id and have words are one document from the second stage on; other columns, whatever their names, are carried up to the
+    last stage. Without labelled rows nothing is rejected; an empty table gives no rows. Texts are never cut.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
