@@ -163,7 +163,8 @@ def _confirmed(percent: int):
 def _links(likely: DataFrame, docs: DataFrame, percent: int, label: str) -> DataFrame:
     """The (a, b) of ``likely`` pairs of representatives that link by their full sets."""
     likely = written(likely, f"{label}-likely")
-    wanted = written(likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), f"{label}-wanted")
+    ends = [likely.select(F.col(c).alias("rep")).distinct() for c in "ab"]  # once each before they meet, not twice for every pair
+    wanted = written(ends[0].union(ends[1]).distinct(), f"{label}-wanted")
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(checked_broadcast(wanted, ROW_BYTES * wanted.count()), "rep")
     sets = written(texts.mapInArrow(_sets, "rep long, shingles array<long>"), f"{label}-sets")
     full = (
