@@ -10,6 +10,8 @@ from demandgrid.functions import calendar, columns
 from demandgrid.operators import distribution as dist
 from demandgrid.operators import effects, facts, features, groups, profile, ranking, series
 from demandgrid.operators.quantiles import SLOTS, quantiles, rank_spans, slotted, summary, value_counts
+from demandgrid.plans import REPORTS
+from demandgrid.sources.star import Star
 
 
 def frame(spark, values, name="units_sold"):
@@ -107,6 +109,12 @@ def test_equal_width_cut_lowers_the_first_edge(spark):
     assert got[0].lo == pytest.approx(4.96) and got[-1].hi == 45.0
 
 
+def test_bin_labels_with_repeated_and_unknown_discounts_and_empty_bins(spark):
+    promotion = frame(spark, [5, 45, 13, 13, 20, None], "discount_pct")
+    labels = REPORTS["p20_bin_label_format"].build(Star({"promotion": promotion}.__getitem__))
+    assert rows(labels, "bin") == [(1, "4-13%"), (2, "13-21%"), (3, "21-29%"), (4, "29-37%"), (5, "37-45%")]
+
+
 def test_histogram_keeps_empty_bins_and_closes_the_last(spark):
     got = dist.histogram(frame(spark, [0, 1, 10, None]), "units_sold", 5).orderBy("bin").collect()
     assert [r["count"] for r in got] == [2, 0, 0, 0, 1] and (got[0].lo, got[-1].hi) == (0.0, 10.0)
