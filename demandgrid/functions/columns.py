@@ -83,8 +83,8 @@ def submission_part(identifier: Column, part: int) -> Column:
 
 
 def range_label(lo: Column, hi: Column) -> Column:
-    """``5-13%`` from two bin edges, cut to whole numbers."""
-    return F.concat(lo.cast("int").cast("string"), F.lit("-"), hi.cast("int").cast("string"), F.lit("%"))
+    """``5-13%`` from two bin edges, cut to whole numbers; an unknown edge is left out."""
+    return F.concat_ws("", lo.cast("int").cast("string"), F.lit("-"), hi.cast("int").cast("string"), F.lit("%"))
 
 
 def equal_width_bin(value: Column, lo: Column, hi: Column, bins: int) -> Column:

@@ -154,11 +154,16 @@ def quantile_bins(counts: DataFrame, bins: int) -> DataFrame:
     return filled.select("bin", F.element_at("edges", at).alias("lo"), F.element_at("edges", at + 1).alias("hi"), "count")
 
 
-def cut_equal_width(df: DataFrame, column: str, bins: int, means: Mapping[str, Column], count: bool = False) -> DataFrame:
+def cut_equal_width(
+    df: DataFrame, column: str, bins: int, means: Mapping[str, Column], count: bool = False, widen: bool = True
+) -> DataFrame:
     """Means of the given row values (and on request the ``count`` of rows) over right-closed bins of equal width.
 
     The lowest edge sits 0.1 % of the range below the minimum, so that the minimum is inside. Rows are combined to
     sums per distinct value of ``column`` first; bounds and bins both come from these, so ``df`` is computed once.
+
+    A constant column gets 0.1 % of its value each way, and a column without values no bins. With ``widen`` off, all edges
+    of a constant column are its value, with its rows in the first bin, and a column without values has bins with NULL edges.
     """
     value = F.col("_value")
     sums = [f(row).alias(f"{name}_{part}") for name, row in means.items() for part, f in (("sum", F.sum), ("n", F.count))]
@@ -168,12 +173,13 @@ def cut_equal_width(df: DataFrame, column: str, bins: int, means: Mapping[str, C
     lo, hi = F.col("_lo"), F.col("_hi")
     ends = aggregated(known, (), F.min(value).alias("least"), F.max(value).alias("most"))
     least, most = F.col("least"), F.col("most")
-    pad = F.when(least != most, 0.0).otherwise(F.when(least != 0, F.abs(least) * 0.001).otherwise(0.001))
+    pad = F.when(least != most, 0.0).otherwise(F.when(least != 0, F.abs(least) * 0.001).otherwise(0.001)) if widen else F.lit(0.0)
     ends = ends.select((least - pad).alias("_lo"), (most + pad).alias("_hi"), (most != least).alias("_spread"))
     width = (hi - lo) / bins
-    number = F.least(F.greatest(F.ceil((value - lo) / width), F.lit(1)), F.lit(bins)).cast("int")
+    number = F.least(F.greatest(F.ceil(F.try_divide(value - lo, width)), F.lit(1)), F.lit(bins)).cast("int")
     summed = attach(known, ends).groupBy(number.alias("bin")).agg(*[m.alias(name) for name, m in measures.items()])
-    every = ends.where(lo.isNotNull()).select("*", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
+    numbers = df.sparkSession.range(1, bins + 1, 1, 1).select(F.col("id").cast("int").alias("bin"))
+    every = attach(numbers, ends).where(lo.isNotNull() | F.lit(not widen))
     low_edge = lo + (F.col("bin") - 1) * width
     lowered = F.when((F.col("bin") == 1) & F.col("_spread"), low_edge - (hi - lo) * 0.001).otherwise(low_edge)
     return every.join(summed, "bin", "left").select(

@@ -247,7 +247,7 @@ def _(s):
 def _(s):
     from demandgrid.operators.distribution import cut_equal_width
 
-    bins = cut_equal_width(s.promotion, "discount_pct", 5, {}, count=True)
+    bins = cut_equal_width(s.promotion, "discount_pct", 5, {}, count=True, widen=False)
     return bins.select("bin", columns.range_label(F.col("lo"), F.col("hi")).alias("label"))
 
 

@@ -30,6 +30,17 @@ def test_bin_labels_equal_their_sql_on_repeated_parts_and_unknown_sizes(spark, t
     assert labels.count() == 5 and compare.differences(labels, con, report.sql) == []
 
 
+@pytest.mark.parametrize("keys, labels", [([90, 180, 91], ["5-5%"] * 5), ([10], ["10-10%"] * 5), ([1, None], ["-%"] * 5), ([], ["-%"] * 5)])
+def test_bin_labels_equal_their_sql_with_one_discount_or_none(spark, tmp_path, keys, labels):
+    columns = "p_partkey bigint, p_type string, p_size int, p_retailprice double"
+    spark.createDataFrame([(key, None, 1, 1.0) for key in keys], columns).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    report = REPORTS["p20_bin_label_format"]
+    got = report.build(driver_star(spark, str(tmp_path)))
+    assert [r.label for r in got.orderBy("bin").collect()] == labels and compare.differences(got, con, report.sql) == []
+
+
 def test_bootstrap_interval_surrounds_the_mean_and_repeats(spark, folder):
     build = REPORTS["g41_store_attr_bar_interval"].build
     first, second = (sorted(build(driver_star(spark, folder)).collect()) for _ in range(2))

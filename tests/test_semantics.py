@@ -109,6 +109,16 @@ def test_equal_width_cut_lowers_the_first_edge(spark):
     assert got[0].lo == pytest.approx(4.96) and got[-1].hi == 45.0
 
 
+def test_equal_width_cut_of_a_constant_is_widened_or_keeps_its_value(spark):
+    constant, nothing = frame(spark, [10, 10], "x"), frame(spark, [None], "x")
+    wide, exact = [dist.cut_equal_width(constant, "x", 2, {}, count=True, widen=w).orderBy("bin").collect() for w in (True, False)]
+    assert [(round(r.lo, 6), round(r.hi, 6), r["count"]) for r in wide] == [(9.99, 10, 2), (10, 10.01, 0)]
+    assert [(r.lo, r.hi, r["count"]) for r in exact] == [(10, 10, 2), (10, 10, 0)]
+    assert dist.cut_equal_width(nothing, "x", 2, {}, count=True).count() == 0
+    none = dist.cut_equal_width(nothing, "x", 2, {}, count=True, widen=False)
+    assert rows(none, "bin") == [(1, None, None, 0), (2, None, None, 0)]
+
+
 def test_bin_labels_with_repeated_and_unknown_discounts_and_empty_bins(spark):
     promotion = frame(spark, [5, 45, 13, 13, 20, None], "discount_pct")
     labels = REPORTS["p20_bin_label_format"].build(Star({"promotion": promotion}.__getitem__))
