@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from demandgrid.llm.shared import binary_texts, slices
+from demandgrid.llm.shared import binary_texts, frugal, slices
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 # The split of the vocabulary's library, whose white space is the Unicode property. Fixed value.
@@ -260,7 +260,7 @@ def encoded(
                     out["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, out.values())], [name for name, _ in fields])
 
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in fields))
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), ", ".join(f"{name} {kind}" for name, kind in fields))
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:

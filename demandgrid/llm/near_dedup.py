@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandgrid.llm.shared import ROW_BYTES, WordHasher, binary_texts, checked_broadcast, components, mixed, run_hashes, slices, written
+from demandgrid.llm.shared import PIECE_BYTES, ROW_BYTES, WordHasher, binary_texts, checked_broadcast, components, frugal, mixed, run_hashes, slices, written
 
 WORDS = 5
 ROWS = 6
@@ -122,7 +122,7 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
 def _signed(hasher: MinHasher):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHasher(lower=True)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE_BYTES):
             sizes, set_a, set_b, bands, packed = [], [], [], [], []
             for shingles in shingle_sets(words, binary_texts(batch.column("text"))):
                 sizes.append(len(shingles))
@@ -140,7 +140,7 @@ def _signed(hasher: MinHasher):
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = WordHasher(lower=True)
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", PIECE_BYTES):
         found = [shingles.view(np.int64) for shingles in shingle_sets(words, binary_texts(batch.column("text")))]
         yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(found, pa.list_(pa.int64()))], ["rep", "shingles"])
 
@@ -166,11 +166,11 @@ def _links(likely: DataFrame, docs: DataFrame, percent: int, label: str) -> Data
     ends = [likely.select(F.col(c).alias("rep")).distinct() for c in "ab"]  # once each before they meet, not twice for every pair
     wanted = written(ends[0].union(ends[1]).distinct(), f"{label}-wanted")
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(checked_broadcast(wanted, ROW_BYTES * wanted.count()), "rep")
-    sets = written(texts.mapInArrow(_sets, "rep long, shingles array<long>"), f"{label}-sets")
+    sets = written(texts.mapInArrow(frugal(_sets), "rep long, shingles array<long>"), f"{label}-sets")
     full = (
         likely.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left")), "a")
         .join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right")), "b")
-        .select("a", "b", "left", "right").mapInArrow(_confirmed(percent), "a long, b long")
+        .select("a", "b", "left", "right").mapInArrow(frugal(_confirmed(percent)), "a long, b long")
     )
     return written(full, f"{label}-links")
 
@@ -189,7 +189,7 @@ def link_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(
-        whole.mapInArrow(_signed(MinHasher(percent=percent)), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, packed array<long>"), "near-signed"
+        whole.mapInArrow(frugal(_signed(MinHasher(percent=percent))), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, packed array<long>"), "near-signed"
     )
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     heads = written(

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandgrid.llm.shared import binary_texts, shipped, slices, written
+from demandgrid.llm.shared import PIECE_BYTES, binary_texts, frugal, shipped, slices, written
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = 4
@@ -137,11 +137,11 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("votes", pa.int32())]))
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE_BYTES):
             spans = [_candidates(value.decode("utf-8", "replace")) for value in binary_texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, shape)], ["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {SPANS}")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {kind}, {SPANS}")
 
 
 @dataclass
@@ -238,7 +238,7 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE_BYTES):
             texts = []
             for value in batch.column(at).to_pylist():
                 spans = [] if value is None else sorted((s["start"], -s["end"], s["kind"]) for s in _candidates(value) if model.keeps(s))
@@ -250,7 +250,7 @@ def redacted(docs: DataFrame) -> DataFrame:
                 texts.append(value if not spans else "".join([*parts, value[done:]]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 :]], batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandgrid.llm.shared import WordHashes, binary_texts, doc_remainder, shipped, slices
+from demandgrid.llm.shared import PIECE_BYTES, WordHashes, binary_texts, doc_remainder, frugal, shipped, slices
 
 BITS = 15
 RANK = 8
@@ -124,12 +124,12 @@ def _featured(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE_BYTES):
             found = [_features(hashes, text, n) for text, n in zip(binary_texts(batch.column("text")), batch.column("n_chars").to_pylist())]
             columns = [pa.array([f[k] for f in found]) for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("label"), *columns], ["order", "label", "buckets", "values", "statistics"])
 
-    return docs.mapInArrow(run, "order long, label int, buckets array<int>, values array<float>, statistics array<double>")
+    return docs.mapInArrow(frugal(run), "order long, label int, buckets array<int>, values array<float>, statistics array<double>")
 
 
 def _input(docs: DataFrame, *more: Column) -> DataFrame:
@@ -176,12 +176,12 @@ def scored(docs: DataFrame, machine: Machine | None, threshold: float = 0.3) ->
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, model = WordHashes(), load()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE_BYTES):
             rows = zip(binary_texts(batch.column("text")), batch.column("n_chars").to_pylist())
             scores = [model.score(*_features(hashes, text, n)) if model else 1.0 for text, n in rows]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    found = _input(docs).mapInArrow(run, f"doc_id {kind}, score double")
+    found = _input(docs).mapInArrow(frugal(run), f"doc_id {kind}, score double")
     return found.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
@@ -192,12 +192,12 @@ def accepted(docs: DataFrame, machine: Machine | None, threshold: float = 0.3) -
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, model = WordHashes(), load()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE_BYTES):
             counts = batch.column("n_chars").to_pylist() if with_count else [None] * batch.num_rows
             rows = zip(binary_texts(batch.column("text")), counts)
             yield batch.filter(pa.array([model is None or model.score(*_features(hashes, text, n)) >= threshold for text, n in rows], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 # Words are maximal runs of bytes other than the six ASCII white-space bytes; bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 ROW_BYTES = 32  # of a broadcast row with an id and a number, about
+PIECE_BYTES = 2 << 20  # of text that a task which handles its texts one by one works on at a time
 
 
 def work_folder(spark: SparkSession, label: str) -> str:
@@ -70,11 +71,24 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 8 <
             yield batch.slice(start, end - start)
 
 
+def frugal(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """``run`` for mapInArrow, whose worker returns the memory that Arrow keeps for reuse once the task's rows are out.
+
+    Spark keeps the workers for later stages, which would else hold the largest batches of all earlier ones next to their own.
+    """
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 class WordHashes(dict):
-    """64-bit hash of a word, remembered for the most recent 400,000 words."""
+    """64-bit hash of a word, remembered for the most recent 100,000 words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
