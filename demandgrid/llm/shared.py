@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import pickle
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -72,7 +74,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 8 <
 
 
 def frugal(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
-    """``run`` for mapInArrow, whose worker returns the memory that Arrow keeps for reuse once the task's rows are out.
+    """``run`` for mapInArrow, whose worker returns the memory that Arrow and the C library keep for reuse once the task's rows are out.
 
     Spark keeps the workers for later stages, which would else hold the largest batches of all earlier ones next to their own.
     """
@@ -80,6 +82,8 @@ def frugal(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
         pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
 
     return whole
 
