@@ -31,6 +31,7 @@ SPLIT = (
 OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) != " "]
 NO_RANK = np.int32(2**31 - 1)
 MOST_WORDS = 100_000  # pieces remembered between slices, about 20 MB
+AT_ONCE = 16_000  # words merged at once, so that their symbols, links and positions stay small
 
 
 class PairMerges:
@@ -46,7 +47,7 @@ class PairMerges:
         self.special = {token["content"]: token["id"] for token in spec["added_tokens"]}
         for token, number in self.special.items():
             self.tokens[number] = token.encode()
-        self.byte_ids = np.zeros(256, np.int64)
+        self.byte_ids = np.zeros(256, np.int32)
         for char, byte in shown.items():
             self.byte_ids[byte] = vocab[char]
         self.size = len(self.tokens)
@@ -56,7 +57,7 @@ class PairMerges:
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.left = np.array([vocab[a] for a, _ in pairs])
         self.right = np.array([vocab[b] for _, b in pairs])
-        self.merged = np.array([vocab[a + b] for a, b in pairs])
+        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
 
     @staticmethod
     def shown_bytes() -> dict[str, int]:
@@ -66,7 +67,7 @@ class PairMerges:
         return {chr(byte): byte for byte in plain} | {chr(256 + k): byte for k, byte in enumerate(rest)}
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        wanted = left * self.size + right
+        wanted = left.astype(np.int64) * self.size + right
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
         return np.where(self.keys[at] == wanted, self.ranks[at], NO_RANK)
 
@@ -75,7 +76,7 @@ class PairMerges:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         symbols = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         n = len(symbols)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         ends = np.cumsum(sizes)
         after[ends[sizes > 0] - 1] = -1
         before[(ends - sizes)[sizes > 0]] = -1
@@ -189,7 +190,9 @@ class TextEncoder:
                 cut.append((number, len(found)))
                 for word in found:
                     flat.append(words.setdefault(word, len(words)))
-        ids, counts = self.merges.encode([word.encode() for word in words])
+        distinct = [word.encode() for word in words]
+        merged = [self.merges.encode(distinct[k : k + AT_ONCE]) for k in range(0, max(1, len(distinct)), AT_ONCE)]
+        ids, counts = map(np.concatenate, zip(*merged))
         flat, per_piece = np.array(flat, np.int64), np.ones(len(self.new), np.int64)
         if cut:
             at, found = np.array(cut).T

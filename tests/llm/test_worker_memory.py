@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 import pyarrow as pa
-from demandgrid.llm import shared
+from demandgrid.llm import bpe, shared
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -26,3 +26,16 @@ def test_texts_are_worked_on_in_small_pieces():
     pieces = list(shared.slices([batch], "text", shared.PIECE_BYTES))
     assert pa.Table.from_batches(pieces).column("text").to_pylist() == texts  # a long text stays whole
     assert len(pieces) > 6 and all(sum(len(t or "") for t in piece.column("text").to_pylist()[1:]) <= shared.PIECE_BYTES for piece in pieces)
+
+
+def test_encoder_merges_few_words_at_once(monkeypatch):
+    with open(bpe.VOCABULARY, "rb") as file:
+        content = file.read()
+    texts = ["", " ".join(f"word{k} naïve" for k in range(40)), "aaaaaaa  bb\n日本 x", "it's 12345 + 678"]
+    whole = [one.tolist() for one in bpe.TextEncoder(content).encode(texts)]
+    sizes, plain = [], bpe.PairMerges.encode
+    monkeypatch.setattr(bpe, "AT_ONCE", 7)
+    monkeypatch.setattr(bpe.PairMerges, "encode", lambda self, words: sizes.append(len(words)) or plain(self, words))
+    assert [one.tolist() for one in bpe.TextEncoder(content).encode(texts)] == whole
+    assert len(sizes) > 5 and max(sizes) == 7
+    assert [one.tolist() for one in bpe.TextEncoder(content).encode(["", ""])] == [[], []]
